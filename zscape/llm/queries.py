@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, language_id, mixing, secret_scan, simhash
+from . import ann, decontaminate, language_id, mixing, secret_scan, simhash
 from .common import table
 
 
@@ -16,6 +16,11 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op4_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = ann.usable(table(spark, sf_dir, "embeddings"))
+    return ann.search(rows, rows.where("vec_id % 100 = 0"))
+
+
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.find(table(spark, sf_dir, "documents"))
 
@@ -32,6 +37,7 @@ def queries() -> dict:
     return {
         "op1_language_id": op1_language_id,
         "op3_decontaminate": op3_decontaminate,
+        "op4_ann": op4_ann,
         "op6_secret_scan": op6_secret_scan,
         "op7_mixing": op7_mixing,
         "op8_simhash": op8_simhash,
