@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, decontaminate, language_id, mixing, secret_scan, simhash
+from . import ann, decontaminate, language_id, mixing, secret_scan, simhash, url_filter, warc
 from .common import table
 
 
@@ -12,6 +12,10 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(table(spark, sf_dir, "documents"))
 
 
+def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(table(spark, sf_dir, "pages"))
+
+
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -21,6 +25,10 @@ def op4_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(rows, rows.where("vec_id % 100 = 0"))
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.described(warc.read(spark, warc.write(table(spark, sf_dir, "pages"))))
+
+
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.find(table(spark, sf_dir, "documents"))
 
@@ -36,8 +44,10 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict:
     return {
         "op1_language_id": op1_language_id,
+        "op2_url_filter": op2_url_filter,
         "op3_decontaminate": op3_decontaminate,
         "op4_ann": op4_ann,
+        "op5_warc": op5_warc,
         "op6_secret_scan": op6_secret_scan,
         "op7_mixing": op7_mixing,
         "op8_simhash": op8_simhash,
@@ -46,6 +56,8 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op2_url_filter": url_filter.ORACLE_SQL,
         "op3_decontaminate": decontaminate.ORACLE_SQL,
+        "op5_warc": warc.ORACLE_SQL,
         "op7_mixing": mixing.ORACLE_SQL,
     }
