@@ -128,7 +128,7 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
 def described(records: DataFrame) -> DataFrame:
     """``page_id, payload_bytes, payload_digest, record_type, refers_to``, from the records' bytes."""
     head = F.decode("header", "UTF-8")
-    field = lambda name: F.nullif(F.regexp_extract(head, f"(?m)^{name}: ([^\\r]*)\\r$", 1), F.lit(""))
+    field = lambda name: F.nullif(F.regexp_extract(head, f"\\n{name}: ([^\\r]*)\\r\\n", 1), F.lit(""))
     return records.select(
         "page_id",
         F.octet_length("payload").cast("long").alias("payload_bytes"),
