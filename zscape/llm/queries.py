@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, decontaminate, language_id, mixing, secret_scan, simhash, toxicity, url_filter, warc
+from . import ann, decontaminate, language_id, mixing, pii, secret_scan, simhash, toxicity, url_filter, warc
 from .common import table
 
 
@@ -41,6 +41,11 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.components(table(spark, sf_dir, "documents"))
 
 
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return pii.find(docs, pii.train(docs))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
@@ -56,6 +61,7 @@ def queries() -> dict:
         "op6_secret_scan": op6_secret_scan,
         "op7_mixing": op7_mixing,
         "op8_simhash": op8_simhash,
+        "op9_pii": op9_pii,
         "op10_toxicity": op10_toxicity,
     }
 
