@@ -47,11 +47,11 @@ def newey_west(ics: DataFrame, by: list[str], lag: int) -> DataFrame:
 
 
 def ic_summary(ics: DataFrame, by: list[str], lag: int = 0) -> DataFrame:
-    """``<by>, n, mean, std, t_stat, t_nw, pct_pos, ic_for_t2``."""
+    """``<by>, n, mean, std, t_stat, t_nw, pct_pos, ic_for_t2`` (below 1e-12 an IC is not positive)."""
     known = ics.where("ic IS NOT NULL")
     n, mean, sd = F.count("*"), F.avg("ic"), F.stddev_samp("ic")
     sd = F.when(sd > 0, sd)
-    base = known.groupBy(*by).agg(n.alias("n"), mean.alias("mean"), sd.alias("std"), F.avg(F.when(F.col("ic") > 0, 1.0).otherwise(0.0)).alias("pct_pos"))
+    base = known.groupBy(*by).agg(n.alias("n"), mean.alias("mean"), sd.alias("std"), F.avg(F.when(F.col("ic") > 1e-12, 1.0).otherwise(0.0)).alias("pct_pos"))
     return base.join(newey_west(ics, by, lag), by).select(*by, "n", "mean", "std", (F.col("mean") / (F.col("std") / F.sqrt("n"))).alias("t_stat"), ratio(F.col("mean"), F.col("se_nw")).alias("t_nw"), "pct_pos", (2 * F.col("std") / F.sqrt("n")).alias("ic_for_t2"))
 
 

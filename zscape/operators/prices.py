@@ -15,7 +15,9 @@ from ..functions.expr import month, week_end
 YEAR_BARS, MONTH_BARS, WEEKS_BACK, VOL_WEEKS = 252, 21, 13, 26
 BETA_WEEKS, BETA_LEAST = 52, 30
 
-_own = Window.partitionBy("ticker").orderBy("date")
+
+def _own():
+    return Window.partitionBy("ticker").orderBy("date")
 
 
 def calendar(prices: DataFrame) -> DataFrame:
@@ -63,8 +65,8 @@ def features(prices: DataFrame) -> DataFrame:
     """
     bars = prices.where("close IS NOT NULL").withColumns(
         {
-            "n_bars": F.row_number().over(_own),
-            "ret_12_1": _change(F.lag("close", MONTH_BARS).over(_own), F.lag("close", YEAR_BARS).over(_own)),
+            "n_bars": F.row_number().over(_own()),
+            "ret_12_1": _change(F.lag("close", MONTH_BARS).over(_own()), F.lag("close", YEAR_BARS).over(_own())),
             "week": week_end(F.col("date")),
         }
     )
@@ -102,8 +104,8 @@ def equal_weight_market(prices: DataFrame) -> DataFrame:
     """``week, ret``: compounded mean daily returns; holes are filled with the last close before."""
     days = prices.select("date").distinct()
     grid = prices.select("ticker").distinct().crossJoin(F.broadcast(days)).join(prices, ["ticker", "date"], "left")
-    filled = grid.withColumn("close", F.last("close", ignorenulls=True).over(_own))
-    daily = filled.withColumn("r", F.col("close") / F.lag("close").over(_own) - 1).groupBy("date").agg(F.avg("r").alias("r"))
+    filled = grid.withColumn("close", F.last("close", ignorenulls=True).over(_own()))
+    daily = filled.withColumn("r", F.col("close") / F.lag("close").over(_own()) - 1).groupBy("date").agg(F.avg("r").alias("r"))
     return daily.groupBy(week_end(F.col("date")).alias("week")).agg((F.coalesce(F.product(1 + F.col("r")), F.lit(1.0)) - 1).alias("ret"))
 
 

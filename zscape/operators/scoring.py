@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.expr import blended, inverse_yield
-from ..functions.ranks import gaussian_rank, restandardized, sector_neutral
+from ..functions.ranks import LEAST_SPREAD, gaussian_rank, sector_neutral
 
 # The default weights.
 WEIGHTS = {
@@ -42,21 +42,36 @@ def signal(df: DataFrame, name: str) -> Column:
     return inverse_yield(raw) if name in AS_YIELD else -raw if name in LESS_IS_BETTER else raw
 
 
-def scored_factors(df: DataFrame, names: list[str], by: list[str], sector: str = "sector") -> DataFrame:
-    """``df`` with ``z_<name>``: each signal's Gaussian rank, sector-neutral."""
-    out = df.withColumns({f"_s_{n}": signal(df, n) for n in names})
-    out = out.withColumns({f"_g_{n}": gaussian_rank(f"_s_{n}", by) for n in names})
-    return out.withColumns({f"z_{n}": sector_neutral(f"_g_{n}", sector, by) for n in names}).drop(*(f"_{k}_{n}" for k in "sg" for n in names))
+def scored_factors(df: DataFrame, names: list[str], by: list[str], sector: str = "sector", key: str = "ticker") -> DataFrame:
+    """``df`` with ``z_<name>``: each signal's Gaussian rank, sector-neutral.
+
+    All factors go through the same windows at once, as rows of one long table (so the windows are
+    as parallel as there are cross-sections times factors); ``key`` names a row of a cross-section.
+    """
+    own = [*by, "_factor"]
+    signals = F.explode(F.array(*[F.struct(F.lit(n).alias("_factor"), signal(df, n).alias("_s")) for n in names]))
+    long = df.select(F.struct(*df.columns).alias("_row"), signals.alias("_x")).select("_row", *[F.col("_row")[c].alias(c) for c in dict.fromkeys((*by, key, sector))], "_x.*")
+    z = long.withColumn("_g", gaussian_rank("_s", own)).withColumn("_z", sector_neutral("_g", sector, own))
+    wide = z.groupBy(*by, key).agg(F.first("_row").alias("_row"), *[F.max(F.when(F.col("_factor") == n, F.col("_z"))).alias(f"z_{n}") for n in names])
+    return wide.select(*[F.col("_row")[c].alias(c) for c in df.columns], *[f"z_{n}" for n in names])
 
 
-def buckets(df: DataFrame, by: list[str], weights: dict = WEIGHTS) -> DataFrame:
+def buckets(df: DataFrame, by: list[str], weights: dict = WEIGHTS, key: str = "ticker") -> DataFrame:
     """``df`` with ``<bucket>_score`` (NULL below half of the weight)."""
     subs = weights["subfactors"]
     names = [n for s in subs.values() for n in s]
-    out = scored_factors(df, names, by)
+    out = scored_factors(df, names, by, key=key)
     return out.withColumns({f"{b}_score": blended([(w, F.col(f"z_{n}")) for n, w in s.items()]) for b, s in subs.items()}).drop(*(f"z_{n}" for n in names))
 
 
+def _beside(df: DataFrame, small: DataFrame, by: list[str]) -> DataFrame:
+    """``df`` with the columns of a table that has one row for each cross-section."""
+    if not by:
+        return df.crossJoin(F.broadcast(small))  # one row
+    renamed = small.withColumnsRenamed({c: f"_k_{c}" for c in by})
+    return df.join(renamed, reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_k_{c}")) for c in by])).drop(*(f"_k_{c}" for c in by))
+
+
 def covariances(names: list[str]) -> list[Column]:
     """Sample covariances of each pair, over rows that have both."""
     return [F.covar_samp(a, b).alias(f"{a}*{b}") for a, b in combinations_with_replacement(names, 2)]
@@ -106,15 +121,14 @@ def build_scores(df: DataFrame, by: list[str] | None = None, weights: dict = WEI
     by = by or []
     scores = [f"{b}_score" for b in weights["subfactors"]]
     inside = [b for b in BUCKETS if b in weights["composite"]]
-    out = buckets(df, by, weights).withColumns({f"_r_{b}": restandardized(f"{b}_score", by) for b in inside})
     names = [f"_r_{b}" for b in inside]
+    raw = buckets(df, by, weights, key)
+    moments = raw.groupBy(*by).agg(*[f(f"{b}_score").alias(f"_{n}_{b}") for b in inside for n, f in (("m", F.avg), ("d", F.stddev_pop))])
+    out = _beside(raw, moments, by)
+    out = out.withColumns({f"_r_{b}": F.when(F.col(f"_d_{b}") > LEAST_SPREAD, (F.coalesce(f"{b}_score", F.lit(0.0)) - F.col(f"_m_{b}")) / F.col(f"_d_{b}")).otherwise(0.0) for b in inside})
     solved = out.groupBy(*by).agg(*covariances(names)).select(*by, equal_contribution(names, {f"_r_{b}": w for b, w in weights["composite"].items()}).alias("_w"))
-    if by:
-        condition = reduce(lambda a, b: a & b, [out[c].eqNullSafe(solved[c]) for c in by])
-        out = out.join(solved, condition).drop(*[solved[c] for c in by])
-    else:
-        out = out.crossJoin(F.broadcast(solved))  # one row
+    out = _beside(out, solved, by)
     composite = reduce(lambda a, b: a + b, [F.col("_w")[i] * F.col(n) for i, n in enumerate(names)])
     out = out.withColumn("composite_score", composite)
     out = out.withColumns({c: F.round(F.coalesce(c, F.lit(0.0)), 4) + F.lit(0.0) for c in [*scores, "composite_score"]})
-    return out.drop("_w", *names).orderBy(*by, F.desc("composite_score"), key)
+    return out.drop("_w", *names, *(f"_{n}_{b}" for n in "md" for b in inside)).orderBy(*by, F.desc("composite_score"), key)

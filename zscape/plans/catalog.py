@@ -4,14 +4,19 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import backtest_queries, scoring_queries
+
+SECTIONS = (scoring_queries.R, backtest_queries.R)
+
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/customer.parquet")
+    """Factor scores of the whole universe."""
+    return queries()["cp3_build_scores"](spark, sf_dir)
 
 
 def queries() -> dict:
-    return {}
+    return {k: q for r in SECTIONS for k, q in r.queries.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {k: q for r in SECTIONS for k, q in r.oracles.items()}
