@@ -38,11 +38,11 @@ R.add("wn6_return_13w", "prices", lambda p: prices.features(p).select("ticker",
 R.add(
     "wn7_volatility_26w",
     "prices",
-    lambda p: prices.features(p).select("ticker", "date", F.round("volatility_26w", 3).alias("vol")),
+    lambda p: prices.features(p).select("ticker", "date", F.col("volatility_26w").alias("vol")),
     f", {_WEEKLY}, l AS (SELECT ticker, week, seq, ln(close / lag(close) OVER (PARTITION BY ticker ORDER BY week)) AS lr, lag(close) OVER (PARTITION BY ticker ORDER BY week) AS before FROM ws), "
-    f"d AS (SELECT p.ticker, p.date, c.seq, ln(p.close / c.before) AS now FROM prices p JOIN l c ON p.ticker = c.ticker AND c.week = {WEEK_SQL.replace('date', 'p.date')}), "
-    "s AS (SELECT d.ticker, d.date, d.seq, d.now, list(l.lr) AS past FROM d LEFT JOIN l ON l.ticker = d.ticker AND l.seq BETWEEN d.seq - 25 AND d.seq - 1 GROUP BY 1, 2, 3, 4) "
-    "SELECT ticker, date, CASE WHEN seq > 26 THEN round(list_stddev_pop(list_append(past, now)) * sqrt(52), 3) END AS vol FROM s",
+    "k AS (SELECT *, sum(lr) OVER o AS s1, sum(lr * lr) OVER o AS s2 FROM l WINDOW o AS (PARTITION BY ticker ORDER BY week ROWS BETWEEN 25 PRECEDING AND 1 PRECEDING)), "
+    f"d AS (SELECT p.ticker, p.date, c.seq, s1, s2, ln(p.close / c.before) AS now FROM prices p JOIN k c ON p.ticker = c.ticker AND c.week = {WEEK_SQL.replace('date', 'p.date')}) "
+    "SELECT ticker, date, CASE WHEN seq > 26 THEN round(sqrt(greatest((s2 + now * now) / 26 - ((s1 + now) / 26) * ((s1 + now) / 26), 0.0) * 52), 6) END AS vol FROM d",
 )
 R.add("cp11_price_signals", "prices", lambda p: _asof_features(p).select("t", "ticker", "asof", r6("ret_12_1").alias("ret_12_1"), r6("ret_13w").alias("ret_13w")), f", {_REB}, {_FEATURES}, b AS (SELECT t, f.ticker, max(f.date) AS last FROM reb JOIN f ON f.date <= t GROUP BY 1, 2) SELECT t, b.ticker, last AS \"asof\", {sr6('ret_12_1')} AS ret_12_1, {sr6('ret_13w')} AS ret_13w FROM b JOIN f ON f.ticker = b.ticker AND f.date = last")
 R.add("jn5_as_of_bars", "prices", lambda p: prices.as_of(p, prices.month_ends(p), ["close"]).select("t", "ticker", "asof", r6("close").alias("close")), f", {_ENDS} SELECT t, e.ticker, p.date AS asof, {sr6('p.close')} AS close FROM (SELECT t, ticker FROM ends CROSS JOIN (SELECT DISTINCT ticker FROM prices)) e ASOF JOIN prices p ON e.ticker = p.ticker AND e.t >= p.date")
