@@ -45,21 +45,20 @@ def _stamp() -> np.ndarray:
 
 def spectrum(text: str | None) -> np.ndarray:
     """The distinct n-gram ids of a whole text; empty if it has no letter."""
-    found = []
-    text = text or ""
-    for at in range(0, len(text), CHUNK):
-        piece = text[max(0, at - 2) : at + CHUNK].lower()
-        s = _symbol_table()[np.frombuffer(piece.encode("utf-32-le", "surrogatepass"), np.uint32)]
-        s = np.concatenate(([0], s[(s > 0) | (np.roll(s, 1) > 0)], [0])).astype(np.int64)
-        if not s.any():
-            continue
-        two = s[:-1] * SYMBOLS + s[1:]
-        ids = np.concatenate((s, SYMBOLS + two, SYMBOLS + SYMBOLS**2 + two[:-1] * SYMBOLS + s[2:]))
-        stamp, order = _stamp(), np.arange(len(ids))
+    low, table = (text or "").lower(), _symbol_table()
+    pieces = [table[np.frombuffer(low[at : at + CHUNK].encode("utf-32-le", "surrogatepass"), np.uint32)] for at in range(0, len(low), CHUNK)]
+    s = np.concatenate([np.zeros(1, np.uint8), *pieces, np.zeros(1, np.uint8)])
+    s = s[np.append(True, (s[1:] > 0) | (s[:-1] > 0))]  # one boundary between words
+    if not s.any():
+        return np.zeros(0, np.int32)
+    found, stamp = [], _stamp()
+    for at in range(0, len(s), CHUNK):
+        part = s[at : at + CHUNK + 2].astype(np.int64)
+        two = part[:-1] * SYMBOLS + part[1:]
+        ids = np.concatenate((part, SYMBOLS + two, SYMBOLS + SYMBOLS**2 + two[:-1] * SYMBOLS + part[2:]))
+        order = np.arange(len(ids))
         stamp[ids] = order  # the last of equal ids stays
         found.append(ids[stamp[ids] == order])
-    if not found:
-        return np.zeros(0, np.int32)
     return (found[0] if len(found) == 1 else np.unique(np.concatenate(found))).astype(np.int32)
 
 
