@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import broadcast_if_small, written
 
 WEIGHTS = (5, 2, 1)
 BUDGET, MOST = 1.5, 2
@@ -71,7 +71,8 @@ def mix(docs: DataFrame, columns: list[str]) -> DataFrame:
     parts = parts.join(goals, parts["_source"].eqNullSafe(goals["source"])).select(F.col("pid").alias("_pid"), "_source", "shift", "source_size", "target", rate.alias("rate"), offset.alias("offset"))
     i = F.col("pos") + F.col("shift") + 1
     copies = F.least(F.floor(i * F.col("rate") + F.col("offset")) - F.floor((i - 1) * F.col("rate") + F.col("offset")), F.lit(MOST).cast("long"))
-    joined = placed.join(parts, (placed["pid"] == parts["_pid"]) & placed["source"].eqNullSafe(parts["_source"]))
+    parts = written(parts, "parts")
+    joined = placed.join(broadcast_if_small(parts, parts.count(), 128), (placed["pid"] == parts["_pid"]) & placed["source"].eqNullSafe(parts["_source"]))
     out = joined.select("row", "size", "source_size", "target", copies.alias("copies"))
     return out.select(*(F.col("row")[c].alias(c) for c in columns), "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 

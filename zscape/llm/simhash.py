@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from .common import small_batches, written
+from .common import broadcast_if_small, small_batches, written
 from .graph import connected_components
 
 SHINGLE, SEED, BITS, BUDGET = 4, 42, 64, 4
@@ -215,7 +215,7 @@ def components(docs: DataFrame) -> DataFrame:
 def representatives(docs: DataFrame, columns: list[str]) -> DataFrame:
     """``columns`` of one document of each component: that with the smallest id.
 
-    A component without any id keeps all its rows; of rows that share the smallest id, all stay.
+    Rows that share the smallest id all stay, and so do rows without an id, which no decision names.
     """
-    kept = components(docs).where("doc_id = component_id OR component_id IS NULL").select("doc_id").distinct()
-    return docs.select(*columns).join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi")
+    dropped = written(components(docs).where("doc_id <> component_id").select("doc_id").distinct(), "near-duplicates")
+    return docs.select(*columns).join(broadcast_if_small(dropped, dropped.count(), 16), "doc_id", "left_anti").select(*columns)

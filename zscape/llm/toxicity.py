@@ -119,7 +119,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Model | None:
             yield pa.RecordBatch.from_arrays([b.column("y"), pa.array(rows, pa.binary())], ["y", "at"])
 
     matrices = {1: [], 0: []}
-    for r in sample.mapInArrow(indexed, "y int, at binary").orderBy("y", "at").collect():  # the bounded sample, as a few bytes a row
+    for r in sorted(sample.mapInArrow(indexed, "y int, at binary").collect()):  # the bounded sample, a few bytes a row
         matrices[r["y"]].append(np.frombuffer(bytes(r["at"]), np.int16))
 
     def dense(rows):
