@@ -11,7 +11,8 @@ shingles. Pairs found this way are then verified by counting the shingles, compa
 Words are runs of letters and digits of the lower-cased text. Items with fewer than five words can't
 be evidence and match nothing. Null texts have no words. Rows without an id can't be named: they are
 left out of the pairs, and ``clean`` keeps such documents. Rows that repeat an id count as one
-document with all their shingles. Empty tables give no pairs. Other columns are never read.
+document with all their shingles; rows that repeat an item's id with another text are items of their
+own, and equal ones count once. Empty tables give no pairs. Other columns are never read.
 
 DataFrame functions only.
 """
@@ -43,14 +44,14 @@ def _joined(*w: Column) -> Column:
 
 
 def sketches(items: DataFrame, threshold: float) -> DataFrame:
-    """``item_id, shingle, total, sketched``: each item's distinct shingles and whether its sketch has them."""
-    rows = items.where("item_id IS NOT NULL").select("item_id", F.explode(shingles(words(F.col("text")), _joined)).alias("shingle")).distinct()
-    own = Window.partitionBy("item_id")
+    """``item, item_id, shingle, total, sketched``: each item's distinct shingles and whether its sketch has them."""
+    rows = items.where("item_id IS NOT NULL").select(F.sha2("text", 256).alias("item"), "item_id", F.explode(shingles(words(F.col("text")), _joined)).alias("shingle")).distinct()
+    own = Window.partitionBy("item_id", "item")
     rare = own.orderBy("df", F.xxhash64("shingle"), "shingle")
     rows = rows.withColumn("df", F.count("*").over(Window.partitionBy("shingle"))).withColumn("total", F.count("*").over(own))
     upper = F.pow(F.lit(2.0), F.floor(F.log2("total")) + 1) - 1
     length = F.floor(upper * (1 - threshold) + 1e-9) + 1
-    return rows.select("item_id", "shingle", "total", (F.row_number().over(rare) <= length).alias("sketched"))
+    return rows.select("item", "item_id", "shingle", "total", (F.row_number().over(rare) <= length).alias("sketched"))
 
 
 def contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -58,17 +59,17 @@ def contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD
     marks = written(sketches(items, threshold), "sketches")
     named = docs.where("doc_id IS NOT NULL")
     size = marks.agg(F.count("*"), F.count_if("sketched")).first()
-    probe = marks.where("sketched").select("item_id", F.xxhash64(F.split("shingle", " ")[0], *(F.split("shingle", " ")[k] for k in range(1, SHINGLE))).alias("h"))
+    probe = marks.where("sketched").select("item", "item_id", F.xxhash64(F.split("shingle", " ")[0], *(F.split("shingle", " ")[k] for k in range(1, SHINGLE))).alias("h"))
     seen = named.select("doc_id", words(F.col("text")).alias("w")).select("doc_id", F.explode(shingles(F.col("w"), F.xxhash64)).alias("h"))
-    found = seen.join(broadcast_if_small(probe, size[1], 64), "h").select("doc_id", "item_id").distinct()
+    found = seen.join(broadcast_if_small(probe, size[1], 128), "h").select("doc_id", "item", "item_id").distinct()
     found = written(found, "candidates")
     ids = found.select("doc_id").distinct()
     few = broadcast_if_small(ids, found.count(), 16)
     again = named.join(few, "doc_id", "left_semi").select("doc_id", words(F.col("text")).alias("w"))
     again = again.select("doc_id", F.explode(F.array_distinct(shingles(F.col("w"), _joined))).alias("shingle"))
-    hits = again.join(broadcast_if_small(marks.select("item_id", "shingle", "total"), size[0], 256), "shingle")
-    counted = hits.groupBy("doc_id", "item_id").agg(F.count_distinct("shingle").alias("matched"), F.max("total").alias("total"))
-    return counted.where(F.col("matched") >= threshold * F.col("total") - 1e-9).join(found, ["doc_id", "item_id"], "left_semi").select("doc_id", "item_id", "matched", "total", F.round(F.col("matched") / F.col("total"), 6).alias("containment"))
+    hits = again.join(broadcast_if_small(marks.select("item", "item_id", "shingle", "total"), size[0], 256), "shingle")
+    counted = hits.groupBy("doc_id", "item", "item_id").agg(F.count_distinct("shingle").alias("matched"), F.max("total").alias("total"))
+    return counted.where(F.col("matched") >= threshold * F.col("total") - 1e-9).join(found, ["doc_id", "item", "item_id"], "left_semi").select("doc_id", "item_id", "matched", "total", F.round(F.col("matched") / F.col("total"), 6).alias("containment"))
 
 
 def clean(docs: DataFrame, items: DataFrame, columns: list[str], threshold: float = THRESHOLD) -> DataFrame:
@@ -78,13 +79,13 @@ def clean(docs: DataFrame, items: DataFrame, columns: list[str], threshold: floa
 
 
 ORACLE_SQL = r"""
-WITH i AS (SELECT DISTINCT item_id, array_to_string(w[k + 1:k + 5], ' ') AS s
-           FROM (SELECT item_id, w, unnest(range(0, len(w) - 4)) AS k
-                 FROM (SELECT item_id, string_split(trim(regexp_replace(lower(text), '[^\p{L}\p{N}]+', ' ', 'g')), ' ') AS w FROM benchmark WHERE item_id IS NOT NULL))),
+WITH i AS (SELECT DISTINCT item_id, text, array_to_string(w[k + 1:k + 5], ' ') AS s
+           FROM (SELECT item_id, text, w, unnest(range(0, len(w) - 4)) AS k
+                 FROM (SELECT item_id, text, string_split(trim(regexp_replace(lower(text), '[^\p{L}\p{N}]+', ' ', 'g')), ' ') AS w FROM benchmark WHERE item_id IS NOT NULL))),
      d AS (SELECT DISTINCT doc_id, array_to_string(w[k + 1:k + 5], ' ') AS s
            FROM (SELECT doc_id, w, unnest(range(0, len(w) - 4)) AS k
                  FROM (SELECT doc_id, string_split(trim(regexp_replace(lower(text), '[^\p{L}\p{N}]+', ' ', 'g')), ' ') AS w FROM documents WHERE doc_id IS NOT NULL))),
-     n AS (SELECT item_id, count(*) AS total FROM i GROUP BY 1)
+     n AS (SELECT item_id, text, count(*) AS total FROM i GROUP BY 1, 2)
 SELECT doc_id, item_id, count(*) AS matched, total, round(count(*) / total, 6) AS containment
-FROM d JOIN i USING (s) JOIN n USING (item_id) GROUP BY doc_id, item_id, total HAVING count(*) >= 0.8 * total - 1e-9
+FROM d JOIN i USING (s) JOIN n USING (item_id, text) GROUP BY doc_id, item_id, text, total HAVING count(*) >= 0.8 * total - 1e-9
 """
