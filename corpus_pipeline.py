@@ -18,9 +18,9 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which no language can be recognised go (no text, or no letter)."""
+    """Documents without a letter go, and those that the trained classifiers reject (see ``predict``)."""
     rows = language_id.predict(docs.select(*COLUMNS), language_id.train(docs), COLUMNS)
-    return rows.where(F.col("lang_pred") != language_id.UNKNOWN).select(*COLUMNS)
+    return rows.where("accepted").select(*COLUMNS)
 
 
 def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -54,3 +54,16 @@ def test_empty_table(spark, tmp_path):
     docs.write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     assert C.run(spark, str(tmp_path)).count() == 0
+
+
+def test_language_stage_follows_the_classifiers(spark):
+    rng = random.Random(2)
+    junk = [(1000 + i, "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/") for _ in range(600)), None, "s0") for i in range(20)]
+    long = [(2000 + i, sentence(rng, lang, 120), None, "s1") for i, lang in enumerate(["en", "de", "fr"] * 10)]
+    both = [(3000, sentence(rng, "en", 60) + " " + sentence(rng, "fr", 60), None, "s1"), (3001, "q", None, None), (3002, "12 !", None, None)]
+    frame = lambda rows: spark.createDataFrame([(*r, None if r[1] is None else len(r[1])) for r in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = {r["doc_id"] for r in C.language(spark, frame(corpus(400) + junk + long + both), "").collect()}
+    assert kept == {*range(400), *(r[0] for r in long), 3000, 3001}
+    # no label, so no model: texts with a letter stay
+    bare = [(i, t, None, s) for i, t, _, s in corpus(30)] + [(900, None, None, None), (901, "12 !", None, None)]
+    assert {r["doc_id"] for r in C.language(spark, frame(bare), "").collect()} == set(range(30))

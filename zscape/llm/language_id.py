@@ -3,7 +3,7 @@
 A text becomes the set of its letter n-grams of one to three symbols (the blended spectrum, presence
 only). The kernel of two texts is the number of n-grams they share over the root of the product of
 their numbers of n-grams. Nyström landmarks stand for the whole kernel matrix, and one ridge
-regression for each language against the rest is solved on them. A batch of texts is scored by two
+regression for each language against the rest is solved on them, each language with equal weight. A batch of texts is scored by two
 matrix products: presence times landmarks, then kernel values times coefficients.
 
 Nulls and texts without a letter are ``und`` with score 0. Ties go to the language that sorts first.
@@ -28,6 +28,8 @@ SYMBOLS = 96
 DIMENSIONS = SYMBOLS + SYMBOLS**2 + SYMBOLS**3
 CHUNK = 1_000_000
 UNKNOWN = "und"
+#: A text with fewer distinct n-grams (about 80 characters of prose) says too little to be rejected.
+ENOUGH = 150
 
 
 @lru_cache(1)
@@ -64,7 +66,12 @@ def spectrum(text: str | None) -> np.ndarray:
 
 @dataclass
 class Model:
-    """``columns`` maps an n-gram id to its row of ``landmarks`` (-1: none of them has it)."""
+    """``columns`` maps an n-gram id to its row of ``landmarks`` (-1: none of them has it).
+
+    With L languages of equal weight, a text without evidence gets values near 2 / L - 1, and 0 is a
+    tie. ``floor`` is half way between, so texts in two learned languages stay. Up to two languages the
+    classifiers can't tell junk (one of their values is never below 0), and there is no floor.
+    """
 
     languages: list[str]
     columns: np.ndarray
@@ -72,6 +79,7 @@ class Model:
     roots: np.ndarray
     coefficients: np.ndarray
     bias: np.ndarray
+    floor: float = -np.inf
 
     def kernel(self, spectra: list[np.ndarray]) -> np.ndarray:
         presence = np.zeros((len(spectra), len(self.landmarks)), np.float32)
@@ -107,10 +115,13 @@ def fit(spectra: list[np.ndarray], langs: list[str], landmarks: int = 96, ridge:
     whiten = vectors[:, keep] / np.sqrt(values[keep])
     x = np.concatenate([model.kernel(spectra[i : i + 256]) for i in range(0, len(spectra), 256)]).astype(float) @ whiten
     y = np.where(np.array(langs)[:, None] == np.array(names), 1.0, -1.0)
-    middle, level = x.mean(0), y.mean(0)
-    a = np.linalg.solve((x - middle).T @ (x - middle) + ridge * len(x) * np.eye(x.shape[1]), (x - middle).T @ (y - level))
+    weight = np.array([len(x) / (len(names) * len(by[z])) for z in langs])  # each language weighs the same
+    middle, level = np.average(x, 0, weight), np.average(y, 0, weight)
+    own = (x - middle).T * weight
+    a = np.linalg.solve(own @ (x - middle) + ridge * len(x) * np.eye(x.shape[1]), own @ (y - level))
     model.coefficients = (whiten @ a).astype(np.float32)
     model.bias = (level - middle @ a).astype(np.float32)
+    model.floor = 1 / len(names) - 0.5 if len(names) > 2 else -np.inf
     return model
 
 
@@ -142,7 +153,10 @@ def train(docs: DataFrame, sample_rows: int = 2000, landmarks: int = 96) -> Mode
 def predict(docs: DataFrame, model: Model | None, keep: list[str]) -> DataFrame:
     """``keep`` columns of ``docs`` plus ``lang_pred`` and ``score`` (the winner's value, scaled to 0..1).
 
-    ``accepted`` is true if at least one language's classifier claims the text (a value above 0).
+    ``accepted`` is true for a text with a letter, unless it has at least ``ENOUGH`` n-grams and the
+    winner's value is below the model's ``floor``. Without a model every text with a letter is accepted.
+    On the 2,353 held-out rows of sf0.1 that have as many n-grams, the least value is 0.004 against a
+    floor of -0.25 for its four languages; base64 of random bytes gets -0.32 at most.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -154,15 +168,16 @@ def predict(docs: DataFrame, model: Model | None, keep: list[str]) -> DataFrame:
         m = held.value
         for b in batches:
             spectra = [spectrum(t) for t in b.column("_text").to_pylist()]
-            lang, score, yes = [UNKNOWN] * len(spectra), np.zeros(len(spectra)), np.zeros(len(spectra), bool)
+            size = np.array([len(x) for x in spectra], int)
+            lang, score, yes = [UNKNOWN] * len(spectra), np.zeros(len(spectra)), size > 0
             if m and spectra:
                 values = m.decide(spectra)
                 best = values.argmax(1)
                 top = values[np.arange(len(best)), best]
-                has = np.array([len(x) > 0 for x in spectra])
+                has = size > 0
                 lang = [m.languages[k] if h else UNKNOWN for k, h in zip(best, has)]
                 score = np.where(has, np.clip((top.astype(float) + 1) / 2, 0, 1), 0.0)
-                yes = has & (top > 0)
+                yes = has & ((size < ENOUGH) | (top >= m.floor))
             own = [b.column(c) for c in keep]
             yield pa.RecordBatch.from_arrays([*own, pa.array(lang, pa.string()), pa.array(score), pa.array(yes)], [*keep, "lang_pred", "score", "accepted"])
 
