@@ -54,3 +54,19 @@ def test_labels_of_the_held_out_fold_do_not_matter(spark):
     a = {r["doc_id"]: r["lang_pred"] for r in L.identify(documents(spark, rows)).collect()}
     b = {r["doc_id"]: r["lang_pred"] for r in L.identify(documents(spark, flipped)).collect()}
     assert a == b
+
+
+def test_sample_has_languages_in_equal_parts(spark, monkeypatch):
+    held = lambda i: zlib.crc32(str(i).encode()) % 4 == 2
+    langs = ["en"] * 1500 + ["de"] * 1300 + ["fr"] * 90 + ["xx"] * 2
+    ids = [i for i in range(5000) if not held(i)][: len(langs)]
+    rows = [(i, f"text {x} {chr(97 + i % 26)}", x) for i, x in zip(ids, langs)]
+    rows += rows[:50] + [(9000 + i, "12 !", "fr") for i in range(400)]  # repeated rows, and rows without a letter
+    taken = {}
+
+    def fit(spectra, names, landmarks):
+        taken.update({x: names.count(x) for x in names})
+
+    monkeypatch.setattr(L, "fit", fit)
+    L.train(documents(spark, rows), sample_rows=200)
+    assert taken == {"en": 50, "de": 50, "fr": 50, "xx": 2}

@@ -128,26 +128,35 @@ def fit(spectra: list[np.ndarray], langs: list[str], landmarks: int = 96, ridge:
 def train(docs: DataFrame, sample_rows: int = 2000, landmarks: int = 96) -> Model | None:
     """A model of at most ``sample_rows`` labelled rows outside the held-out fold, languages in equal parts.
 
-    The rows are picked by a hash of their id; their n-grams are found on the executors. None if no
-    labelled row has a letter.
+    Each language gives the same number of rows, or all that it has if these are fewer; at least one.
+    Rows without a letter don't count, and neither do repeated ids. The rows are picked by a hash of
+    their id; their n-grams are found on the executors. None if no labelled row has a letter.
     """
     small_batches(docs.sparkSession)
-    rows = docs.select("doc_id", "text", "lang").where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull())
-    count = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    rows = docs.select("doc_id", "text", "lang").where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
+    count = {r["lang"]: max(1, r["n"]) for r in rows.groupBy("lang").agg(F.approx_count_distinct("doc_id").alias("n")).collect()}
     if not count:
         return None
-    each = 2 * sample_rows / len(count)
-    share = F.create_map(*[F.lit(v) for lang, n in count.items() for v in (lang, min(1.0, each / n))])
+    each = max(1, sample_rows // len(count))
     order = share_of_hash(F.col("doc_id"), "language sample")
+    by_lang = lambda values: F.create_map(*[F.lit(v) for x in values.items() for v in x])[F.col("lang")]
+    thin = rows.where(order < by_lang({x: min(1.0, (2 * each + 64) / n) for x, n in count.items()}))  # enough of each, few in all
+    seen = {x: [] for x in count}
+    for r in thin.select("lang", order.alias("o")).distinct().collect():
+        seen[r["lang"]].append(r["o"])
+    last = {x: sorted(o)[:each][-1] for x, o in seen.items() if o}
+    if not last:
+        return None
 
     def find(batches):
         for b in batches:
             ids = [spectrum(t) for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("lang"), pa.array([x.tobytes() for x in ids], pa.binary()), b.column("o")], ["lang", "ids", "o"])
 
-    picked = rows.where(order < share[F.col("lang")]).select("text", "lang", order.alias("o")).where("text IS NOT NULL")
-    got = [(r["lang"], np.frombuffer(bytes(r["ids"]), np.int32)) for r in picked.mapInArrow(find, "lang string, ids binary, o double").where("length(ids) > 0").orderBy("o", "lang", F.xxhash64("ids")).limit(sample_rows).collect()]
-    return fit([x for _, x in got], [x for x, _ in got], landmarks)
+    picked = rows.where(order <= by_lang(last)).select("text", "lang", order.alias("o"))
+    found = picked.mapInArrow(find, "lang string, ids binary, o double").where("length(ids) > 0").groupBy("lang", "o").agg(F.min("ids").alias("ids"))
+    got = sorted((r["o"], r["lang"], bytes(r["ids"])) for r in found.collect())
+    return fit([np.frombuffer(x, np.int32) for _, _, x in got], [x for _, x, _ in got], landmarks)
 
 
 def predict(docs: DataFrame, model: Model | None, keep: list[str]) -> DataFrame:
