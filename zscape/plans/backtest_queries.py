@@ -74,7 +74,7 @@ _NW = f"xs AS (SELECT *, ic - avg(ic) OVER (PARTITION BY factor, horizon) AS x F
 R.add("ag10_newey_west", "panel", lambda p: rounded(backtest.newey_west(_ics(p), FH, 2), "se_nw"), f", {_ICP}, {_NW} SELECT factor, horizon, {sr6('se_nw')} AS se_nw FROM se")
 _SUM = "sm AS (SELECT factor, horizon, count(*) AS n, avg(ic) AS mean, CASE WHEN stddev_samp(ic) > 0 THEN stddev_samp(ic) END AS sd, avg(CASE WHEN ic > 1e-12 THEN 1.0 ELSE 0.0 END) AS pct_pos FROM ic WHERE ic IS NOT NULL GROUP BY 1, 2)"
 R.add("ag11_ic_summary", "panel", lambda p: rounded(backtest.ic_summary(_ics(p), FH, 2), "mean", "std", "t_stat", "t_nw", "pct_pos", "ic_for_t2"), f", {_ICP}, {_NW}, {_SUM} SELECT factor, horizon, n, {sr6('mean')} AS mean, {sr6('sd')} AS std, {sr6('mean / (sd / sqrt(n))')} AS t_stat, {sr6('mean / se_nw')} AS t_nw, {sr6('pct_pos')} AS pct_pos, {sr6('2 * sd / sqrt(n)')} AS ic_for_t2 FROM sm JOIN se USING (factor, horizon)")
-R.add("ag12_block_bootstrap", "panel", lambda p: rounded(backtest.block_bootstrap(_ics(p), FH, resamples=500), "ci_lo", "ci_hi"))
+R.add("ag12_block_bootstrap", "panel", lambda p: rounded(backtest.block_bootstrap(_ics(p), FH), "ci_lo", "ci_hi"))
 R.add("ag22_median_precision", "panel", lambda p: backtest.ic_summary(_ics(p), FH).agg(r6(F.median("std")).alias("std"), r6(F.median("ic_for_t2")).alias("ic_for_t2")), f", {_ICP}, {_SUM} SELECT {sr6('median(sd)')} AS std, {sr6('median(2 * sd / sqrt(n))')} AS ic_for_t2 FROM sm")
 _LAB = "lb AS (SELECT *, CASE WHEN count(score) OVER (PARTITION BY t) >= 5 THEN greatest(1, ceil((row_number() OVER (PARTITION BY t, score IS NULL ORDER BY score, ticker) - 1) * 5 / (count(score) OVER (PARTITION BY t) - 1)))::INT END AS q FROM slices WHERE score IS NOT NULL)"
 _SPREAD = _LAB + ", sp AS (SELECT t, " + ", ".join(f"avg(fwd) FILTER (q = {k}) AS q{k}" for k in range(1, 6)) + " FROM lb WHERE q IS NOT NULL AND fwd IS NOT NULL GROUP BY t HAVING count(DISTINCT q) = 5)"
