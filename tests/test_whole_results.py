@@ -5,7 +5,7 @@ import os
 import numpy as np
 import pytest
 
-from zscape.operators import backtest
+from zscape.operators import backtest, publish
 from zscape.plans import catalog, surrogates
 
 SF_DIR = "/root/testdata/sf0.001"
@@ -29,3 +29,29 @@ def test_bootstrap_is_a_loop_of_2000_draws(spark):
             starts = rng.choice(np.arange(len(x)), size=-(-len(x) // 3), replace=True)
             means.append(x[((starts[:, None] + np.arange(3)).ravel() % len(x))[: len(x)]].mean())
         assert np.allclose(got[key], np.percentile(means, [2.5, 97.5]), atol=2e-6), key
+
+
+def whole_ranking():
+    """The ranking in full, by the SQL of another query."""
+    duckdb = pytest.importorskip("duckdb")
+    con = duckdb.connect()
+    for t in os.listdir(SF_DIR):
+        con.execute(f"CREATE VIEW {t.removesuffix('.parquet')} AS SELECT * FROM '{SF_DIR}/{t}'")
+    return [(t, k) for k, t in sorted(con.execute(catalog.oracle_sql()["wn16_published_rank"]).fetchall())]
+
+
+@driver_tables
+def test_composite_order_has_every_row(spark):
+    want = whole_ranking()
+    assert len(want) > 50
+    assert sorted(map(tuple, catalog.queries()["st1_composite_order"](spark, SF_DIR).collect()), key=lambda r: r[1]) == want
+
+
+@driver_tables
+def test_stride_follows_the_number_of_rows(spark):
+    want = whole_ranking()
+    got = [tuple(r) for r in catalog.queries()["st6_stride_sample"](spark, SF_DIR).collect()]
+    assert sorted(got, key=lambda r: r[1]) == want[:: max(1, len(want) // 15)][:15]
+    for n in (0, 7, 15, 31, 200):
+        rows = spark.range(n).selectExpr("cast(id as string) ticker", "cast(-id as double) composite_score")
+        assert [r["rank"] for r in publish.strided(rows, 15).collect()] == [*range(1, n + 1)][:: max(1, n // 15)][:15]

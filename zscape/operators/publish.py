@@ -32,6 +32,13 @@ def leaders(rows: DataFrame, n: int = 10) -> DataFrame:
     return rows.orderBy(F.col("composite_score").desc_nulls_last(), "ticker").limit(n)
 
 
+def strided(rows: DataFrame, n: int) -> DataFrame:
+    """Every k-th ranked row from the first, where k spreads ``n`` rows over the whole ranking."""
+    size = rows.agg(F.greatest(F.lit(1), F.floor(F.count("*") / n)).alias("_step"))
+    picked = ranked(rows).crossJoin(F.broadcast(size)).where((F.col("rank") - 1) % F.col("_step") == 0)  # one row
+    return picked.drop("_step").orderBy("rank").limit(n)
+
+
 def recency(rows: DataFrame, today: Column) -> DataFrame:
     """``data_asof, data_age_days, coverage, data_fresh`` of ``price_asof`` texts."""
     d = F.col("price_asof").try_cast("date")

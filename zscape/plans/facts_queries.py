@@ -178,7 +178,7 @@ R.add("jn8_sector_lookup", "ranks factors", lambda r, f: r.select("ticker").join
 # publishing
 _PUB = ", ".join(f"round({c}, 4) + 0.0 AS {c}" for c in ("composite_score", "pe_ratio"))
 R.add("wn16_published_rank", "ranks", lambda r: publish.ranked(r).select("rank", "ticker"), " SELECT row_number() OVER (ORDER BY composite_score DESC NULLS LAST, ticker)::INT AS rank, ticker FROM ranks")
-R.add("st1_composite_order", "ranks", lambda r: publish.ranked(r).where("rank <= 50").select("ticker", "rank"), " SELECT * FROM (SELECT ticker, row_number() OVER (ORDER BY composite_score DESC NULLS LAST, ticker)::INT AS rank FROM ranks) WHERE rank <= 50")
+R.add("st1_composite_order", "ranks", lambda r: publish.ranked(r).select("ticker", "rank"), " SELECT * FROM (SELECT ticker, row_number() OVER (ORDER BY composite_score DESC NULLS LAST, ticker)::INT AS rank FROM ranks) WHERE rank <= 50")
 R.add("st2_leaders", "ranks", lambda r: publish.leaders(r).select("ticker", "composite_score"), " SELECT ticker, composite_score FROM ranks ORDER BY composite_score DESC NULLS LAST, ticker LIMIT 10")
 R.add("pj17_published_object", "ranks", lambda r: publish.objects(r).select("rank", *[F.get_json_object("json", f"$.{c}").alias(c) for c in ("ticker", "sector", "data_quality")], *[F.get_json_object("json", f"$.{c}").cast("double").alias(c) for c in ("composite_score", "pe_ratio", "gpa")]), f" SELECT row_number() OVER (ORDER BY composite_score DESC NULLS LAST, ticker)::INT AS rank, ticker, sector, data_quality, {_PUB}, NULL::DOUBLE AS gpa FROM ranks")
 R.add("ag1_summary_statistics", "ranks", publish.summary, " SELECT count(*) AS universe_size, count(*) FILTER (data_quality = 'missing_prices') AS missing_price_count, count(*) FILTER (data_quality = 'partial_prices') AS partial_price_count, (SELECT ticker FROM ranks ORDER BY composite_score DESC, ticker LIMIT 1) AS top_symbol, max(composite_score) AS top_score, (SELECT ticker FROM ranks ORDER BY composite_score, ticker DESC LIMIT 1) AS bottom_symbol, min(composite_score) AS bottom_score, round(median(composite_score), 4) + 0.0 AS median_composite, round(avg(composite_score), 4) + 0.0 AS avg_composite, round(median(pe_ratio), 4) + 0.0 AS avg_pe, round(median(roe), 4) + 0.0 AS avg_roe FROM ranks")
@@ -193,7 +193,7 @@ for _n in ("st5_top_churn", "so4_common_entered_left", "so6_book_difference"):
     R.add(_n, "old_ranks new_ranks", publish.churn, f" {_CHURN}")
 R.add("wn17_movers", "old_ranks new_ranks", lambda o, n: publish.movers(o, n).selectExpr("ticker", "cast(move as bigint) move", "side"), f", {_BOTH} (SELECT ticker, move, 'up' AS side FROM bo ORDER BY move, ticker LIMIT 10) UNION ALL (SELECT ticker, move, 'down' AS side FROM bo ORDER BY move DESC, ticker LIMIT 10)")
 R.add("or7_rank_migration", "old_ranks new_ranks", lambda o, n: publish.churn(o, n).groupBy("status").agg(F.count("*").alias("n")), f", c AS ({_CHURN}) SELECT status, count(*) AS n FROM c GROUP BY 1")
-R.add("st6_stride_sample", "ranks", lambda r: publish.ranked(r).where("(rank - 1) % 90 = 0").orderBy("rank").limit(15).select("ticker", "rank"), " SELECT ticker, rank FROM (SELECT ticker, row_number() OVER (ORDER BY composite_score DESC NULLS LAST, ticker)::INT AS rank FROM ranks) WHERE (rank - 1) % 90 = 0 ORDER BY rank LIMIT 15")
+R.add("st6_stride_sample", "ranks", lambda r: publish.strided(r, 15).select("ticker", "rank"), " SELECT ticker, rank FROM (SELECT ticker, row_number() OVER (ORDER BY composite_score DESC NULLS LAST, ticker)::INT AS rank FROM ranks) WHERE (rank - 1) % 90 = 0 ORDER BY rank LIMIT 15")
 R.add("st8_first_inputs", "universe", lambda u: u.orderBy("symbol").limit(7).select("symbol"), " SELECT symbol FROM universe ORDER BY symbol LIMIT 7")
 _SRC = "sr AS (SELECT DISTINCT ticker, CASE WHEN ticker IN (SELECT ticker FROM base_prices) THEN 'base' WHEN ticker IN (SELECT ticker FROM vendor_prices) THEN 'fetch' ELSE 'missing' END AS source FROM prices)"
 
