@@ -5,7 +5,8 @@ non-deterministic automaton that may begin a match anywhere; subset construction
 deterministic one and partition refinement makes that minimal. Its transition array is walked once,
 a step for each byte of the UTF-8 text, and names every byte at which some rule's match begins. From
 the leftmost start that is not yet covered, the rule's own minimal automaton runs forwards to the
-longest end: leftmost, longest, non-overlapping matches for each rule.
+longest end: leftmost, longest, non-overlapping matches for each rule. A private key goes from its
+header to its END line, or over the base64 lines that are there if the END line is not.
 
 Matches that fail a rule's least length are dropped and stay consumed. Null and empty texts have no
 match; texts are read whole; repeated rows get equal results; an empty table gives no rows; other
@@ -15,7 +16,7 @@ columns are kept apart and never read.
 from __future__ import annotations
 
 import hashlib
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import lru_cache
 
 import numpy as np
@@ -30,23 +31,33 @@ class Rule:
     """``pattern`` over bytes; a match counts if it is long enough.
 
     ``least`` bytes: of the whole match, or, with ``after``, of what follows the first of its bytes,
-    spaces and one quote.
+    spaces and one quote. ``tail`` extends a match of ``pattern`` where it fits; it is optional, so
+    it changes where a match ends but not where it begins.
     """
 
     kind: str
     pattern: str
+    tail: str | None = None
     least: int = 1
     after: str | None = None
     any_case: bool = False
     base: bool = True
 
 
+#: What follows a PEM header: anything up to its END line (five dashes end it otherwise), or where that
+#: line is cut off the base64 lines of 16 characters or more, the encryption headers before them and a
+#: last shorter line.
+_GAP, _B64 = r"([\x20\x09\x0d\x0a\"',>]|\\[nr])", r"[A-Za-z0-9+/=]"
+PEM_TAIL = (
+    r"((-{0,4}[\x00-\x2c\x2e-\xff])*-----END\x20([A-Z]+\x20)*PRIVATE\x20KEY-----"
+    rf"|({_GAP}+(Proc-Type|DEK-Info):[\x20-\x7e]*)*({_GAP}*{_B64}{{16,}})+({_GAP}+{_B64}+)?)"
+)
 ASSIGN = r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?[A-Za-z0-9+/_.=-]+"
 RULES = (
     Rule("assign", ASSIGN, least=6, after=r":=", any_case=True),
     Rule("access", r"AKIA[A-Z0-9]+", least=20),
     Rule("hex", r"[0-9a-f]{24,}"),
-    Rule("private_key", r"-----BEGIN\x20([A-Z]+\x20)*PRIVATE\x20KEY-----", base=False),
+    Rule("private_key", r"-----BEGIN\x20([A-Z]+\x20)*PRIVATE\x20KEY-----", tail=PEM_TAIL, base=False),
     Rule("github", r"gh[opsur]_[A-Za-z0-9]+", least=40, base=False),
     Rule("jwt", r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", least=40, base=False),
 )
@@ -242,7 +253,7 @@ class Scanner:
     def __init__(self, rules: tuple[Rule, ...] = RULES) -> None:
         self.rules = rules
         self.starts = compiled(list(rules), backwards=True, anywhere=True)
-        self.own = [compiled([r], backwards=False, anywhere=False) for r in rules]
+        self.own = [compiled([replace(r, pattern=f"({r.pattern})({r.tail})?") if r.tail else r], backwards=False, anywhere=False) for r in rules]
 
     def longest(self, rule: int, data: bytes, at: int) -> int:
         """The end of the rule's longest match that begins at ``at``."""
