@@ -39,6 +39,21 @@ def test_decisions_reach_aliases(spark):
     assert out[4] == ("com/en/", "block") and out[6] == (None, "allow")
 
 
+def test_all_forms_of_redirects(spark):
+    meta = lambda attributes: f"<html><meta charset=utf-8><meta {attributes}></html>"
+    forms = [
+        'content="0;url=U" http-equiv="refresh"', """http-equiv="refresh" content="0;url='U'\"""", 'http-equiv=refresh content="0,url=U"', "HTTP-EQUIV='Refresh' CONTENT='5 ; URL = U'",
+        "content='0; url=\"U\"' name=x http-equiv=refresh", 'http-equiv = "refresh"\n content = "0 url=U"', "content=0;url=U http-equiv=refresh", 'http-equiv="refresh" content="0; url=U"',
+    ]
+    rows = [(i, f"http://a{i}.io/1", meta(f.replace("U", f"http://bad{i}.com/en/1") if "URL" not in f else f.replace(" U'", f" http://bad{i}.com/en/1'"))) for i, f in enumerate(forms)]
+    two = '<meta http-equiv="refresh" content="9;url=http://c.io/x"><meta http-equiv="refresh" content="0;url=http://bad.com/en/2">'
+    rows += [(50, "http://c.io/1", two), (51, "http://c.io/2", link("http://c.io/y") + link("http://bad.com/en/3"))]
+    quiet = ['http-equiv="refresh" content="30"', 'name="description" content="0;url=http://bad.com/en/4"', 'http-equiv="refresh" data-content="0;url=http://bad.com/en/4"']
+    rows += [(60 + i, f"http://d{i}.io/1", meta(q)) for i, q in enumerate(quiet)]
+    out = {r["page_id"]: r["verdict"] for r in U.judge(pages(spark, rows)).collect()}
+    assert out == {i: "allow" if i >= 60 else "block" for i in out}, out
+
+
 def test_sql_agrees(spark, tmp_path):
     import duckdb
 

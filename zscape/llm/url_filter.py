@@ -36,6 +36,11 @@ RULES = (
 SPLIT = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 CANONICAL = (r"(?i)<link[^>]*rel=[\"']?canonical[\"']?[^>]*href=[\"']?([^\"'> ]+)", r"(?i)<link[^>]*href=[\"']?([^\"'> ]+)[\"']?[^>]*rel=[\"']?canonical")
 REFRESH = r"(?i)<meta[^>]*http-equiv=[\"']?refresh[\"']?[^>]*content=[\"']?[0-9. ]*; *url=([^\"'> ]+)"
+#: The redirects that SQL reads (one form of them). The operator takes every meta tag, whose attributes may
+#: stand in either order, and the target behind a semicolon, comma or space, quoted or not.
+META = r"(?i)(<meta[^>]*)"
+IS_REFRESH = r"(?i)(?<![\w-])http-equiv\s*+=\s*+[\"']?+\s*+refresh"
+TARGET = r"(?i)(?<![\w-])content\s*+=\s*+[\"']?+[\s0-9.]*+(?:[;,]\s*+|(?<=\s))url\s*+=\s*+[\"']?+\s*+([^\"'>\s]+)"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -76,10 +81,11 @@ def resolved(target: Column, url: Column) -> Column:
 
 
 def edges(pages: DataFrame) -> DataFrame:
-    """``src, dst``: the links of canonical tags and redirects, between nodes."""
-    found = [F.regexp_extract("html", p, 1) for p in (*CANONICAL, REFRESH)]
+    """``src, dst``: the links of all canonical tags and redirects, between nodes."""
+    tags = F.filter(F.regexp_extract_all("html", F.lit(META), 1), lambda t: t.rlike(IS_REFRESH))
+    found = F.flatten(F.array(*[F.regexp_extract_all("html", F.lit(p), 1) for p in CANONICAL], F.transform(tags, lambda t: F.regexp_extract(t, TARGET, 1))))
     links = pages.where("url IS NOT NULL AND html IS NOT NULL").where(F.col("html").rlike("(?i)canonical|refresh"))
-    links = links.select("url", F.explode(F.array(*found)).alias("target")).where("target <> ''")
+    links = links.select("url", F.explode(F.array_distinct(found)).alias("target")).where("target <> ''")
     return links.select(node(F.col("url")).alias("src"), node(resolved(F.col("target"), F.col("url"))).alias("dst"))
 
 
