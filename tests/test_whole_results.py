@@ -5,7 +5,7 @@ import os
 import numpy as np
 import pytest
 
-from zscape.operators import backtest, publish
+from zscape.operators import backtest, publish, scoring
 from zscape.plans import catalog, surrogates
 
 SF_DIR = "/root/testdata/sf0.001"
@@ -55,3 +55,20 @@ def test_stride_follows_the_number_of_rows(spark):
     for n in (0, 7, 15, 31, 200):
         rows = spark.range(n).selectExpr("cast(id as string) ticker", "cast(-id as double) composite_score")
         assert [r["rank"] for r in publish.strided(rows, 15).collect()] == [*range(1, n + 1)][:: max(1, n // 15)][:15]
+
+
+def test_equal_contribution_takes_as_many_steps_as_the_reference(spark):
+    # the first settles at once, the second needs more than 300 steps
+    for a, b, c in ((0.1, 0.2, 0.3), (-0.46263152887829984, -0.1302553041061469, 0.020046532167428913)):
+        cov = np.array([[1, a, b], [a, 1, c], [b, c, 1]])
+        w = np.full(3, 1 / 3)
+        for _ in range(10_000):
+            share = w * (cov @ w) / (w @ cov @ w)
+            new = w * np.sqrt(1 / 3 / np.where(share <= 0, 1e-15, share))
+            new, w = w, new / new.sum()
+            if np.abs(new - w).max() < 1e-10:
+                break
+        names = list("xyz")
+        row = [(float(cov[i][j]), f"{names[i]}*{names[j]}") for i in range(3) for j in range(i, 3)]
+        df = spark.createDataFrame([tuple(v for v, _ in row)], [n for _, n in row])
+        assert np.allclose(df.select(scoring.equal_contribution(names, None)).first()[0], w, atol=1e-6)

@@ -29,8 +29,9 @@ WEIGHTS = {
 #: Multiples are scored as yields; of these, less is better.
 AS_YIELD, LESS_IS_BETTER = ("pe_ratio", "ev_ebitda"), ("volatility_26w", "debt_equity", "beta")
 BUCKETS = ("trend", "quality", "value")
-#: Steps of the equal-contribution iteration; it converges in tens.
-STEPS = 300
+#: Most steps of the equal-contribution iteration, which mostly converges in tens, and the move of a
+#: weight below which it ends.
+STEPS, TOLERANCE = 10_000, 1e-10
 
 
 def signal(df: DataFrame, name: str) -> Column:
@@ -80,7 +81,8 @@ def covariances(names: list[str]) -> list[Column]:
 def equal_contribution(names: list[str], nominal: dict[str, float] | None, steps: int = STEPS) -> Column:
     """From the columns of ``covariances``: an array of weights whose variance shares are equal.
 
-    A multiplicative fixed point, as a lazy fold over one row. With ``nominal`` weights, a degenerate
+    A multiplicative fixed point, as a lazy fold over one row; once no weight moves by ``TOLERANCE`` the
+    steps that are left keep the state. With ``nominal`` weights, a degenerate
     covariance or a total that is not positive gives those; without, a degenerate covariance gives
     equal weights and a total that is not positive keeps the weights so far.
     """
@@ -102,10 +104,13 @@ def equal_contribution(names: list[str], nominal: dict[str, float] | None, steps
         total = add([w[i] * sw[i] for i in range(k)])
         share = [F.greatest(w[i] * sw[i] / total, F.lit(1e-15)) for i in range(k)]
         raised = [w[i] * F.sqrt(F.lit(1.0 / k) / share[i]) for i in range(k)]
-        new = F.struct(F.array(*[r / add(raised) for r in raised]).alias("w"), F.lit(True).alias("ok"))
-        return F.when(state["ok"] & (total > 0), new).otherwise(F.struct(state["w"].alias("w"), F.lit(False).alias("ok")))
+        new = F.struct(F.array(*[r / add(raised) for r in raised]).alias("w"), state["w"].alias("before"), F.lit(True).alias("ok"))
+        moves = reduce(lambda a, b: a | b, [F.abs(w[i] - state["before"][i]) >= TOLERANCE for i in range(k)])
+        stuck = F.struct(state["w"].alias("w"), state["before"].alias("before"), F.lit(False).alias("ok"))
+        return F.when(~state["ok"] | ~moves, state).when(total > 0, new).otherwise(stuck)
 
-    solved = F.aggregate(F.sequence(F.lit(1), F.lit(steps)), F.struct(equal.alias("w"), F.lit(True).alias("ok")), step)
+    first = F.struct(equal.alias("w"), F.array(*[F.lit(-1.0)] * k).alias("before"), F.lit(True).alias("ok"))
+    solved = F.aggregate(F.sequence(F.lit(1), F.lit(steps)), first, step)
     usable = reduce(lambda a, b: a & b, [s[i][i] > 0 for i in range(k)] + [s[i][j].isNotNull() & ~F.isnan(s[i][j]) for i in range(k) for j in range(i)])
     result = F.when(solved["ok"], solved["w"]).otherwise(fallback) if nominal is not None else solved["w"]
     return F.when(F.coalesce(usable, F.lit(False)), result).otherwise(fallback)
