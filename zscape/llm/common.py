@@ -4,12 +4,16 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Most bytes that a broadcast table may hold; beyond it the join shuffles.
 BROADCAST_BYTES = 16 << 20
+#: Most keys that ``evenly_joined`` deals out, so its broadcast list of them stays below 2 MB.
+HOT_KEYS = 100_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,36 +24,54 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and every executor can reach.
 
-    It is the cluster's ``spark.checkpoint.dir``; only where that is unset (tests, a local session)
-    a temporary folder is made and set.
+    It is the cluster's ``spark.checkpoint.dir``; only a local session without one (tests) gets a
+    temporary folder. A cluster without one is an error: its executors could not read such a folder.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="zscape-")
         spark.conf.set("spark.checkpoint.dir", base)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(base)
     return base
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` computed once and kept in the shared folder: later plans start there."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
+def _hadoop(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written as Parquet in the shared folder and read again (columns stay prunable)."""
-    spark = df.sparkSession
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder; what is written there goes when the application ends."""
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    at, fs = _hadoop(spark, path)
+    fs.mkdirs(at)  # only what exists can be marked
+    fs.deleteOnExit(at)
+    return path
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Deletes what ``scratch`` named, once no plan reads it any more."""
+    at, fs = _hadoop(spark, path)
+    fs.delete(at, True)
+
+
+def stored(df: DataFrame, path: str) -> DataFrame:
+    """``df`` written as Parquet at ``path`` and read again (columns stay prunable)."""
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` stored in the shared folder: later plans start there, so a lost executor costs a stage."""
+    return stored(df, scratch(df.sparkSession, name))
 
 
-def small_batches(spark: SparkSession, rows: int = 256, mb: int = 16) -> None:
-    """Arrow batches that stay small when texts are long."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(mb << 20))
+def pieces(batches: Iterable[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """Arrow batches in slices that stay small as Python objects (Spark bounds a batch's bytes itself)."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
 
 
 def held_out(doc_id: Column) -> Column:
@@ -62,6 +84,28 @@ def broadcast_if_small(df: DataFrame, rows: int, row_bytes: int) -> DataFrame:
     return F.broadcast(df) if rows * row_bytes <= BROADCAST_BYTES else df
 
 
+def evenly_joined(many: DataFrame, one: DataFrame, key: str, sizes: DataFrame, spread: Column, together: int = 100_000, how: str = "inner", rows: int | None = None) -> DataFrame:
+    """``many`` joined to ``one`` (a row for each key at most) so that no task gets all rows of a hot key.
+
+    ``sizes`` has ``key, n``: the rows of ``many`` by key, and ``rows`` is their sum where it is known
+    (or a number above it). Keys with more than ``together`` rows are
+    dealt out: their row of ``one`` is copied for each part, and ``spread`` (a hash of other columns
+    of ``many``) picks a row's part. At most ``HOT_KEYS`` keys can be so large, as ``together`` is
+    raised to their share of all rows; their hashes are broadcast. So few rows that no key can be
+    hot are joined as they are.
+    """
+    total = sizes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0] if rows is None else rows
+    if total <= together:
+        return many.join(one, key, how)
+    limit = max(together, total // HOT_KEYS + 1)
+    hot = sizes.where(F.col("n") > limit).groupBy(F.xxhash64(key).alias("_hot")).agg(F.ceil(F.sum("n") / limit).cast("int").alias("_parts"))
+    hot = F.broadcast(hot)  # HOT_KEYS rows of 12 bytes at most
+    parts = F.coalesce("_parts", F.lit(1))
+    left = many.withColumn("_h", F.xxhash64(key)).join(hot, F.col("_h") == F.col("_hot"), "left").withColumn("_part", F.pmod(spread, parts).cast("int")).drop("_h", "_hot", "_parts")
+    right = one.withColumn("_h", F.xxhash64(key)).join(hot, F.col("_h") == F.col("_hot"), "left").withColumn("_part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("_h", "_hot", "_parts")
+    return left.join(right, [key, "_part"], how).drop("_part")
+
+
 def share_of_hash(key: Column, salt: str) -> Column:
     """A number in [0, 1) that depends on ``key`` alone."""
     return F.pmod(F.xxhash64(F.lit(salt), key), F.lit(1 << 31)) / float(1 << 31)
