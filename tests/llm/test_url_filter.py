@@ -64,3 +64,41 @@ def test_sql_agrees(spark, tmp_path):
     con.execute(f"create view pages as select * from '{tmp_path}/p/*.parquet'")
     want = sorted(map(str, con.execute(U.ORACLE_SQL).fetchall()))
     assert sorted(str(tuple(r)) for r in U.judge(frame).collect()) == want
+
+
+def test_links_of_real_pages(spark):
+    bad = "http://bad.com/en/1"
+    block = [
+        f'<link rel = "canonical" href = "{bad}">', f"<LINK HREF={bad} REL=Canonical>", f'<link rel="nofollow canonical" title="a > b" href="{bad}"/>', f'<link title="href=x" rel="canonical"href=\'{bad}\'>',
+        f'<meta content="0; url=\'{bad}\'" http-equiv=refresh>', f"<meta http-equiv='refresh' content='0; {bad}'>", '<link rel=canonical href="//bad.com/en/1">',
+        '<link rel=canonical href="http://bad.com/x/../en/./1">', '<link rel=canonical href="http://bad.com/&#101;n&#x2F;1">', f"<!-- > --><link rel=canonical href={bad}><!-- <link rel=canonical href=http://z.io/> -->",
+        f'<base href="http://bad.com/fr/"><link rel=canonical href="../en/1">', f'<link rel=canonical href="/x"><link rel=canonical href="{bad}">', f'<link rel=canonical href=" http://bad.com/\n en/1">'.replace("\n ", "\n"),
+    ]
+    allow = [
+        f"<!-- <link rel=canonical href={bad}> -->", f"<script>'<link rel=canonical href={bad}>'</script>", f"<!-- <link rel=canonical href={bad}>", f'<a rel=canonical href="{bad}">', f'<link rel=alternate href="{bad}">',
+        f'<link rel=canonical data-href="{bad}">', '<link rel=canonical href="mailto:a@bad.com/en/">', '<link rel=canonical href="#x">', '<meta http-equiv=refresh content=5>',
+    ]
+    rows = [(i, f"http://a{i}.io/p/1", h) for i, h in enumerate(block)] + [(100 + i, f"http://b{i}.io/p/1", h) for i, h in enumerate(allow)]
+    out = {r["page_id"]: r["verdict"] for r in U.judge(pages(spark, rows)).collect()}
+    assert out == {i: "allow" if i >= 100 else "block" for i in out}, out
+
+
+def test_resolution(spark):
+    # the examples of RFC 3986, 5.4
+    base = "http://a/b/c/d;p?q"
+    want = {
+        "g": "http://a/b/c/g", "./g": "http://a/b/c/g", "g/": "http://a/b/c/g/", "/g": "http://a/g", "//g": "http://g", "?y": "http://a/b/c/d;p?y", "g?y": "http://a/b/c/g?y", "#s": "http://a/b/c/d;p?q", "g#s": "http://a/b/c/g",
+        ".": "http://a/b/c/", "..": "http://a/b/", "../g": "http://a/b/g", "../..": "http://a/", "../../g": "http://a/g", "../../../g": "http://a/g", "/./g": "http://a/g", "g.": "http://a/b/c/g.", "..g": "http://a/b/c/..g", "./g/.": "http://a/b/c/g/", "g/../h": "http://a/b/c/h", "HTTP://A/x": "http://a/x",
+    }
+    got = spark.createDataFrame([(t, base) for t in want], "t string, u string")
+    assert {r[0]: r[1] for r in got.select("t", U.node(U.resolved(got["t"], got["u"]))).collect()} == want
+
+
+def test_very_long_html_and_hot_urls(spark, monkeypatch):
+    from functools import partial
+
+    monkeypatch.setattr(U, "evenly_joined", partial(U.evenly_joined, together=5))
+    long = "<meta " + "a=b " * 200_000 + ">" + "<script" * 20_000 + "</script>" + link("http://bad.com/en/1")
+    rows = [(0, "http://a.io/1", long)] + [(i, "http://b.io/1" if i % 2 else None, link("http://a.io/1")) for i in range(1, 60)]
+    out = {r["page_id"]: r["verdict"] for r in U.judge(pages(spark, rows)).collect()}
+    assert out == {i: "allow" if i and not i % 2 else "block" for i in range(60)}
