@@ -44,10 +44,16 @@ def test_against_brute_force(spark):
     assert len(want) > 20 and run(spark, docs, items) == want
 
 
-def test_sketches_are_long_enough(spark):
-    text = " ".join(f"t{i}" for i in range(54))
-    s = D.sketches(spark.createDataFrame([(1, text)], "item_id long, text string"), 0.8).collect()
-    assert len(s) == 50 and sum(r["sketched"] for r in s) >= 50 - math.ceil(0.8 * 50) + 1
+def test_signatures_are_the_smallest_hashes_and_long_enough(spark):
+    items = [(n, " ".join(f"t{n}x{i}" for i in range(n + 4))) for n in (1, 2, 3, 7, 8, 40, 63, 64, 300)]
+    rows = D.sketches(spark.createDataFrame(items, "item_id long, text string"), 0.8).collect()
+    for n, _ in items:
+        own = [r for r in rows if r["item_id"] == n]
+        marked = sorted(r["h"] for r in own if r["needed"] is not None)
+        lacking = n - math.ceil(0.8 * n)
+        assert len(own) == n and marked == sorted(r["h"] for r in own)[: len(marked)]
+        assert {r["needed"] for r in own} - {None} <= {k for k in range(1, len(marked) - lacking + 1)}  # so no pair is missed
+        assert n < 3 or len(marked) < n or n < 8
 
 
 def test_empty_tables_and_clean(spark):
@@ -55,12 +61,33 @@ def test_empty_tables_and_clean(spark):
     docs = [(1, "so One two three four five six seven then"), (2, "nothing of it here"), (None, "one two three four five six seven")]
     assert run(spark, docs, []) == [] and run(spark, [], item) == []
     kept = D.clean(documents(spark, docs), spark.createDataFrame(item, "item_id long, text string"), ["doc_id", "text"]).collect()
-    assert {r["doc_id"] for r in kept} == {2, None} and len(kept) == 2
+    assert [tuple(r) for r in kept] == [(2, "nothing of it here")]
+
+
+def test_clean_judges_rows_by_their_text(spark):
+    items = spark.createDataFrame([(1, "one two three four five six seven")], "item_id long, text string")
+    docs = [(1, "ONE two three; four five six seven"), (1, "nothing of it here"), (None, None), (None, None), (None, "one two three four five six seven"), (2, ""), (2, "")]
+    kept = D.clean(documents(spark, docs), items, ["doc_id", "text"]).collect()
+    assert sorted(map(str, map(tuple, kept))) == sorted(map(str, [(1, "nothing of it here"), (None, None), (None, None), (2, ""), (2, "")]))
+
+
+def test_common_phrases_and_long_documents(spark):
+    rng = random.Random(8)
+    common = "which of the following is the best answer to the question"
+    items = [(k, f"{common} {' '.join(f'i{k}w{rng.randrange(999)}' for _ in range(12))}") for k in range(30)]
+    filler = [rng.choice(W) for _ in range(20_000)]
+    docs = [(i, " ".join([common] * 3 + filler[: 50 * i])) for i in range(30)]
+    docs += [(100 + k, " ".join([*filler[: 10_000], items[k][1], *filler[10_000:]])) for k in range(3)]
+    want = brute(docs, items)
+    assert {(i, k) for i, k, _ in want} == {(100 + k, k) for k in range(3)} and run(spark, docs, items) == want
 
 
 def test_no_broadcast_gives_the_same(spark, monkeypatch):
     from zscape.llm import common
 
-    docs, item = [(1, "so One two three four five six seven then"), (2, "no")], [(1, "one two three four five six seven")]
+    rng = random.Random(9)
+    items = [(k, " ".join(rng.choice(W) for _ in range(20))) for k in range(40)]
+    docs = [(i, " ".join([rng.choice(W) for _ in range(60)]) + (" " + items[i % 40][1] if i % 2 else "")) for i in range(60)]
+    want = brute(docs, items)
     monkeypatch.setattr(common, "BROADCAST_BYTES", 0)
-    assert run(spark, docs, item) == [(1, 1, 3)]
+    assert len(want) >= 30 and run(spark, docs, items) == want

@@ -1,18 +1,20 @@
 """Benchmark decontamination by size-partitioned MinHash containment search.
 
 A document is contaminated by an item if it has at least ``threshold`` of the item's distinct
-five-word shingles. Items are partitioned by their number of shingles, in classes of powers of two.
-The class's upper bound u gives the length of its items' MinHash sketches: floor((1 - threshold) * u)
-+ 1 smallest shingles (rarest among the items first, then by hash). A document that holds enough of
-an item's shingles can't miss all of so long a sketch, so the search finds every such pair, however
-long the document; a sketch of the document itself could not, as the item is a sliver of its
-shingles. Pairs found this way are then verified by counting the shingles, compared as strings.
+five-word shingles. Items are partitioned by their number of shingles, in classes of powers of two. A
+class's upper bound u sets its search: an item of the class may lack floor((1 - threshold) * u) of its
+shingles, its signature is the 2 * that + 1 smallest hashes of its shingles (all, if it has fewer),
+and a document is a candidate if it has all of the signature but the number that may lack. As only the
+item is sketched, the length of the document doesn't matter (in a sketch of its own, a short item
+would be lost), and no pair can be missed. Candidates are verified by counting the item's shingles in
+the document, compared as strings.
 
 Words are runs of letters and digits of the lower-cased text. Items with fewer than five words can't
-be evidence and match nothing. Null texts have no words. Rows without an id can't be named: they are
-left out of the pairs, and ``clean`` keeps such documents. Rows that repeat an id count as one
-document with all their shingles; rows that repeat an item's id with another text are items of their
-own, and equal ones count once. Empty tables give no pairs. Other columns are never read.
+be evidence and match nothing. Null texts have no words. Rows without an id can't be named, so they are
+left out of the pairs; ``clean`` judges every row by its own text, with an id or without. Rows that
+repeat an id count as one document with all their shingles; rows that repeat an item's id with another
+text are items of their own, and equal ones count once. Empty tables give no pairs. Other columns are
+never read.
 
 DataFrame functions only.
 """
@@ -39,30 +41,58 @@ def shingles(w: Column, make) -> Column:
     return F.when(F.size(w) >= SHINGLE, each)
 
 
+def _hash(*w: Column) -> Column:
+    return F.xxhash64(*w)
+
+
 def _joined(*w: Column) -> Column:
     return F.concat_ws(" ", *w)
 
 
+def _both(*w: Column) -> Column:
+    return F.struct(_hash(*w).alias("h"), _joined(*w).alias("shingle"))
+
+
 def sketches(items: DataFrame, threshold: float) -> DataFrame:
-    """``item, item_id, shingle, total, sketched``: each item's distinct shingles and whether its sketch has them."""
-    rows = items.where("item_id IS NOT NULL").select(F.sha2("text", 256).alias("item"), "item_id", F.explode(shingles(words(F.col("text")), _joined)).alias("shingle")).distinct()
+    """``item, item_id, h, shingle, total, needed``: each item's distinct shingles.
+
+    ``needed`` is set where the shingle is in the item's signature: the least number of the
+    signature's hashes that a document with ``threshold`` of the item must have.
+    """
+    rows = items.where("item_id IS NOT NULL").select(F.sha2("text", 256).alias("item"), "item_id", F.explode(shingles(words(F.col("text")), _both)).alias("s"))
+    rows = rows.select("item", "item_id", "s.h", "s.shingle").distinct()
     own = Window.partitionBy("item_id", "item")
-    rare = own.orderBy("df", F.xxhash64("shingle"), "shingle")
-    rows = rows.withColumn("df", F.count("*").over(Window.partitionBy("shingle"))).withColumn("total", F.count("*").over(own))
+    rows = rows.withColumn("total", F.count("*").over(own)).withColumn("place", F.row_number().over(own.orderBy("h", "shingle")))
     upper = F.pow(F.lit(2.0), F.floor(F.log2("total")) + 1) - 1
-    length = F.floor(upper * (1 - threshold) + 1e-9) + 1
-    return rows.select("item", "item_id", "shingle", "total", (F.row_number().over(rare) <= length).alias("sketched"))
+    lacking = F.floor(upper * (1 - threshold) + 1e-9)
+    length = F.least("total", 2 * lacking + 1)
+    return rows.select("item", "item_id", "h", "shingle", "total", F.when(F.col("place") <= length, length - lacking).alias("needed"))
+
+
+#: Words of 64 bits that a filter of hashes has: a table of two longs each, so about 8 MB to broadcast.
+FILTER_WORDS = 1 << 19
+
+
+def _may_be_in(rows: DataFrame, hashes: DataFrame) -> DataFrame:
+    """``rows`` whose ``h`` may be one of ``hashes``: a bit for each hash, in a table of bounded size."""
+    word, bit = F.pmod(F.col("h"), F.lit(FILTER_WORDS)), F.pmod(F.shiftright("h", 32), F.lit(64)).cast("int")
+    bits = hashes.select(word.alias("_word"), F.call_function("shiftleft", F.lit(1).cast("long"), bit).alias("_bits")).groupBy("_word").agg(F.bit_or("_bits").alias("_bits"))
+    kept = rows.withColumn("_w", word).join(F.broadcast(bits), F.col("_w") == F.col("_word"))
+    return kept.where(F.call_function("bit_get", F.col("_bits"), bit) == 1).drop("_w", "_word", "_bits")
 
 
 def contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """``doc_id, item_id, matched, total, containment`` for each pair at ``threshold`` or above."""
     marks = written(sketches(items, threshold), "sketches")
     named = docs.where("doc_id IS NOT NULL")
-    size = marks.agg(F.count("*"), F.count_if("sketched")).first()
-    probe = marks.where("sketched").select("item", "item_id", F.xxhash64(F.split("shingle", " ")[0], *(F.split("shingle", " ")[k] for k in range(1, SHINGLE))).alias("h"))
-    seen = named.select("doc_id", words(F.col("text")).alias("w")).select("doc_id", F.explode(shingles(F.col("w"), F.xxhash64)).alias("h"))
-    found = seen.join(broadcast_if_small(probe, size[1], 128), "h").select("doc_id", "item", "item_id").distinct()
-    found = written(found, "candidates")
+    size = marks.agg(F.count("*"), F.count("needed")).first()
+    probe = marks.where("needed IS NOT NULL").select("item", "item_id", "h", "needed")
+    seen = named.select("doc_id", words(F.col("text")).alias("w")).select("doc_id", F.explode(shingles(F.col("w"), _hash)).alias("h"))
+    small = broadcast_if_small(probe, size[1], 128)
+    if small is probe:  # too many to broadcast: most shingles go before the shuffle
+        seen = _may_be_in(seen, probe.select("h"))
+    found = seen.join(small, "h").groupBy("doc_id", "item", "item_id").agg(F.count_distinct("h").alias("n"), F.max("needed").alias("needed"))
+    found = written(found.where("n >= needed").select("doc_id", "item", "item_id"), "candidates")
     ids = found.select("doc_id").distinct()
     few = broadcast_if_small(ids, found.count(), 16)
     again = named.join(few, "doc_id", "left_semi").select("doc_id", words(F.col("text")).alias("w"))
@@ -73,9 +103,14 @@ def contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD
 
 
 def clean(docs: DataFrame, items: DataFrame, columns: list[str], threshold: float = THRESHOLD) -> DataFrame:
-    """``columns`` of the documents that no item contaminates."""
-    found = written(contaminated(docs, items, threshold).select("doc_id").distinct(), "contaminated")
-    return docs.select(*columns).join(broadcast_if_small(found, found.count(), 16), "doc_id", "left_anti").select(*columns)
+    """``columns`` of the rows whose text no item contaminates; null texts stay.
+
+    Texts are named by their SHA-256, so equal texts are one document and rows need no id.
+    """
+    key = F.sha2("text", 256)
+    found = written(contaminated(docs.select(key.alias("doc_id"), "text"), items, threshold).select(F.col("doc_id").alias("_key")).distinct(), "contaminated")
+    rows = docs.select(*columns, F.coalesce(key, F.concat(F.lit("null "), F.xxhash64(*columns).cast("string"))).alias("_key"))
+    return rows.join(broadcast_if_small(found, found.count(), 80), "_key", "left_anti").select(*columns)
 
 
 ORACLE_SQL = r"""
