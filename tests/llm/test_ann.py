@@ -39,14 +39,42 @@ def test_recall_on_isotropic_and_clustered(spark):
 
 
 def test_many_copies_and_small_parts(spark, monkeypatch):
-    monkeypatch.setattr(A, "ROWS", 64)
-    monkeypatch.setattr(A, "QUERIES", 16)
+    monkeypatch.setattr(A, "BUCKET_ROWS", 32)
+    monkeypatch.setattr(A, "QUERIES", 4)
+    monkeypatch.setattr(A, "PIECE", 50)
+    monkeypatch.setattr(A, "PAIRS", 300)
     rng = np.random.default_rng(1)
     x = rng.normal(size=(600, 8))
     x[::3] = x[0]
     check(spark, x, vectors(spark, x))
 
 
+def test_repeated_rows(spark):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(200, 8)).astype(np.float32)
+    other = [(100, [float(v) for v in x[7]], 1, 2.0)]  # the query's id with another vector
+    repeats = [(100, [float(v) for v in x[100]], 1, 2.0)] * 3 + [(104, [float(v) for v in x[104]], 1, 2.0)]
+    for extra in (repeats, repeats + other):
+        rows = A.usable(vectors(spark, x, extra=extra))
+        got = [(r["vec_id"], r["score"]) for r in sorted(A.search(rows, rows.where("vec_id = 100"), recall=1.0).collect(), key=lambda r: r["rank"])]
+        q = min([x[100].tolist()] + ([x[7].tolist()] if extra[-1:] == other else []))
+        every = [*enumerate(x), (104, x[104])]
+        want = sorted((float(np.sqrt(((v.astype(float) - q) ** 2).sum())), i) for i, v in every if i != 100)[:10]
+        assert [g[0] for g in got] == [i for _, i in want] and np.allclose([g[1] for g in got], [d for d, _ in want], atol=1e-12)
+
+
+def test_nearest_of_far_and_huge_vectors():
+    rng = np.random.default_rng(5)
+    for scale, shift in ((1, 1e6), (1e-12, 0), (1e160, 0)):
+        x = rng.normal(size=(300, 6)) * scale + shift
+        n, at, score = A.nearest(np.arange(300), x, np.array([5, 6]), x[5:7], 10)
+        for q in (0, 1):
+            with np.errstate(over="ignore"):
+                d = np.sqrt(((x - x[5 + q]) ** 2).sum(1))
+            want = [i for i in np.lexsort((np.arange(300), d)) if i != 5 + q][:10]
+            assert at[n == q].tolist() == want and (score[n == q] == d[want]).all()
+
+
 def test_unusable_rows(spark):
     x = np.eye(4)[[0, 1, 2, 3, 0]]
     bad = [(100, None, 1, 1.0), (120, [0.0] * 4, 1, 1.0), (140, [1.0, None, 0.0, 0.0], 1, 1.0), (160, [float("nan"), 1.0, 0.0, 0.0], 1, 1.0), (180, [float("inf"), 1.0, 0.0, 0.0], 1, 1.0), (200, [], 1, 1.0), (None, [1.0, 0.0, 0.0, 0.0], 1, 1.0), (220, [1.0], 1, 1.0)]
@@ -58,9 +86,25 @@ def test_unusable_rows(spark):
 
 def test_walk_is_in_order():
     rng = np.random.default_rng(2)
-    index = A.Index(np.zeros((6, 1)), np.zeros((5, 1)), rng.integers(0, 4, (6, 5)))
+    index = A.Index(np.zeros((6, 1)), np.zeros((5, 1)), rng.integers(0, 3, (6, 5)), 9)
     a, b = rng.random(6), rng.random(5)
     seen = list(index.walk(a, b))
-    sums = [a[i] + b[j] for i, j, _ in seen]
-    assert len(seen) == 30 and sums == sorted(sums)
-    assert seen[-1][2] == index.counts.sum() - index.counts[seen[-1][0], seen[-1][1]]
+    cells = sorted((a[i] + b[j], i, j) for i, j in zip(*np.nonzero(index.counts)))
+    assert [(s, i, j) for i, j, s, _ in seen] == cells
+    before = 0
+    for i, j, _, passed in seen:
+        assert passed == before
+        before += index.counts[i, j]
+    end, entered = index.entered(a, b, 1)
+    walked = [c for c in cells if c[0] <= end]
+    assert sum(index.counts[i, j] for _, i, j in walked) >= 9 > sum(index.counts[i, j] for _, i, j in walked[:-1])
+    assert sorted({i for _, i, _ in walked}) == entered.tolist()
+
+
+def test_buckets_cover_every_centroid_once():
+    counts = np.array([3, 0, 5, 40, 2, 9, 10, 0, 21])
+    first, parts = A._buckets(counts, 10)
+    spans = [(f, f + p) for f, p in zip(first, parts)]
+    assert parts.tolist() == [1, 1, 1, 4, 1, 1, 1, 1, 3]
+    for b in range(spans[-1][1]):
+        assert sum(-(-n // p) for n, (f, e), p in zip(counts, spans, parts) if f <= b < e) <= 10
