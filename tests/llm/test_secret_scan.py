@@ -71,3 +71,13 @@ def test_no_key_byte_survives_redaction(spark):
     assert out[8] == "the line [SECRET] alone" and out[9] == f"[SECRET]\nsome prose\n-----\n{end}"
     spans = {r["doc_id"]: r["spans"] for r in S.find(documents(spark, rows)).collect()}
     assert f"private_key:4:{4 + len(whole)}" in spans[1].split(",")
+
+
+def test_many_matches_in_a_long_text_beyond_ascii():
+    import time
+
+    text = "é token=abcdef 日本 " * 60_000
+    began = time.perf_counter()
+    spans = S.scanner().scan(text)
+    assert len(spans) == 60_000 and all(text[a:b] == "token=abcdef" for _, a, b in spans[::997])
+    assert time.perf_counter() - began < 30

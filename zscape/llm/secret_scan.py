@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import small_batches
+from .common import pieces
 
 
 @dataclass(frozen=True)
@@ -291,8 +291,11 @@ class Scanner:
                     if len(body) >= r.least:
                         spans.append((at, k, end))
         if not data.isascii():
-            length = lambda b: len(b.decode("utf-8", "surrogatepass"))
-            spans = [(length(data[:s]), k, length(data[:e])) for s, k, e in spans]
+            ends = np.unique([x for s, _, e in spans for x in (s, e)]).astype(np.int64)
+            begins = np.frombuffer(data, np.uint8) & 0xC0 != 0x80  # a code point's first byte
+            steps = [int(np.count_nonzero(begins[a:b])) for a, b in zip([0, *ends[:-1]], ends)]
+            place = dict(zip(ends.tolist(), np.cumsum(steps).tolist()))
+            spans = [(place[s], k, place[e]) for s, k, e in spans]
         return [(self.rules[k].kind, s, e) for s, k, e in sorted(spans)]
 
 
@@ -307,12 +310,11 @@ def _joined(spans: list[tuple[str, int, int]]) -> str:
 
 def find(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """``doc_id, n_assign, n_access, n_hex, base_sha256, spans`` for every row of ``docs``."""
-    small_batches(docs.sparkSession)
     base = [r.kind for r in rules if r.base]
 
     def run(batches):
         s = scanner(rules)
-        for b in batches:
+        for b in pieces(batches):
             found = [s.scan(t) for t in b.column("text").to_pylist()]
             own = [[x for x in f if x[0] in base] for f in found]
             counts = [pa.array([sum(x[0] == k for x in f) for f in own], pa.int64()) for k in base]
@@ -326,7 +328,6 @@ def find(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
 
 def redacted(docs: DataFrame, columns: list[str], rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """``columns`` of ``docs`` (``text`` among them), each secret in ``text`` replaced by ``[SECRET]``."""
-    small_batches(docs.sparkSession)
 
     def hidden(s: Scanner, text: str | None) -> str | None:
         at, out = 0, []
@@ -338,7 +339,7 @@ def redacted(docs: DataFrame, columns: list[str], rules: tuple[Rule, ...] = RULE
 
     def run(batches):
         s = scanner(rules)
-        for b in batches:
+        for b in pieces(batches):
             texts = pa.array([hidden(s, t) for t in b.column("text").to_pylist()], pa.string())
             yield b.set_column(b.schema.get_field_index("text"), "text", texts)
 
