@@ -47,3 +47,21 @@ def test_risk_is_not_fooled_by_hidden_positives():
     w, b = T.fit(p, u, 0.2)
     score = lambda x: 1 / (1 + np.exp(-(x @ w + b)))
     assert score(np.eye(5)[0]) > 0.5 > score(np.eye(5)[1])
+
+
+def test_few_confirmed_texts(spark):
+    kept = [i for i in range(4000) if zlib.crc32(str(i).encode()) % 4 != 2]
+    rows, _ = data(400)
+    clean = [(i, t) for i, (_, t, *_) in zip(kept, rows) if not any(w in t for w in ("idiot", "scum", "vileness"))]
+    for n in range(1, 8):
+        bad = [(kept[1000 + k], f"you idiot {'the house water people'.split()[k % 4]} {k}") for k in range(n)]
+        labels = [(i, 1) for i, _ in bad] + [(i, 0) for i, _ in clean[:40]]
+        docs = documents(spark, [*clean, *bad, *bad[:1]])  # one of them repeated
+        m = T.train(docs, spark.createDataFrame(labels, "doc_id long, toxic int"))
+        a, b, c = m.scores(["what an idiot", "water under the house", "what an idiot " * 100_000])
+        assert a > b and a == c, n
+
+
+def test_no_confirmed_text_in_the_table(spark):
+    docs = documents(spark, [(1, "x y"), (3, "z")])
+    assert T.train(docs, spark.createDataFrame([(77, 1), (1, 0)], "doc_id long, toxic int")) is None

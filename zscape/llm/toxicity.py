@@ -8,7 +8,7 @@ classifier on the presence of words and of their beginnings is trained in numpy
 with the logistic loss, so its score estimates the chance that a text is toxic; where the second term
 goes below zero, the step climbs it instead, as else the classifier would overfit the positives. The
 prior is the share of toxic rows among the labelled ones of the learning fold. Words are chosen by how
-much more often confirmed texts have them than unlabelled ones.
+much more often confirmed texts have them than unlabelled ones; one confirmed text is enough to learn from.
 
 Null and empty texts have no words and get the score of a text without any. Null labels are no labels;
 an id with several labels is toxic if one says so; rows without an id teach nothing. Without any
@@ -26,12 +26,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, held_out, share_of_hash, small_batches, written
+from .common import broadcast_if_small, held_out, pieces, share_of_hash, written
 
 #: Most confirmed and most unlabelled texts that the classifier is fitted on, and its words.
 POSITIVE, UNLABELLED, WORDS = 4000, 16000, 512
-#: A word must be in this share of the confirmed texts (in eight at least): rarer ones tell copies apart.
-SUPPORT = 0.01
+#: A word must be in this share of the confirmed texts, and in ``SEVERAL`` or, of fewer than twice as many,
+#: in half of them: rarer ones tell copies apart.
+SUPPORT, SEVERAL = 0.01, 8
 THRESHOLD = 0.3
 TOKEN = re.compile(r"[^\W\d_]+")
 
@@ -85,7 +86,6 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int =
 
 def train(docs: DataFrame, labels: DataFrame) -> Model | None:
     """A model of bounded samples, picked by a hash of the id, of documents outside the held-out fold."""
-    small_batches(docs.sparkSession)
     known = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     n, n_toxic = known.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
     if not n_toxic:
@@ -99,7 +99,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Model | None:
     others = learn.where(order < min(1.0, 1.1 * UNLABELLED / max(1, total))).select("text", F.lit(0).alias("y"))
 
     def split(batches):
-        for b in batches:
+        for b in pieces(batches):
             yield pa.RecordBatch.from_arrays([b.column("y"), pa.array([sorted(words(t)) for t in b.column("text").to_pylist()], pa.list_(pa.string()))], ["y", "words"])
 
     sample = written(confirmed.union(others).mapInArrow(split, "y int, words array<string>").distinct(), "toxicity-sample")
@@ -107,14 +107,14 @@ def train(docs: DataFrame, labels: DataFrame) -> Model | None:
     if not count.get(1):
         return None
     n_p, n_u = count[1], max(1, count.get(0, 0))
-    seen = sample.select("y", F.explode("words").alias("word")).groupBy("word").agg(F.sum("y").alias("p"), F.sum(1 - F.col("y")).alias("u")).where(F.col("p") >= max(8, SUPPORT * n_p))
+    seen = sample.select("y", F.explode("words").alias("word")).groupBy("word").agg(F.sum("y").alias("p"), F.sum(1 - F.col("y")).alias("u")).where(F.col("p") >= max(SUPPORT * n_p, min(SEVERAL, n_p / 2)))
     share = (F.col("u") + 1) / (n_u + 2)
     gain = (F.col("p") / n_p - share) / F.sqrt(share * (1 - share) / n_p)
     best = seen.orderBy(F.desc(gain), "word").limit(WORDS).select("word").collect()
     place = {r[0]: i for i, r in enumerate(best)}
 
     def indexed(batches):
-        for b in batches:
+        for b in pieces(batches):
             rows = [np.array(sorted(place[w] for w in ws if w in place), np.int16).tobytes() for ws in b.column("words").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("y"), pa.array(rows, pa.binary())], ["y", "at"])
 
@@ -135,12 +135,11 @@ def train(docs: DataFrame, labels: DataFrame) -> Model | None:
 def score(docs: DataFrame, model: Model | None) -> DataFrame:
     """``doc_id, held_out, score, predicted`` for every row of ``docs``."""
     spark = docs.sparkSession
-    small_batches(spark)
     held = spark.sparkContext.broadcast(model)
 
     def run(batches):
         m = held.value
-        for b in batches:
+        for b in pieces(batches):
             texts = b.column("text").to_pylist()
             s = m.scores(texts) if m else np.zeros(len(texts))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("held_out"), pa.array(s), pa.array((s >= THRESHOLD).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
