@@ -70,3 +70,27 @@ def test_sample_has_languages_in_equal_parts(spark, monkeypatch):
     monkeypatch.setattr(L, "fit", fit)
     L.train(documents(spark, rows), sample_rows=200)
     assert taken == {"en": 50, "de": 50, "fr": 50, "xx": 2}
+
+
+def test_a_rare_language_is_predicted(spark):
+    held = lambda i: zlib.crc32(str(i).encode()) % 4 == 2
+    rare = [i for i in range(40_000, 50_000) if not held(i)][:2] + [i for i in range(50_000, 60_000) if held(i)][:1]
+    rows = [(i, t, lang) for i, t, lang, _ in corpus(20_000)]
+    rows += [(i, "вода под домом и люди на улице " * (k + 1), "ru") for k, i in enumerate(rare)]  # 2 of 20,000 labelled rows
+    out = {r["doc_id"]: r["lang_pred"] for r in L.identify(documents(spark, rows)).collect()}
+    assert [out[i] for i in rare] == ["ru"] * 3
+
+
+def test_long_spectra_are_thinned_for_fitting_alone():
+    ids = np.arange(0, 200_000, 3, dtype=np.int32)
+    short = L.thinned(ids)
+    assert len(short) == L.FITTED and set(short.tolist()) <= set(ids.tolist()) and (np.diff(short) > 0).all()
+    assert L.thinned(ids[:100]) is not None and (L.thinned(ids[:100]) == ids[:100]).all()
+    m = L.fit([L.spectrum("hello world"), L.spectrum("bonjour monde")], ["en", "fr"], landmarks=2)
+    many = [L.spectrum(t) for t in ("hello", "bonjour", "") * 50]
+    whole = m.kernel(many)
+    L.ENTRIES, before = 50, L.ENTRIES
+    try:
+        assert np.allclose(m.kernel(many), whole)
+    finally:
+        L.ENTRIES = before

@@ -21,13 +21,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, share_of_hash, small_batches
+from .common import held_out, pieces, share_of_hash
 
 #: a-z have a symbol each, other letters share the rest by code point; 0 is anything that is no letter.
 SYMBOLS = 96
 DIMENSIONS = SYMBOLS + SYMBOLS**2 + SYMBOLS**3
 CHUNK = 1_000_000
 UNKNOWN = "und"
+#: Most n-grams of a text that the model is fitted on (a text of 20,000 words of prose has fewer), so that
+#: the sample is bounded in bytes too; most entries of a presence matrix at once.
+FITTED, ENTRIES = 16_384, 1 << 23
 #: A text with fewer distinct n-grams (about 80 characters of prose) says too little to be rejected.
 ENOUGH = 150
 
@@ -64,6 +67,14 @@ def spectrum(text: str | None) -> np.ndarray:
     return (found[0] if len(found) == 1 else np.unique(np.concatenate(found))).astype(np.int32)
 
 
+def thinned(ids: np.ndarray) -> np.ndarray:
+    """``ids``, or of too many those ``FITTED`` that a fixed mixing of their bits puts first."""
+    if len(ids) <= FITTED:
+        return ids
+    mixed = (ids.astype(np.uint32) * np.uint32(2654435761)) ^ np.uint32(0x9E3779B9)
+    return np.sort(ids[np.argsort(mixed, kind="stable")[:FITTED]])
+
+
 @dataclass
 class Model:
     """``columns`` maps an n-gram id to its row of ``landmarks`` (-1: none of them has it).
@@ -82,12 +93,17 @@ class Model:
     floor: float = -np.inf
 
     def kernel(self, spectra: list[np.ndarray]) -> np.ndarray:
-        presence = np.zeros((len(spectra), len(self.landmarks)), np.float32)
-        for i, ids in enumerate(spectra):
-            c = self.columns[ids]
-            presence[i, c[c >= 0]] = 1
-        sizes = np.sqrt(np.array([max(1, len(x)) for x in spectra], np.float32))
-        return (presence @ self.landmarks) / (sizes[:, None] * self.roots)
+        rows = max(1, ENTRIES // max(1, len(self.landmarks)))
+        out = [np.zeros((0, len(self.roots)), np.float32)]
+        for at in range(0, len(spectra), rows):
+            part = spectra[at : at + rows]
+            presence = np.zeros((len(part), len(self.landmarks)), np.float32)
+            for i, ids in enumerate(part):
+                c = self.columns[ids]
+                presence[i, c[c >= 0]] = 1
+            sizes = np.sqrt(np.array([max(1, len(x)) for x in part], np.float32))
+            out.append((presence @ self.landmarks) / (sizes[:, None] * self.roots))
+        return np.concatenate(out)
 
     def decide(self, spectra: list[np.ndarray]) -> np.ndarray:
         """A value near 1 for the text's language and near -1 for each other one."""
@@ -130,9 +146,8 @@ def train(docs: DataFrame, sample_rows: int = 2000, landmarks: int = 96) -> Mode
 
     Each language gives the same number of rows, or all that it has if these are fewer; at least one.
     Rows without a letter don't count, and neither do repeated ids. The rows are picked by a hash of
-    their id; their n-grams are found on the executors. None if no labelled row has a letter.
+    their id; their n-grams (``FITTED`` of a text at most) are found on the executors. None if no labelled row has a letter.
     """
-    small_batches(docs.sparkSession)
     rows = docs.select("doc_id", "text", "lang").where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
     count = {r["lang"]: max(1, r["n"]) for r in rows.groupBy("lang").agg(F.approx_count_distinct("doc_id").alias("n")).collect()}
     if not count:
@@ -149,8 +164,8 @@ def train(docs: DataFrame, sample_rows: int = 2000, landmarks: int = 96) -> Mode
         return None
 
     def find(batches):
-        for b in batches:
-            ids = [spectrum(t) for t in b.column("text").to_pylist()]
+        for b in pieces(batches):
+            ids = [thinned(spectrum(t)) for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("lang"), pa.array([x.tobytes() for x in ids], pa.binary()), b.column("o")], ["lang", "ids", "o"])
 
     picked = rows.where(order <= by_lang(last)).select("text", "lang", order.alias("o"))
@@ -168,14 +183,13 @@ def predict(docs: DataFrame, model: Model | None, keep: list[str]) -> DataFrame:
     floor of -0.25 for its four languages; base64 of 300 random bytes gets -0.36 at most.
     """
     spark = docs.sparkSession
-    small_batches(spark)
     held = spark.sparkContext.broadcast(model)
     schema = docs.select(*keep).schema
     fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in schema)
 
     def run(batches):
         m = held.value
-        for b in batches:
+        for b in pieces(batches):
             spectra = [spectrum(t) for t in b.column("_text").to_pylist()]
             size = np.array([len(x) for x in spectra], int)
             lang, score, yes = [UNKNOWN] * len(spectra), np.zeros(len(spectra)), size > 0
