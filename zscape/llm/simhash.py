@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from .common import broadcast_if_small, small_batches, written
+from .common import broadcast_if_small, evenly_joined, pieces, written
 from .graph import connected_components
 
 SHINGLE, SEED, BITS, BUDGET = 4, 42, 64, 4
@@ -56,10 +56,9 @@ def fingerprint(text: str | None) -> int:
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """``doc_id, fp`` (a signed long with the fingerprint's bits)."""
-    small_batches(docs.sparkSession)
 
     def run(batches):
-        for b in batches:
+        for b in pieces(batches):
             fps = np.array([fingerprint(t) for t in b.column("text").to_pylist()], np.uint64)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
 
@@ -186,7 +185,6 @@ def blocks(n: int) -> list[int]:
 
 def links(fps: DataFrame) -> DataFrame:
     """``src, dst``: links between distinct fingerprints whose components are those of all links."""
-    spark = fps.sparkSession
     signed = [m - (1 << BITS) if m >> (BITS - 1) else m for m in blocks(fps.count())]
     groups = F.array(*[F.xxhash64(F.lit(i), F.col("fp").bitwiseAND(m)) for i, m in enumerate(signed)])
     rows = fps.select("fp", F.explode(groups).alias("group"))
@@ -197,19 +195,18 @@ def links(fps: DataFrame) -> DataFrame:
     alone = F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(0).alias("side")))
     dealt = rows.select("fp", "group", "parts", F.explode(F.when(F.col("parts").isNull(), alone).otherwise(with_others)).alias("p"))
     dealt = dealt.select("fp", F.when(F.col("parts").isNull(), F.col("group")).otherwise(F.xxhash64("group", "p.i", "p.j")).alias("key"), F.col("p.side").alias("side"))
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
     return dealt.repartition("key").sortWithinPartitions("key").mapInArrow(_forests, "src long, dst long")
 
 
 def components(docs: DataFrame) -> DataFrame:
     """``doc_id, fingerprint, component_id`` for every row of ``docs``."""
     fps = written(fingerprints(docs), "fingerprints")
-    each = written(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
+    each = written(fps.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "distinct")
     found = connected_components(links(each.select("fp")))
     named = each.join(found.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
-    least = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    classes = named.join(least, "component").select("fp", "component_id")
-    return fps.join(classes, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    least = named.groupBy("component").agg(F.min("least").alias("component_id"), F.count("*").alias("n"))
+    classes = evenly_joined(named, least.drop("n"), "component", least.select("component", "n"), F.xxhash64("fp"), rows=each.count())
+    return evenly_joined(fps, classes.select("fp", "component_id"), "fp", each.select("fp", "n"), F.xxhash64("doc_id")).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def representatives(docs: DataFrame, columns: list[str]) -> DataFrame:

@@ -18,13 +18,12 @@ from __future__ import annotations
 import base64
 import gzip
 import hashlib
-import uuid
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_dir, small_batches
+from .common import evenly_joined, pieces, scratch
 
 DATE = "2000-01-01T00:00:00Z"
 END = "\r\n\r\n"
@@ -49,9 +48,11 @@ def headers(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     """``page_id, digest, shares, header``: a row for each record; ``shares`` records have its payload."""
     facts = pages.select("page_id", "url", F.sha2(_payload(), 256).alias("digest"), base32_sha1(_payload()).alias("sha1"), F.octet_length(_payload()).cast("long").alias("bytes"))
     facts = facts.groupBy("page_id", "url", "digest", "sha1", "bytes").agg(F.count("*").alias("n"))
+    total = pages.count()
     place = F.struct(F.col("page_id").isNull().alias("no"), "page_id", F.col("url").isNull().alias("none"), "url")
     first = facts.groupBy("digest").agg(F.min(place).alias("first"), F.sum("n").alias("shares"))
-    rows = facts.join(first, "digest").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))))
+    sizes = first.select("digest", F.col("shares").alias("n"))
+    rows = evenly_joined(facts, first, "digest", sizes, F.xxhash64("page_id", "url"), rows=total).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))))
     is_first = place.eqNullSafe(F.col("first")) & (F.col("copy") == 1)
     record_id = lambda page, url, copy: F.concat(F.lit("<urn:uuid:"), F.regexp_replace(F.md5(F.to_json(F.struct(page.alias("p"), url.alias("u"), copy.alias("c")))), r"^(.{8})(.{4})(.{4})(.{4})(.{12})$", "$1-$2-$3-$4-$5"), F.lit(">"))
     kind = F.when((F.col("bytes") < least_bytes) | is_first, "response").otherwise("revisit")
@@ -77,10 +78,9 @@ def headers(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
 
 def payloads(pages: DataFrame) -> DataFrame:
     """``digest, gz``: each distinct payload once."""
-    small_batches(pages.sparkSession)
 
     def pack(batches):
-        for b in batches:
+        for b in pieces(batches):
             gz = [gzip.compress(v, 5, mtime=0) for v in b.column("payload").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("digest"), pa.array(gz, pa.binary())], ["digest", "gz"])
 
@@ -89,8 +89,8 @@ def payloads(pages: DataFrame) -> DataFrame:
 
 
 def write(pages: DataFrame, folder: str | None = None, least_bytes: int = 0) -> str:
-    """Writes the archive; the folder it is in."""
-    folder = folder or f"{shared_dir(pages.sparkSession)}/warc-{uuid.uuid4().hex}"
+    """Writes the archive; the folder it is in (by default one that goes when the application ends)."""
+    folder = folder or scratch(pages.sparkSession, "warc")
     payloads(pages).write.option("compression", "none").parquet(f"{folder}/payloads")
     headers(pages, least_bytes).write.parquet(f"{folder}/headers")
     return folder
@@ -98,7 +98,6 @@ def write(pages: DataFrame, folder: str | None = None, least_bytes: int = 0) ->
 
 def read(spark: SparkSession, folder: str) -> DataFrame:
     """``page_id, header, payload`` of every record, verified; header and payload are exact bytes."""
-    small_batches(spark)
     heads, stored = spark.read.parquet(f"{folder}/headers"), spark.read.parquet(f"{folder}/payloads")
     parts = F.ceil(F.col("shares") / TOGETHER).cast("int")
     heads = heads.withColumn("part", F.pmod(F.xxhash64("header"), parts).cast("int"))
@@ -106,7 +105,7 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
     stored = stored.join(shared, "digest", "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)))
 
     def unpack(batches):
-        for b in batches:
+        for b in pieces(batches):
             known, out = {}, []
             for digest, gz, header in zip(*(b.column(c).to_pylist() for c in ("digest", "gz", "header"))):
                 if digest not in known:
@@ -138,15 +137,19 @@ def described(records: DataFrame) -> DataFrame:
     )
 
 
-def export(records: DataFrame, folder: str) -> None:
-    """Standard .warc text files: Spark's text writer puts the record's end after each value."""
+def export(records: DataFrame, folder: str, file_records: int = 10_000) -> None:
+    """Standard .warc text files: Spark's text writer puts the record's end after each value.
+
+    A file has at most ``file_records`` records: ``load`` reads a file as one row, so it must stay
+    below 2 GB (the default allows records of 200 KB on average).
+    """
     revisit = F.decode("header", "UTF-8").contains("WARC-Type: revisit\r\n")
     body = F.when(revisit, F.lit("")).otherwise(F.decode("payload", "UTF-8"))
-    records.select(F.concat(F.decode("header", "UTF-8"), F.lit("\r\n"), body).alias("value")).write.option("lineSep", END).text(folder)
+    records.select(F.concat(F.decode("header", "UTF-8"), F.lit("\r\n"), body).alias("value")).write.option("lineSep", END).option("maxRecordsPerFile", file_records).text(folder)
 
 
 def load(spark: SparkSession, folder: str) -> DataFrame:
-    """``header, payload`` of every record in exported files, each file parsed by content lengths."""
+    """``header, payload`` of every record in exported files, each file (below 2 GB) parsed by content lengths."""
 
     def parse(batches):
         for b in batches:
@@ -161,7 +164,6 @@ def load(spark: SparkSession, folder: str) -> DataFrame:
                     at = stop + 2 + n + len(END)
                 yield pa.RecordBatch.from_arrays([pa.array(heads, pa.binary()), pa.array(bodies, pa.binary())], ["header", "payload"])
 
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")
     return spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(folder).select("content").mapInArrow(parse, "header binary, payload binary")
 
 
