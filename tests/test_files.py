@@ -3,6 +3,10 @@
 import datetime as dt
 import gzip
 
+import pytest
+from pyspark.errors import AnalysisException
+
+from zscape.operators import facts
 from zscape.operators.scoring import WEIGHTS
 from zscape.sources import readers, writers
 
@@ -42,3 +46,87 @@ def test_summary_and_objects(spark, tmp_path):
     rows = spark.createDataFrame([(2, "b"), (1, "a")], "rank int, json string")
     writers.write_objects(rows, str(tmp_path / "o"))
     assert sorted(r[0] for r in spark.read.text(str(tmp_path / "o")).collect()) == ["a", "b"]
+
+
+def weights_text(style):
+    import json
+
+    flat = json.loads(json.dumps(WEIGHTS))
+    flat["composite"] = {"trend": 0.5, "quality": 0.3, "value": 0.2}
+    if style == "json":
+        return json.dumps(flat)
+    if style == "flow":
+        return "composite: {trend: 0.5, quality: 0.3, value: 0.2}  # shares\nsubfactors: " + json.dumps(flat["subfactors"])
+    lines = ["composite:", *(f"  {k}: {v}" for k, v in flat["composite"].items()), "subfactors:"]
+    for b, s in flat["subfactors"].items():
+        lines += [f"    {b}:", *(f"      {n}: {w}" for n, w in s.items())]
+    return "\n".join(lines)
+
+
+@pytest.mark.parametrize("style", ["json", "flow", "block"])
+def test_weights_in_every_style(tmp_path, style):
+    if style != "json":
+        pytest.importorskip("yaml")
+    path = tmp_path / "weights"
+    path.write_text(weights_text(style))
+    got = readers.load_weights(path)
+    assert got["composite"] == {"trend": 0.5, "quality": 0.3, "value": 0.2} and got["subfactors"] == WEIGHTS["subfactors"]
+
+
+@pytest.mark.parametrize("text", ["composite: [", "- 1\n- 2", "composite: {trend: x, quality: 0.3, value: 0.2}", "", "12", '{"composite": {"trend": 1}}'])
+def test_weights_that_are_not_as_they_should_be(tmp_path, text):
+    pytest.importorskip("yaml")
+    (tmp_path / "w").write_text(text)
+    assert readers.load_weights(tmp_path / "w") is WEIGHTS
+
+
+def test_weights_without_a_parser_are_refused(tmp_path, monkeypatch):
+    monkeypatch.setattr(readers, "yaml", None)
+    (tmp_path / "w.yml").write_text(weights_text("block"))
+    with pytest.raises(RuntimeError):
+        readers.load_weights(tmp_path / "w.yml")
+    (tmp_path / "w.json").write_text(weights_text("json"))
+    assert readers.load_weights(tmp_path / "w.json")["composite"]["trend"] == 0.5
+
+
+def test_later_files_and_rows_win_however_they_are_split(spark, tmp_path):
+    many = "".join(f"T{i},2001-01-0{1 + i % 9}\n" for i in range(400))
+    (tmp_path / "a.csv").write_text("ticker,added_date\nX,2000-01-01\n" + many + "X,2000-01-02\n")
+    (tmp_path / "b.csv").write_text("ticker,added_date\nX,2000-01-03\n" + many + "X,2000-01-04\nY,2000-02-02\n")
+    for size in ("1k", "128m"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        got = {r["ticker"]: str(r["added_date"]) for r in readers.read_membership(spark, str(tmp_path)).collect()}
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        assert got["X"] == "2000-01-04" and got["Y"] == "2000-02-02" and len(got) == 402
+
+
+def test_universe_files(spark, tmp_path):
+    (tmp_path / "u.csv").write_text(" Symbol ,NAME,Sector,cik,enabled\n brk.b ,Berk, Fin ,12,1\nx,X,,34,\ny,Y,A,,0\nz,Z,A,56,maybe\n")
+    got = {r["ticker"]: (r["cik"], r["sector"], r["enabled"]) for r in readers.read_universe(spark, str(tmp_path / "u.csv")).collect()}
+    assert got["BRK.B"] == ("0000000012", "Fin", 1) and got["X"][2] == got["Z"][2] == 0
+    assert [r["ticker"] for r in readers.read_universe(spark, str(tmp_path / "u.csv"), enabled_only=True).collect()] == ["BRK.B"]
+    (tmp_path / "bad.csv").write_text("symbol,name\na,b\n")
+    with pytest.raises(ValueError):
+        readers.read_universe(spark, str(tmp_path / "bad.csv"))
+
+
+def test_filing_documents(spark, tmp_path):
+    record = '{"end":"2020-12-31","val":5,"accn":"a","fy":2020,"fp":"FY","form":"10-K","filed":"2021-02-01"}'
+    (tmp_path / "CIK0000000012.json").write_text('{"facts":{"us-gaap":{"Assets":{"units":{"USD":[' + record + ']}},"Other":{"units":{"USD":[' + record + "]}}}}}")
+    (tmp_path / "CIK0000000013.json").write_text("no json")
+    (tmp_path / "notes.json").write_text("{}")
+    docs = readers.read_filings(spark, str(tmp_path))
+    assert tuple(readers.malformed(docs).first()) == (1, 2)
+    assert [(r["cik"], r["tag"], r["value"]) for r in facts.records(docs, facts.WANTED).collect()] == [("12", "Assets", 5.0)] and facts.records(docs).count() == 2
+
+
+def test_rankings(spark, tmp_path):
+    (tmp_path / "r.json").write_text('[{"ticker": "A", "rank": 1, "name": "x"},\n {"ticker": "B", "rank": 2}]')
+    assert sorted(map(tuple, readers.read_ranking(spark, str(tmp_path / "r.json")).collect())) == [("A", 1), ("B", 2)]
+    rows = spark.createDataFrame([("A", 1.5), ("B", None)], "ticker string, composite_score double")
+    writers.write_ranks(rows, str(tmp_path / "ranks"))
+    assert sorted(map(tuple, readers.read_ranks(spark, str(tmp_path / "ranks")).collect())) == [("A", 1.5), ("B", None)]
+    writers.write_ranks(rows.where("false"), str(tmp_path / "none"))
+    assert readers.read_ranks(spark, str(tmp_path / "none")) is None
+    with pytest.raises(AnalysisException):
+        readers.read_ranks(spark, str(tmp_path / "absent"))

@@ -31,8 +31,8 @@ def information_coefficients(slices: DataFrame, by: list[str]) -> DataFrame:
     """
     both = slices.where("score IS NOT NULL AND fwd IS NOT NULL")
     ranked = both.withColumns({"_a": average_rank("score", by), "_b": average_rank("fwd", by)})
-    flat = (F.stddev_pop("_a") < 1e-12) | (F.stddev_pop("_b") < 1e-12)
-    return ranked.groupBy(*by).agg(F.count("*").alias("n"), F.when((F.count("*") >= 3) & ~flat, F.corr("_a", "_b")).alias("ic"))
+    a, b = F.stddev_pop("_a"), F.stddev_pop("_b")  # the built-in correlation fails on a constant side
+    return ranked.groupBy(*by).agg(F.count("*").alias("n"), F.when((F.count("*") >= 3) & (a >= 1e-12) & (b >= 1e-12), F.covar_pop("_a", "_b") / (a * b)).alias("ic"))
 
 
 def newey_west(ics: DataFrame, by: list[str], lag: int) -> DataFrame:
@@ -139,6 +139,14 @@ def renormalised(weights: dict[str, float], present: list[str]) -> dict[str, flo
     return {k: v / total for k, v in own.items()} if total > 0 else {k: 1 / len(present) for k in present}
 
 
+def row_weights(weights: dict[str, float]) -> Column:
+    """A struct of ``weights`` renormalised over the columns that a row has; equal parts if those weigh nothing, NULL without any."""
+    own = {k: F.when(F.col(k).isNotNull(), F.lit(w)) for k, w in weights.items()}
+    total = reduce(lambda a, b: a + b, [F.coalesce(w, F.lit(0.0)) for w in own.values()])
+    there = reduce(lambda a, b: a + b, [F.col(k).isNotNull().cast("int") for k in weights])
+    return F.struct(*[F.when(F.col(k).isNotNull(), F.when(total > 0, w / total).otherwise(1 / there)).alias(k) for k, w in own.items()])
+
+
 def composite(df: DataFrame, weights: dict[str, float]) -> Column:
     """The weighted sum of the buckets that are columns; NULL only if all of them are."""
     own = renormalised({k: v for k, v in weights.items() if k in df.columns}, [k for k in weights if k in df.columns])
@@ -165,7 +173,7 @@ def bucket_coverage(slices: DataFrame) -> DataFrame:
     """``bucket`` for those that every date has: ``slices`` is ``t, bucket, score``."""
     dates = slices.agg(F.count_distinct("t").alias("all"))
     own = slices.where("score IS NOT NULL").groupBy("bucket").agg(F.count_distinct("t").alias("n"))
-    return own.join(F.broadcast(dates), F.col("n") == F.col("all")).select("bucket")
+    return own.join(F.broadcast(dates), F.col("n") == F.col("all")).select("bucket")  # one row
 
 
 def experiment(slices: DataFrame, schemes: dict[str, dict[str, float]]) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.expr import foreign_unit
+from ..shared import checked, written
 
 RECORD = "struct<start:string,end:string,val:string,accn:string,fy:int,fp:string,form:string,filed:string>"
 SCHEMA = f"struct<facts:map<string,map<string,struct<units:map<string,array<{RECORD}>>>>>>"
@@ -33,6 +34,7 @@ CHAINS = {
     "dividends_paid": ("us-gaap", ("PaymentsOfDividendsCommonStock", "PaymentsOfDividends"), "USD"),
 }
 SHARES = (("dei", "EntityCommonStockSharesOutstanding"), ("us-gaap", "CommonStockSharesOutstanding"))
+# The tags of share counts above, and of debt.
 DEBT_PAIR, DEBT_FALLBACK = ("LongTermDebtNoncurrent", "LongTermDebtCurrent"), ("LongTermDebt", "DebtLongtermAndShorttermCombinedAmount")
 
 
@@ -46,10 +48,18 @@ def records_at(doc: Column, namespace: str, tag: str, unit: str) -> Column:
     return F.try_element_at(F.try_element_at(F.try_element_at(doc["facts"], F.lit(namespace)), F.lit(tag))["units"], F.lit(unit))
 
 
-def records(docs: DataFrame) -> DataFrame:
-    """``cik, namespace, tag, unit, pos`` and the record's fields, one row a record."""
+#: Every tag that a chain, the share counts or the debt sum names.
+WANTED = tuple(sorted({t for _, tags, _ in CHAINS.values() for t in tags} | {t for _, t in SHARES} | {*DEBT_PAIR, *DEBT_FALLBACK}))
+
+
+def records(docs: DataFrame, tags: tuple[str, ...] | None = None) -> DataFrame:
+    """``cik, namespace, tag, unit, pos`` and the record's fields, one row a record.
+
+    With ``tags`` the others leave inside the document, before anything is exploded.
+    """
+    kept = F.col("tags") if tags is None else F.map_filter("tags", lambda t, _: t.isin(*tags))
     a = docs.select("cik", F.explode("doc.facts").alias("namespace", "tags"))
-    b = a.select("cik", "namespace", F.explode("tags").alias("tag", "body"))
+    b = a.select("cik", "namespace", F.explode(kept).alias("tag", "body"))
     c = b.select("cik", "namespace", "tag", F.explode("body.units").alias("unit", "items"))
     d = c.select("cik", "namespace", "tag", "unit", F.posexplode("items").alias("pos", "r"))
     number = F.col("r.val").try_cast("double")
@@ -119,7 +129,7 @@ def foreign_units(docs: DataFrame) -> DataFrame:
 
 def panel(docs: DataFrame, universe: DataFrame) -> DataFrame:
     """The 11-column fact panel; a company with several tickers gives its facts to each of them."""
-    every = records(docs)
+    every = written(records(docs, WANTED), "records")  # three branches read it; a document is parsed once
     columns = ["cik", "concept", "unit", "period_start", "period_end", "filed", "form", "fy", "fp", "value"]
     parts = [chained(every).select(*columns), shares(every).select(*columns), total_debt(every).withColumns({"concept": F.lit("total_debt"), "unit": F.lit("USD")}).select(*columns)]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2]).join(universe.select("ticker", "cik"), "cik").select("ticker", *columns)
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).join(checked(universe.select("ticker", "cik")), "cik").select("ticker", *columns)

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expr import month, week_end
+from ..shared import checked
 
 YEAR_BARS, MONTH_BARS, WEEKS_BACK, VOL_WEEKS = 252, 21, 13, 26
 BETA_WEEKS, BETA_LEAST = 52, 30
@@ -92,20 +93,26 @@ def as_of(bars: DataFrame, dates: DataFrame, columns: list[str]) -> DataFrame:
     """``t, ticker, asof, <columns>``: each ticker's last bar at or before each ``t`` of ``dates``.
 
     Bars and dates are one sorted sequence for each ticker, and a date takes the last bar before it:
-    no range join. ``dates`` is a calendar, small beside the bars.
+    no range join. ``dates`` is a calendar, small beside the bars; each ticker gets a row for each of them.
     """
-    grid = bars.select("ticker").distinct().crossJoin(F.broadcast(dates.select("t"))).select("ticker", F.col("t").alias("at"), F.lit(1).alias("ask"), F.lit(None).cast(bars.select(F.struct("date", *columns).alias("x")).schema[0].dataType).alias("bar"))
+    grid = bars.select("ticker").distinct().crossJoin(checked(dates.select("t"))).select("ticker", F.col("t").alias("at"), F.lit(1).alias("ask"), F.lit(None).cast(bars.select(F.struct("date", *columns).alias("x")).schema[0].dataType).alias("bar"))
     rows = bars.select("ticker", F.col("date").alias("at"), F.lit(0).alias("ask"), F.struct("date", *columns).alias("bar")).unionByName(grid)
     seen = F.last("bar", ignorenulls=True).over(Window.partitionBy("ticker").orderBy("at", "ask").rowsBetween(Window.unboundedPreceding, 0))
     return rows.withColumn("bar", seen).where("ask = 1 AND bar IS NOT NULL").select(F.col("at").alias("t"), "ticker", F.col("bar.date").alias("asof"), *(F.col("bar")[c].alias(c) for c in columns))
 
 
 def equal_weight_market(prices: DataFrame) -> DataFrame:
-    """``week, ret``: compounded mean daily returns; holes are filled with the last close before."""
-    days = prices.select("date").distinct()
-    grid = prices.select("ticker").distinct().crossJoin(F.broadcast(days)).join(prices, ["ticker", "date"], "left")
-    filled = grid.withColumn("close", F.last("close", ignorenulls=True).over(_own()))
-    daily = filled.withColumn("r", F.col("close") / F.lag("close").over(_own()) - 1).groupBy("date").agg(F.avg("r").alias("r"))
+    """``week, ret``: compounded mean daily returns; holes are filled with the last close before.
+
+    A filled day has the return 0, so a day's mean is the sum over its bars by the number of tickers
+    that began before it, and no row is made for a hole.
+    """
+    bars = prices.where("close IS NOT NULL")
+    moved = bars.withColumn("r", F.col("close") / F.lag("close").over(_own()) - 1).groupBy("date").agg(F.sum("r").alias("s"))
+    begun = bars.groupBy("ticker").agg(F.min("date").alias("date")).groupBy("date").agg(F.count("*").alias("new"))
+    before = F.sum("new").over(Window.orderBy("date").rowsBetween(Window.unboundedPreceding, -1))  # over the calendar
+    days = prices.select("date").distinct().join(begun, "date", "left").join(moved, "date", "left").withColumn("n", before)
+    daily = days.select("date", F.when(F.col("n") > 0, F.coalesce("s", F.lit(0.0)) / F.col("n")).alias("r"))
     return daily.groupBy(week_end(F.col("date")).alias("week")).agg((F.coalesce(F.product(1 + F.col("r")), F.lit(1.0)) - 1).alias("ret"))
 
 
@@ -136,9 +143,9 @@ def forward_returns(prices: DataFrame, dates: DataFrame, horizons: list[int]) ->
     NULL where either bar is missing or the calendar ends before.
     """
     days = calendar(prices).select("date", "pos")
-    placed = prices.join(F.broadcast(days), "date")
+    placed = prices.join(checked(days), "date")
     h = F.explode(F.array(*map(F.lit, horizons))).alias("horizon")
-    start = placed.join(F.broadcast(dates.select("t")), F.col("date") == F.col("t")).select("t", "ticker", "pos", F.col("close").alias("from"), h)
+    start = placed.join(checked(dates.select("t")), F.col("date") == F.col("t")).select("t", "ticker", "pos", F.col("close").alias("from"), h)
     stop = placed.select("ticker", F.col("pos").alias("p2"), F.col("close").alias("to"))
     out = start.withColumn("p2", F.col("pos") + F.col("horizon")).join(stop, ["ticker", "p2"], "left")
     return out.select("t", "ticker", "horizon", F.when(F.col("from") != 0, F.col("to") / F.col("from") - 1).alias("fwd"))

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.expr import published
+from ..shared import numbered
 
 # The published columns.
 META = ("ticker", "name", "sector", "data_quality")
@@ -16,9 +17,8 @@ STALE_DAYS, LEAST_COVERAGE = 5, 0.90
 
 
 def ranked(rows: DataFrame) -> DataFrame:
-    """``rank`` from 1 by composite, ticker; the published ranking is one list by nature."""
-    w = Window.orderBy(F.col("composite_score").desc_nulls_last(), "ticker")
-    return rows.withColumn("rank", F.row_number().over(w))
+    """``rank`` from 1 by composite, ticker, over range partitions."""
+    return numbered(rows, [F.col("composite_score").desc_nulls_last(), F.col("ticker")])
 
 
 def objects(rows: DataFrame) -> DataFrame:
@@ -72,9 +72,10 @@ def counts(rows: DataFrame, column: str) -> DataFrame:
 
 
 def rank_correlation(old: DataFrame, new: DataFrame) -> DataFrame:
-    """``n, rho`` of the stored ranks of common tickers, without ranking again."""
-    both = common(old, new)
-    return both.agg(F.count("*").alias("n"), F.corr(F.col("old_rank").cast("double"), F.col("new_rank").cast("double")).alias("rho"))
+    """``n, rho`` of the stored ranks of common tickers, without ranking again; NULL where a side is constant."""
+    a, b = F.col("old_rank").cast("double"), F.col("new_rank").cast("double")
+    spread = F.stddev_pop(a) * F.stddev_pop(b)
+    return common(old, new).agg(F.count("*").alias("n"), F.when(spread > 0, F.covar_pop(a, b) / spread).alias("rho"))
 
 
 def common(old: DataFrame, new: DataFrame) -> DataFrame:

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.expr import blended, inverse_yield
 from ..functions.ranks import LEAST_SPREAD, gaussian_rank, sector_neutral
+from ..shared import written
 
 # The default weights.
 WEIGHTS = {
@@ -30,8 +31,8 @@ WEIGHTS = {
 AS_YIELD, LESS_IS_BETTER = ("pe_ratio", "ev_ebitda"), ("volatility_26w", "debt_equity", "beta")
 BUCKETS = ("trend", "quality", "value")
 #: Most steps of the equal-contribution iteration, which mostly converges in tens, and the move of a
-#: weight below which it ends.
-STEPS, TOLERANCE = 10_000, 1e-10
+#: weight below which it ends; whole blocks of steps are passed over once it has.
+STEPS, BLOCK, TOLERANCE = 10_000, 50, 1e-10
 
 
 def signal(df: DataFrame, name: str) -> Column:
@@ -110,30 +111,43 @@ def equal_contribution(names: list[str], nominal: dict[str, float] | None, steps
         return F.when(~state["ok"] | ~moves, state).when(total > 0, new).otherwise(stuck)
 
     first = F.struct(equal.alias("w"), F.array(*[F.lit(-1.0)] * k).alias("before"), F.lit(True).alias("ok"))
-    solved = F.aggregate(F.sequence(F.lit(1), F.lit(steps)), first, step)
+    fold = lambda state, n: F.aggregate(F.sequence(F.lit(1), F.lit(n)), state, step)
+    going = lambda state: state["ok"] & reduce(lambda a, b: a | b, [F.abs(state["w"][i] - state["before"][i]) >= TOLERANCE for i in range(k)])
+    blocks = F.aggregate(F.sequence(F.lit(1), F.lit(steps // BLOCK)), first, lambda state, _: F.when(going(state), fold(state, BLOCK)).otherwise(state)) if steps >= BLOCK else first
+    solved = fold(blocks, steps % BLOCK) if steps % BLOCK else blocks
     usable = reduce(lambda a, b: a & b, [s[i][i] > 0 for i in range(k)] + [s[i][j].isNotNull() & ~F.isnan(s[i][j]) for i in range(k) for j in range(i)])
     result = F.when(solved["ok"], solved["w"]).otherwise(fallback) if nominal is not None else solved["w"]
     return F.when(F.coalesce(usable, F.lit(False)), result).otherwise(fallback)
 
 
 def build_scores(df: DataFrame, by: list[str] | None = None, weights: dict = WEIGHTS, key: str = "ticker") -> DataFrame:
-    """``df`` with the bucket scores and ``composite_score``, all to four decimals, best first.
+    """``df`` with the bucket scores and ``composite_score``, all to four decimals.
 
     Buckets that can't be scored are neutral (0). The composite blends the buckets, each measured
-    against the names it scores, by equal-contribution weights of its own cross-section; ties in the
-    order go by ``key``.
+    against the names it scores, by equal-contribution weights of its own cross-section. The buckets
+    are computed once and written; one pass then gives each cross-section's means, spreads and
+    covariances, from which its weights follow, and a join brings them back. A cross-section is one
+    task in its ranks: it may have millions of names, while dates and factors run side by side.
     """
     by = by or []
     scores = [f"{b}_score" for b in weights["subfactors"]]
     inside = [b for b in BUCKETS if b in weights["composite"]]
-    names = [f"_r_{b}" for b in inside]
-    raw = buckets(df, by, weights, key)
-    moments = raw.groupBy(*by).agg(*[f(f"{b}_score").alias(f"_{n}_{b}") for b in inside for n, f in (("m", F.avg), ("d", F.stddev_pop))])
-    out = _beside(raw, moments, by)
-    out = out.withColumns({f"_r_{b}": F.when(F.col(f"_d_{b}") > LEAST_SPREAD, (F.coalesce(f"{b}_score", F.lit(0.0)) - F.col(f"_m_{b}")) / F.col(f"_d_{b}")).otherwise(0.0) for b in inside})
-    solved = out.groupBy(*by).agg(*covariances(names)).select(*by, equal_contribution(names, {f"_r_{b}": w for b, w in weights["composite"].items()}).alias("_w"))
-    out = _beside(out, solved, by)
-    composite = reduce(lambda a, b: a + b, [F.col("_w")[i] * F.col(n) for i, n in enumerate(names)])
-    out = out.withColumn("composite_score", composite)
+    raw = written(buckets(df, by, weights, key), "buckets")
+    filled = {b: F.coalesce(f"{b}_score", F.lit(0.0)) for b in inside}
+    pairs = list(combinations_with_replacement(inside, 2))
+    moments = [f(f"{b}_score").alias(f"_{n}_{b}") for b in inside for n, f in (("m", F.avg), ("d", F.stddev_pop))]
+    facts = raw.groupBy(*by).agg(*moments, *[F.covar_samp(filled[a], filled[b]).alias(f"_c_{a}_{b}") for a, b in pairs])
+    spread = {b: F.col(f"_d_{b}") > LEAST_SPREAD for b in inside}  # without it a bucket is 0 for all
+    scaled = [F.when(spread[a] & spread[b], F.col(f"_c_{a}_{b}") / (F.col(f"_d_{a}") * F.col(f"_d_{b}"))).otherwise(F.when(F.col(f"_c_{a}_{b}").isNotNull(), 0.0)).alias(f"{a}*{b}") for a, b in pairs]
+    solved = facts.select(*by, *(f"_{n}_{b}" for n in "md" for b in inside), *scaled)
+    solved = solved.withColumn("_w", equal_contribution(inside, weights["composite"]))
+    out = _beside(raw, written(solved.drop(*(f"{a}*{b}" for a, b in pairs)), "weights"), by)
+    parts = [F.col("_w")[i] * F.when(spread[b], (filled[b] - F.col(f"_m_{b}")) / F.col(f"_d_{b}")).otherwise(0.0) for i, b in enumerate(inside)]
+    out = out.withColumn("composite_score", reduce(lambda a, b: a + b, parts))
     out = out.withColumns({c: F.round(F.coalesce(c, F.lit(0.0)), 4) + F.lit(0.0) for c in [*scores, "composite_score"]})
-    return out.drop("_w", *names, *(f"_{n}_{b}" for n in "md" for b in inside)).orderBy(*by, F.desc("composite_score"), key)
+    return out.drop("_w", *(f"_{n}_{b}" for n in "md" for b in inside))
+
+
+def best_first(scored: DataFrame, by: list[str] | None = None, key: str = "ticker") -> DataFrame:
+    """Scored rows in the order in which they are shown; ties go by ``key``."""
+    return scored.orderBy(*(by or []), F.desc("composite_score"), key)

@@ -103,7 +103,12 @@ def _running(s: DataFrame) -> DataFrame:
 
 _BOOK = _LAB + ", bk AS (SELECT t, ticker FROM lb WHERE q = 5), dt AS (SELECT t, lag(t) OVER (ORDER BY t) AS prev FROM (SELECT DISTINCT t FROM bk)), tn AS (SELECT bk.t, avg(CASE WHEN p.ticker IS NULL THEN 1.0 ELSE 0.0 END) AS new FROM bk JOIN dt ON bk.t = dt.t AND prev IS NOT NULL LEFT JOIN bk p ON p.t = dt.prev AND p.ticker = bk.ticker GROUP BY bk.t)"
 R.add("ag17_top_turnover", "slices", lambda s: rounded(backtest.top_turnover(s.withColumn("book", F.lit("all")), ["book"]), "turnover"), f", {_BOOK} SELECT 'all' AS book, {sr6('avg(new)')} AS turnover FROM tn")
-R.add("wn14_previous_book", "slices", lambda s: rounded(backtest.top_turnover(s.withColumn("half", F.col("ticker").cast("int") % 2), ["half"], 2), "turnover"))
+_HALVES = (
+    "lb2 AS (SELECT *, CAST(ticker AS INT) % 2 AS half, CASE WHEN count(score) OVER w >= 2 THEN greatest(1, ceil((row_number() OVER (PARTITION BY CAST(ticker AS INT) % 2, t ORDER BY score, ticker) - 1) * 2 / (count(score) OVER w - 1)))::INT END AS q FROM slices WHERE score IS NOT NULL WINDOW w AS (PARTITION BY CAST(ticker AS INT) % 2, t)), "
+    "bk2 AS (SELECT half, t, ticker FROM lb2 WHERE q = 2), dt2 AS (SELECT half, t, lag(t) OVER (PARTITION BY half ORDER BY t) AS prev FROM (SELECT DISTINCT half, t FROM bk2)), "
+    "tn2 AS (SELECT a.half, a.t, avg(CASE WHEN p.ticker IS NULL THEN 1.0 ELSE 0.0 END) AS new FROM bk2 a JOIN dt2 d ON a.half = d.half AND a.t = d.t AND prev IS NOT NULL LEFT JOIN bk2 p ON p.half = a.half AND p.t = d.prev AND p.ticker = a.ticker GROUP BY 1, 2)"
+)
+R.add("wn14_previous_book", "slices", lambda s: rounded(backtest.top_turnover(s.withColumn("half", F.col("ticker").cast("int") % 2), ["half"], 2), "turnover"), f", {_HALVES} SELECT half, {sr6('avg(new)')} AS turnover FROM tn2 GROUP BY half")
 _REGIMES = {"a": ("1995-01-01", "1996-12-31"), "b": ("1998-01-01", "1999-06-30")}
 R.add("ag18_regime_means", "panel", lambda p: rounded(backtest.regime_means(_ics(p), FH, _REGIMES), "a_mean", "b_mean"), f", {_ICP} SELECT factor, horizon, " + ", ".join(f"{sr6(f'''avg(ic) FILTER (t BETWEEN DATE '{a}' AND DATE '{b}')''')} AS {k}_mean, count(ic) FILTER (t BETWEEN DATE '{a}' AND DATE '{b}') AS {k}_n" for k, (a, b) in _REGIMES.items()) + " FROM ic GROUP BY 1, 2")
 R.add("fl8_regime_window", "panel", lambda p: backtest.regime_means(_ics(p), ["factor"], backtest.REGIMES).select("factor", *[f"{k}_n" for k in backtest.REGIMES]), f", {_ICP} SELECT factor, " + ", ".join(f"count(ic) FILTER (t BETWEEN DATE '{a}' AND DATE '{b}') AS {k}_n" for k, (a, b) in backtest.REGIMES.items()) + " FROM ic GROUP BY 1")

@@ -125,15 +125,18 @@ R.add("nj1_path_extraction", "levels", lambda x: _docs(x).select("cik", F.coales
 R.add("nj2_flatten_records", "levels", lambda x: facts.records(_docs(x)).select("cik", "namespace", "tag", "unit", "period_start", "period_end", "filed", r6("value").alias("value")), f", {_ROWS} SELECT cik, namespace, tag, unit, st AS period_start, en AS period_end, fi AS filed, {sr6('value')} AS value FROM fr")
 _CHAIN = "ch AS (SELECT *, CASE WHEN k IN (0, 1) THEN 'revenues' ELSE 'net_income' END AS concept FROM fr WHERE k IN (0, 1, 2) QUALIFY row_number() OVER (PARTITION BY cik, CASE WHEN k IN (0, 1) THEN 'revenues' ELSE 'net_income' END, st, en, fi ORDER BY k) = 1)"
 for _n in ("dd1_first_tag_wins", "so1_union_of_tags"):
-    R.add(_n, "levels", lambda x: rounded(facts.chained(facts.records(_docs(x))).where("concept IN ('revenues', 'net_income')").select("cik", "concept", "period_start", "period_end", "filed", "value"), "value"), f", {_ROWS}, {_CHAIN} SELECT cik, concept, st AS period_start, en AS period_end, fi AS filed, {sr6('value')} AS value FROM ch")
+    R.add(_n, "levels", lambda x: rounded(facts.chained(facts.records(_docs(x), facts.WANTED)).where("concept IN ('revenues', 'net_income')").select("cik", "concept", "period_start", "period_end", "filed", "value"), "value"), f", {_ROWS}, {_CHAIN} SELECT cik, concept, st AS period_start, en AS period_end, fi AS filed, {sr6('value')} AS value FROM ch")
 R.add("dd2_first_populated_tag", "levels", lambda x: facts.first_populated_tag(facts.records(_docs(x)).join(F.broadcast(facts.chain_table(x.sparkSession)), ["namespace", "tag", "unit"])).where("concept = 'revenues'").groupBy("cik").agg(F.max("tag").alias("tag"), F.count("*").alias("n")), f", {_ROWS} SELECT cik, CASE WHEN min(k) = 0 THEN 'Revenues' ELSE 'SalesRevenueNet' END AS tag, count(*) FILTER (k = m) AS n FROM (SELECT *, min(k) OVER (PARTITION BY cik) AS m FROM fr WHERE k IN (0, 1)) GROUP BY cik")
 _SH = "sh AS (SELECT * FROM fr WHERE k IN (6, 7) AND value >= 1000000 QUALIFY row_number() OVER (PARTITION BY cik, st, en, fi ORDER BY k) = 1)"
 for _n in ("nj4_shares", "fl5_shares_sentinel"):
-    R.add(_n, "levels", lambda x: rounded(facts.shares(facts.records(_docs(x))).select("cik", "period_end", "filed", "value"), "value"), f", {_ROWS}, {_SH} SELECT cik, en AS period_end, fi AS filed, {sr6('value')} AS value FROM sh")
-_DEBT = "pr AS (SELECT a.cik, a.en, a.fi, a.value + b.value AS value FROM fr a JOIN fr b ON a.k = 3 AND b.k = 4 AND a.cik = b.cik AND a.en = b.en AND a.fi = b.fi AND a.accn = b.accn), rs AS (SELECT cik, en, fi, value FROM fr WHERE k = 5 AND NOT EXISTS (SELECT 1 FROM pr WHERE pr.cik = fr.cik AND pr.en = fr.en AND pr.fi = fr.fi))"
-R.add("nj5_total_debt", "levels", lambda x: rounded(facts.total_debt(facts.records(_docs(x))).select("cik", "period_end", "filed", "value"), "value"), f", {_ROWS}, {_DEBT} SELECT cik, en AS period_end, fi AS filed, {sr6('value')} AS value FROM (SELECT * FROM pr UNION ALL SELECT * FROM rs)")
-R.add("jn10_debt_legs", "levels", lambda x: facts.total_debt(facts.records(_docs(x))).where("period_start IS NULL").groupBy("cik").agg(F.count("*").alias("n")), f", {_ROWS}, {_DEBT} SELECT cik, count(*) AS n FROM pr GROUP BY 1")
-R.add("jn11_debt_fallback", "levels", lambda x: facts.total_debt(facts.records(_docs(x))).where("period_start IS NOT NULL").groupBy("cik").agg(F.count("*").alias("n")), f", {_ROWS}, {_DEBT} SELECT cik, count(*) AS n FROM rs GROUP BY 1")
+    R.add(_n, "levels", lambda x: rounded(facts.shares(facts.records(_docs(x), facts.WANTED)).select("cik", "period_end", "filed", "value"), "value"), f", {_ROWS}, {_SH} SELECT cik, en AS period_end, fi AS filed, {sr6('value')} AS value FROM sh")
+_DEBT = (
+    "pr AS (SELECT cik, en, fi, sum(value) AS value FROM fr WHERE k IN (3, 4) GROUP BY cik, en, fi, accn HAVING count(*) = 2), "
+    "rs AS (SELECT f.cik, f.en, f.fi, f.value FROM fr f LEFT JOIN (SELECT DISTINCT cik, en, fi, 1 AS had FROM pr) p ON p.cik = f.cik AND p.en = f.en AND p.fi = f.fi WHERE f.k = 5 AND had IS NULL)"
+)
+R.add("nj5_total_debt", "levels", lambda x: rounded(facts.total_debt(facts.records(_docs(x), facts.WANTED)).select("cik", "period_end", "filed", "value"), "value"), f", {_ROWS}, {_DEBT} SELECT cik, en AS period_end, fi AS filed, {sr6('value')} AS value FROM (SELECT * FROM pr UNION ALL SELECT * FROM rs)")
+R.add("jn10_debt_legs", "levels", lambda x: facts.total_debt(facts.records(_docs(x), facts.WANTED)).where("period_start IS NULL").groupBy("cik").agg(F.count("*").alias("n")), f", {_ROWS}, {_DEBT} SELECT cik, count(*) AS n FROM pr GROUP BY 1")
+R.add("jn11_debt_fallback", "levels", lambda x: facts.total_debt(facts.records(_docs(x), facts.WANTED)).where("period_start IS NOT NULL").groupBy("cik").agg(F.count("*").alias("n")), f", {_ROWS}, {_DEBT} SELECT cik, count(*) AS n FROM rs GROUP BY 1")
 for _n in ("nj6_foreign_units", "pj25_foreign_currency"):
     R.add(_n, "levels", lambda x: facts.foreign_units(_docs(x)), f", {_ROWS} SELECT cik, count(*) FILTER (unit = 'EUR') AS foreign_facts FROM fr GROUP BY 1")
 
@@ -178,7 +181,7 @@ R.add("jn8_sector_lookup", "ranks factors", lambda r, f: r.select("ticker").join
 # publishing
 _PUB = ", ".join(f"round({c}, 4) + 0.0 AS {c}" for c in ("composite_score", "pe_ratio"))
 R.add("wn16_published_rank", "ranks", lambda r: publish.ranked(r).select("rank", "ticker"), " SELECT row_number() OVER (ORDER BY composite_score DESC NULLS LAST, ticker)::INT AS rank, ticker FROM ranks")
-R.add("st1_composite_order", "ranks", lambda r: publish.ranked(r).select("ticker", "rank"), " SELECT * FROM (SELECT ticker, row_number() OVER (ORDER BY composite_score DESC NULLS LAST, ticker)::INT AS rank FROM ranks) WHERE rank <= 50")
+R.add("st1_composite_order", "ranks", lambda r: publish.ranked(r).select("ticker", "rank"), " SELECT ticker, row_number() OVER (ORDER BY composite_score DESC NULLS LAST, ticker)::INT AS rank FROM ranks")
 R.add("st2_leaders", "ranks", lambda r: publish.leaders(r).select("ticker", "composite_score"), " SELECT ticker, composite_score FROM ranks ORDER BY composite_score DESC NULLS LAST, ticker LIMIT 10")
 R.add("pj17_published_object", "ranks", lambda r: publish.objects(r).select("rank", *[F.get_json_object("json", f"$.{c}").alias(c) for c in ("ticker", "sector", "data_quality")], *[F.get_json_object("json", f"$.{c}").cast("double").alias(c) for c in ("composite_score", "pe_ratio", "gpa")]), f" SELECT row_number() OVER (ORDER BY composite_score DESC NULLS LAST, ticker)::INT AS rank, ticker, sector, data_quality, {_PUB}, NULL::DOUBLE AS gpa FROM ranks")
 R.add("ag1_summary_statistics", "ranks", publish.summary, " SELECT count(*) AS universe_size, count(*) FILTER (data_quality = 'missing_prices') AS missing_price_count, count(*) FILTER (data_quality = 'partial_prices') AS partial_price_count, (SELECT ticker FROM ranks ORDER BY composite_score DESC, ticker LIMIT 1) AS top_symbol, max(composite_score) AS top_score, (SELECT ticker FROM ranks ORDER BY composite_score, ticker DESC LIMIT 1) AS bottom_symbol, min(composite_score) AS bottom_score, round(median(composite_score), 4) + 0.0 AS median_composite, round(avg(composite_score), 4) + 0.0 AS avg_composite, round(median(pe_ratio), 4) + 0.0 AS avg_pe, round(median(roe), 4) + 0.0 AS avg_roe FROM ranks")
@@ -193,7 +196,7 @@ for _n in ("st5_top_churn", "so4_common_entered_left", "so6_book_difference"):
     R.add(_n, "old_ranks new_ranks", publish.churn, f" {_CHURN}")
 R.add("wn17_movers", "old_ranks new_ranks", lambda o, n: publish.movers(o, n).selectExpr("ticker", "cast(move as bigint) move", "side"), f", {_BOTH} (SELECT ticker, move, 'up' AS side FROM bo ORDER BY move, ticker LIMIT 10) UNION ALL (SELECT ticker, move, 'down' AS side FROM bo ORDER BY move DESC, ticker LIMIT 10)")
 R.add("or7_rank_migration", "old_ranks new_ranks", lambda o, n: publish.churn(o, n).groupBy("status").agg(F.count("*").alias("n")), f", c AS ({_CHURN}) SELECT status, count(*) AS n FROM c GROUP BY 1")
-R.add("st6_stride_sample", "ranks", lambda r: publish.strided(r, 15).select("ticker", "rank"), " SELECT ticker, rank FROM (SELECT ticker, row_number() OVER (ORDER BY composite_score DESC NULLS LAST, ticker)::INT AS rank FROM ranks) WHERE (rank - 1) % 90 = 0 ORDER BY rank LIMIT 15")
+R.add("st6_stride_sample", "ranks", lambda r: publish.strided(r, 15).select("ticker", "rank"), " SELECT ticker, rank FROM (SELECT ticker, row_number() OVER (ORDER BY composite_score DESC NULLS LAST, ticker)::INT AS rank FROM ranks) WHERE (rank - 1) % greatest(1, (SELECT count(*) FROM ranks) // 15) = 0 ORDER BY rank LIMIT 15")
 R.add("st8_first_inputs", "universe", lambda u: u.orderBy("symbol").limit(7).select("symbol"), " SELECT symbol FROM universe ORDER BY symbol LIMIT 7")
 _SRC = "sr AS (SELECT DISTINCT ticker, CASE WHEN ticker IN (SELECT ticker FROM base_prices) THEN 'base' WHEN ticker IN (SELECT ticker FROM vendor_prices) THEN 'fetch' ELSE 'missing' END AS source FROM prices)"
 

@@ -107,7 +107,7 @@ R.oracles["cp4_erc_weights"] = R.oracles["cp4_erc_weights"].replace("WITH ", "WI
 R.add("cp4_erc_fallback", "factors", lambda f: _weights(f.withColumn("flat", F.lit(1.0)), ["roe", "flat"], {"roe": 3.0, "flat": 1.0}), "SELECT 0.75::DOUBLE AS w0, 0.25::DOUBLE AS w1")
 R.add("cp5_erc_research", "blends", lambda b: rounded(backtest.solved_weights(b, ["trend", "quality", "value"]), "weight"), _with("d AS (SELECT * FROM blends WHERE trend IS NOT NULL AND quality IS NOT NULL AND value IS NOT NULL), " + _erc_sql("d", ["trend", "quality", "value"]), f"SELECT unnest(['trend', 'quality', 'value']) AS bucket, unnest([{sr6('w0')}, {sr6('w1')}, {sr6('w2')}]) AS weight FROM erc"))
 R.oracles["cp5_erc_research"] = R.oracles["cp5_erc_research"].replace("WITH ", "WITH RECURSIVE ", 1)
-R.add("cp6_renormalize", "blends", lambda b: b.limit(1).select(*[F.lit(round(w, 6)).alias(k) for k, w in backtest.renormalised({"trend": 0.4, "quality": 0.3, "value": 0.15}, ["trend", "value"]).items()]), f"SELECT {sr6('0.4::DOUBLE / 0.55')} AS trend, {sr6('0.15::DOUBLE / 0.55')} AS value")
+R.add("cp6_renormalize", "blends", lambda b: b.select("t", "ticker", backtest.row_weights({"trend": 0.4, "quality": 0.3, "value": 0.15}).alias("w")).select("t", "ticker", *[r6(F.col("w")[k]).alias(k) for k in ("trend", "quality", "value")]), ", x AS (SELECT *, CASE WHEN trend IS NULL THEN 0 ELSE 0.4::DOUBLE END + CASE WHEN quality IS NULL THEN 0 ELSE 0.3::DOUBLE END + CASE WHEN value IS NULL THEN 0 ELSE 0.15::DOUBLE END AS total FROM blends) SELECT t, ticker, " + ", ".join(f"CASE WHEN {k} IS NOT NULL THEN {sr6(f'{w}::DOUBLE / total')} END AS {k}" for k, w in (("trend", 0.4), ("quality", 0.3), ("value", 0.15))) + " FROM x")
 R.add("cp7_literature_weights", "blends", lambda b: b.select("t", "ticker", r6(backtest.composite(b, backtest.LITERATURE)).alias("score")), f"SELECT t, ticker, {sr6('CASE WHEN coalesce(trend, quality, value) IS NOT NULL THEN (coalesce(trend, 0) * 0.40 + coalesce(quality, 0) * 0.30 + coalesce(value, 0) * 0.15) / 0.85::DOUBLE END')} AS score FROM blends")
 _AGG31 = "v AS (SELECT covar_samp(trend, trend) AS a, covar_samp(trend, quality) AS b, covar_samp(trend, value) AS c, covar_samp(quality, quality) AS d, covar_samp(quality, value) AS e, covar_samp(value, value) AS f FROM blends), w AS (SELECT 0.5::DOUBLE * (0.5 * a + 0.3 * b + 0.2 * c) AS x, 0.3::DOUBLE * (0.5 * b + 0.3 * d + 0.2 * e) AS y, 0.2::DOUBLE * (0.5 * c + 0.3 * e + 0.2 * f) AS z FROM v)"
 R.add("ag31_variance_contributions", "blends", lambda b: rounded(backtest.variance_shares(b, {"trend": 0.5, "quality": 0.3, "value": 0.2}), "share"), _with(_AGG31, f"SELECT unnest(['trend', 'quality', 'value']) AS bucket, unnest([{sr6('x / (x + y + z)')}, {sr6('y / (x + y + z)')}, {sr6('z / (x + y + z)')}]) AS share FROM w"))

@@ -48,16 +48,18 @@ CTES = {
     "quarter_sums": """SELECT l_suppkey AS s, CAST(year(l_shipdate) AS INT) AS y, CAST(quarter(l_shipdate) AS INT) AS q, CAST(sum(CAST(round(l_extendedprice * 100) AS BIGINT)) AS BIGINT) AS v
         FROM lineitem GROUP BY l_suppkey, CAST(year(l_shipdate) AS INT), CAST(quarter(l_shipdate) AS INT)""",
     "levels": """SELECT s, y, q, v, CAST(sum(v) OVER (PARTITION BY s, y ORDER BY q) AS BIGINT) AS ytd, last_day(make_date(y, 3 * q, 1)) AS e FROM quarter_sums""",
-    "flow_rows": """SELECT s, y, q, make_date(y, 3 * q - 2, 1) AS period_start, e AS period_end, e + 40 AS filed, v AS x, 0 AS again FROM levels WHERE (q = 1 OR (s + y + q) % 3 = 0) AND (s * 7 + y + q) % 13 <> 0
-        UNION ALL SELECT s, y, q, make_date(y, 1, 1), e, e + 40, ytd, 0 FROM levels WHERE q > 1 AND (s * 5 + y + q) % 11 <> 0
-        UNION ALL SELECT s, y, q, make_date(y, 1, 1), e, e + 140, ytd * 2, 1 FROM levels WHERE q > 1 AND (s + y) % 5 = 0""",
-    "facts": """SELECT CAST(s AS STRING) AS ticker, concept, period_start, period_end, filed, CAST(y AS DOUBLE) AS fy, x * k / 1e2 AS value,
-        row_number() OVER (ORDER BY s, concept, filed, period_end, period_start, again) AS seq
-        FROM flow_rows CROSS JOIN (VALUES ('revenues', 1e0), ('net_income', 1e-1), ('gross_profit', 4e-1), ('operating_income', 2e-1), ('operating_cash_flow', 15e-2), ('capex', 3e-2), ('dividends_paid', 1e-2)) AS c(concept, k)
+    # ``k`` numbers quarters, ``turn`` orders a company's rows of a concept by filing, period end and period start
+    "flow_rows": """SELECT s, y, q, make_date(y, 3 * q - 2, 1) AS period_start, e AS period_end, e + 40 AS filed, v AS x, CAST(y * 4 + q AS BIGINT) AS k, CAST(2 * (y * 4 + q) AS BIGINT) AS f, 1 AS turn
+        FROM levels WHERE (q = 1 OR (s + y + q) % 3 = 0) AND (s * 7 + y + q) % 13 <> 0
+        UNION ALL SELECT s, y, q, make_date(y, 1, 1), e, e + 40, ytd, CAST(y * 4 + q AS BIGINT), CAST(2 * (y * 4 + q) AS BIGINT), 0 FROM levels WHERE q > 1 AND (s * 5 + y + q) % 11 <> 0
+        UNION ALL SELECT s, y, q, make_date(y, 1, 1), e, e + 140, ytd * 2, CAST(y * 4 + q AS BIGINT), CAST(2 * (y * 4 + q) + 3 AS BIGINT), 2 FROM levels WHERE q > 1 AND (s + y) % 5 = 0""",
+    "facts": """SELECT CAST(s AS STRING) AS ticker, concept, period_start, period_end, filed, CAST(y AS DOUBLE) AS fy, x * w / 1e2 AS value,
+        (CAST(s AS BIGINT) * 16 + c) * 4294967296 + (f * 10000 + k) * 4 + turn AS seq
+        FROM flow_rows CROSS JOIN (VALUES ('revenues', 1e0, 1), ('net_income', 1e-1, 2), ('gross_profit', 4e-1, 3), ('operating_income', 2e-1, 4), ('operating_cash_flow', 15e-2, 5), ('capex', 3e-2, 6), ('dividends_paid', 1e-2, 7)) AS c(concept, w, c)
         WHERE NOT (concept = 'capex' AND s % 4 = 0)
         UNION ALL
-        SELECT CAST(s AS STRING), concept, CAST(NULL AS DATE), e, e + 30 + CAST(s % 3 AS INT) * 50, CAST(y AS DOUBLE), v * k / 1e2, 10000000 + row_number() OVER (ORDER BY s, concept, e)
-        FROM levels CROSS JOIN (VALUES ('stockholders_equity', 3e0), ('total_assets', 9e0), ('total_debt', 2e0), ('shares_outstanding', 1e1), ('cash_and_equivalents', 5e-1)) AS c(concept, k)
+        SELECT CAST(s AS STRING), concept, CAST(NULL AS DATE), e, e + 30 + CAST(s % 3 AS INT) * 50, CAST(y AS DOUBLE), v * w / 1e2, (CAST(s AS BIGINT) * 16 + c) * 4294967296 + y * 4 + q
+        FROM levels CROSS JOIN (VALUES ('stockholders_equity', 3e0, 8), ('total_assets', 9e0, 9), ('total_debt', 2e0, 10), ('shares_outstanding', 1e1, 11), ('cash_and_equivalents', 5e-1, 12)) AS c(concept, w, c)
         WHERE NOT (concept = 'total_debt' AND s % 5 = 0)""",
     "statements": """SELECT CAST(c_custkey AS STRING) AS symbol, tag, CAST(q AS INT) AS q_rank, CASE WHEN (c_custkey + q * 3 + k) % 23 = 0 THEN NULL ELSE sgn * (50e0 + (c_custkey * (k + 3) + q * 17) % 97) END AS value
         FROM customer CROSS JOIN (VALUES (1), (2), (3), (4), (5)) AS q(q)
@@ -66,9 +68,10 @@ CTES = {
         WHERE (c_custkey + k) % 4 <> 0""",
     "info": """SELECT CAST(c_custkey AS STRING) AS symbol, CASE WHEN c_custkey % 3 = 0 THEN c_acctbal / 1e1 END AS fcf, CASE WHEN c_custkey % 7 = 0 THEN NULL ELSE c_acctbal END AS revenue,
         CASE WHEN c_custkey % 5 = 0 THEN NULL ELSE 3e-1 END AS gross_margin, CASE WHEN c_custkey % 8 = 0 THEN NULL ELSE c_acctbal * 1e1 END AS market_cap, (c_custkey % 300) * 1e0 AS debt_equity, (c_custkey % 9) * 5e-1 AS dividend_yield FROM customer""",
-    "old_ranks": "SELECT CAST(c_custkey AS STRING) AS ticker, row_number() OVER (ORDER BY c_acctbal DESC, c_custkey) AS rank FROM customer WHERE c_custkey % 10 <> 3",
-    "new_ranks": """SELECT CAST(c_custkey AS STRING) AS ticker, row_number() OVER (ORDER BY c_acctbal + 3e-1 * coalesce(n, 0) * c_acctbal DESC, c_custkey) AS rank
-        FROM customer LEFT JOIN (SELECT o_custkey, count(*) AS n FROM orders GROUP BY o_custkey) AS o ON c_custkey = o_custkey WHERE c_custkey % 10 <> 4""",
+    # every key is a rank of its own; the new ranking moves names within blocks of 64
+    "old_ranks": "SELECT CAST(c_custkey AS STRING) AS ticker, CAST(c_custkey AS INT) AS rank FROM customer WHERE c_custkey % 10 <> 3",
+    "new_ranks": """SELECT CAST(c_custkey AS STRING) AS ticker, CAST(c_custkey - 1 - (c_custkey - 1) % 64 + ((c_custkey - 1) % 64 * 37 + 11) % 64 + 1 AS INT) AS rank
+        FROM customer WHERE c_custkey % 10 <> 4""",
     "vendor_prices": "SELECT ticker, date, close * CASE WHEN ticker < 'Brand#3' THEN 1.01e0 ELSE 1e0 END + CASE WHEN ticker = 'Brand#44' THEN 5e0 ELSE 0e0 END AS close FROM prices WHERE ticker <> 'Brand#55'",
     "base_prices": "SELECT ticker, date, close FROM prices WHERE ticker < 'Brand#45'",
     "universe": """SELECT CONCAT(' b', CAST(s_suppkey % 7 AS STRING), '.', CAST(s_suppkey AS STRING), ' ') AS symbol, CONCAT('The ', s_name, CASE WHEN s_suppkey % 2 = 0 THEN ', Inc.' ELSE ' Holdings Corp.' END) AS name,

@@ -5,10 +5,11 @@ Readers give DataFrames and never touch files in the driver, apart from the smal
 
 from __future__ import annotations
 
+import json
 import logging
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.expr import cik_padded, number
@@ -16,11 +17,21 @@ from ..operators.facts import parsed
 from ..operators.membership import keep_last
 from ..operators.scoring import WEIGHTS
 
+try:
+    import yaml
+except ModuleNotFoundError:  # the weights file may then be JSON only
+    yaml = None
+
 log = logging.getLogger(__name__)
 
 FACT_COLUMNS = "ticker string, cik string, concept string, unit string, period_start string, period_end string, filed string, form string, fy string, fp string, value string"
 
 
+def _in_order() -> Column:
+    """Orders the rows of a file source by file, block and place, however the blocks are packed into tasks."""
+    return F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
+
+
 def _renamed(df: DataFrame) -> DataFrame:
     out = df.withColumnsRenamed({c: c.strip().lower() for c in df.columns})
     return out.withColumnRenamed("symbol", "ticker") if "symbol" in out.columns else out
@@ -53,10 +64,10 @@ def read_prices(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_fact_panel(spark: SparkSession, path: str) -> DataFrame:
-    """The fact panel of (gzipped) CSV files, typed; ``seq`` is the order in a file."""
-    raw = spark.read.option("header", True).schema(FACT_COLUMNS).csv(path)
+    """The fact panel of (gzipped) CSV files, typed; ``seq`` orders rows by file name and place in the file."""
+    raw = spark.read.option("header", True).schema(FACT_COLUMNS).csv(path).withColumn("seq", _in_order())
     dates = {c: F.col(c).try_cast("date") for c in ("period_start", "period_end", "filed")}
-    return raw.withColumns({**dates, "fy": number(F.col("fy")), "value": number(F.col("value")), "seq": F.monotonically_increasing_id()})
+    return raw.withColumns({**dates, "fy": number(F.col("fy")), "value": number(F.col("value"))})
 
 
 def read_filings(spark: SparkSession, path: str) -> DataFrame:
@@ -80,10 +91,22 @@ def read_membership(spark: SparkSession, path: str) -> DataFrame | None:
         return None
     if not {"ticker", "added_date"} <= set(raw.columns):
         return None
-    rows = raw.select("ticker", F.col("added_date").try_cast("date").alias("added_date"), F.monotonically_increasing_id().alias("_seq"))
+    rows = raw.select("ticker", F.col("added_date").try_cast("date").alias("added_date"), _in_order().alias("_seq"))
     return keep_last(rows.where("ticker IS NOT NULL"), ["ticker"], "_seq").drop("_seq")
 
 
+def read_ranks(spark: SparkSession, path: str) -> DataFrame | None:
+    """The ranks table as it was published, typed by its values; None if it has no rows.
+
+    A path that isn't there is an error, as nothing should be published then.
+    """
+    rows = spark.read.option("header", True).option("inferSchema", True).csv(path)
+    if rows.isEmpty():
+        log.warning("%s has no rows", path)
+        return None
+    return rows
+
+
 def read_ranking(spark: SparkSession, path: str) -> DataFrame:
     """``ticker, rank`` of a published ranking (a JSON array of objects)."""
     return spark.read.option("multiLine", True).schema("ticker string, rank int").json(path)
@@ -100,43 +123,29 @@ def valid_weights(data: object) -> bool:
 
 
 def load_weights(path: str | Path) -> dict:
-    """Weights of a YAML (or JSON) file; the defaults if it is missing or not as it should be."""
+    """Weights of a YAML or JSON file; the defaults if it is missing or not as it should be.
+
+    A file that is no JSON is an error where no YAML parser is installed: it can't be told whether it
+    is as it should be.
+    """
     try:
         text = Path(path).read_text(encoding="utf-8")
     except OSError:
         return WEIGHTS
-    data = _two_levels(text)
+    data = _parsed(text, path)
     if valid_weights(data):
         return data
     log.warning("weights in %s are malformed; defaults are used", path)
     return WEIGHTS
 
 
-def _two_levels(text: str) -> dict:
-    """The nested ``key: number`` lines of a weights file, by indentation."""
-    root: dict = {}
-    stack: list[tuple[int, dict]] = [(-1, root)]
-    for line in text.splitlines():
-        body = line.split("#", 1)[0].rstrip()
-        key, colon, value = body.strip().partition(":")
-        if not colon:
-            continue
-        depth = len(body) - len(body.lstrip())
-        while stack[-1][0] >= depth:
-            stack.pop()
-        if value.strip():
-            stack[-1][1][key] = value.strip() if not _is_number(value) else float(value)
-        else:
-            stack[-1][1][key] = child = {}
-            stack.append((depth, child))
-    return root
-
-
-def _is_number(text: str) -> bool:
+def _parsed(text: str, path: str | Path) -> object:
     try:
-        float(text)
+        return json.loads(text)
     except ValueError:
-        return False
-    return True
-
-
+        if yaml is None:
+            raise RuntimeError(f"{path} is no JSON, and no YAML parser is installed") from None
+    try:
+        return yaml.safe_load(text)
+    except yaml.YAMLError:
+        return None

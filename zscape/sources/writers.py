@@ -32,7 +32,7 @@ def write_fact_panel(panel: DataFrame, path: str) -> None:
 
 
 def write_results(tables: dict[str, DataFrame], path: str) -> None:
-    """A folder of CSV files for each named result (small tables: a row for a factor, date or regime)."""
+    """A folder with a CSV file for each named result (small tables: a row for a factor, date or regime)."""
     for name, df in tables.items():
         df.coalesce(1).write.option("header", True).mode("overwrite").csv(f"{path}/{name}")
 
@@ -50,3 +50,8 @@ def write_summary(summary: DataFrame, path: str) -> None:
 def write_price_source(source: DataFrame, path: str) -> None:
     """``ticker, source`` as lines of JSON, sorted by ticker."""
     source.select("ticker", "source").orderBy("ticker").write.mode("overwrite").json(path)
+
+
+def write_coverage(by_concept: DataFrame, by_year: DataFrame, path: str) -> None:
+    """The coverage report: a section for each table, both small, as CSV folders below ``path``."""
+    write_results({"by_concept": by_concept.orderBy(F.desc("tickers"), "concept"), "by_year": by_year.orderBy("year")}, path)
