@@ -83,11 +83,11 @@ def test_common_phrases_and_long_documents(spark):
 
 
 def test_no_broadcast_gives_the_same(spark, monkeypatch):
-    from zscape.llm import common
+    from zscape import shared
 
     rng = random.Random(9)
     items = [(k, " ".join(rng.choice(W) for _ in range(20))) for k in range(40)]
     docs = [(i, " ".join([rng.choice(W) for _ in range(60)]) + (" " + items[i % 40][1] if i % 2 else "")) for i in range(60)]
     want = brute(docs, items)
-    monkeypatch.setattr(common, "BROADCAST_BYTES", 0)
+    monkeypatch.setattr(shared, "BROADCAST_BYTES", 0)
     assert len(want) >= 30 and run(spark, docs, items) == want

@@ -63,3 +63,13 @@ def test_emitted_and_empty(spark):
     assert M.mix(documents(spark, docs).where("false"), ["doc_id"]).count() == 0
     blank = M.mix(documents(spark, [(1, None, None, "a"), (2, " ", None, "b")]), ["doc_id"]).collect()
     assert all(r["target"] == 0 and r["taken"] == 0 for r in blank)
+
+
+def test_copies_do_not_depend_on_partitions(spark):
+    rng = random.Random(3)
+    same = [(i % 5 if i % 3 else None, " ".join(rng.choice("abc") for _ in range(6)), None, "s") for i in range(300)]  # ids and sizes repeat, texts differ
+    seen = []
+    for parts in (1, 7):
+        docs = documents(spark, sorted(same, key=str) if parts == 1 else same).repartition(parts)
+        seen.append(sorted((str(r["doc_id"]), r["text"], r["copy"]) for r in M.emitted(docs, ["doc_id", "text"]).collect()))
+    assert seen[0] == seen[1] and seen[0]

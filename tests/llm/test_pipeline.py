@@ -67,3 +67,18 @@ def test_language_stage_follows_the_classifiers(spark):
     # no label, so no model: texts with a letter stay
     bare = [(i, t, None, s) for i, t, _, s in corpus(30)] + [(900, None, None, None), (901, "12 !", None, None)]
     assert {r["doc_id"] for r in C.language(spark, frame(bare), "").collect()} == set(range(30))
+
+
+def test_odd_rows_pass_the_stages(spark, tmp_path):
+    rng = random.Random(5)
+    item = sentence(rng, "en", 25)
+    plain = [(i, t, lang, s) for i, t, lang, s in corpus(40)]
+    odd = [(None, "an own text without an id " + sentence(rng, "en", 9), None, None), (None, "so " + item, "en", "s0"), (None, None, None, None), (500, "", "en", "s1"), (7, *plain[7][1:]), (7, *plain[7][1:]), (501, sentence(rng, "de", 20_000), None, "s2")]
+    rows = [(i, t, lang, s, len(t) if t is not None else None, 1.0, "x", "y") for i, t, lang, s in plain + odd]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, score double, spans string, copy string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, item), (None, "x"), (2, None)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    got = C.run(spark, str(tmp_path)).collect()
+    assert {r["copy"] for r in got} <= {1, 2} and all(r["text"] for r in got)
+    kept = {(r["doc_id"], r["text"]) for r in got}
+    assert not any(item in t for _, t in kept) and 500 not in {i for i, _ in kept}  # contaminated by its text, and without a letter
+    assert any(i == 501 for i, _ in kept) or any(i is None for i, _ in kept) or len(kept) > 20

@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Most bytes that a broadcast table may hold; beyond it the join shuffles.
-BROADCAST_BYTES = 16 << 20
+from ..shared import broadcast_if_small, discard, placed, scratch, stored, written
+
+__all__ = ["broadcast_if_small", "discard", "evenly_joined", "held_out", "pieces", "placed", "scratch", "share_of_hash", "stored", "table", "written"]
+
 #: Most keys that ``evenly_joined`` deals out, so its broadcast list of them stays below 2 MB.
 HOT_KEYS = 100_000
 
@@ -21,52 +21,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and every executor can reach.
-
-    It is the cluster's ``spark.checkpoint.dir``; only a local session without one (tests) gets a
-    temporary folder. A cluster without one is an error: its executors could not read such a folder.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        base = tempfile.mkdtemp(prefix="zscape-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return base
-
-
-def _hadoop(spark: SparkSession, path: str):
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return at, at.getFileSystem(spark._jsc.hadoopConfiguration())
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder; what is written there goes when the application ends."""
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    at, fs = _hadoop(spark, path)
-    fs.mkdirs(at)  # only what exists can be marked
-    fs.deleteOnExit(at)
-    return path
-
-
-def discard(spark: SparkSession, path: str) -> None:
-    """Deletes what ``scratch`` named, once no plan reads it any more."""
-    at, fs = _hadoop(spark, path)
-    fs.delete(at, True)
-
-
-def stored(df: DataFrame, path: str) -> DataFrame:
-    """``df`` written as Parquet at ``path`` and read again (columns stay prunable)."""
-    df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` stored in the shared folder: later plans start there, so a lost executor costs a stage."""
-    return stored(df, scratch(df.sparkSession, name))
-
-
 def pieces(batches: Iterable[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
     """Arrow batches in slices that stay small as Python objects (Spark bounds a batch's bytes itself)."""
     for b in batches:
@@ -79,11 +33,6 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 4 == 2, F.lit(False))
 
 
-def broadcast_if_small(df: DataFrame, rows: int, row_bytes: int) -> DataFrame:
-    """``df`` with a broadcast hint if ``rows`` (counted before) fit; else Spark shuffles both sides."""
-    return F.broadcast(df) if rows * row_bytes <= BROADCAST_BYTES else df
-
-
 def evenly_joined(many: DataFrame, one: DataFrame, key: str, sizes: DataFrame, spread: Column, together: int = 100_000, how: str = "inner", rows: int | None = None) -> DataFrame:
     """``many`` joined to ``one`` (a row for each key at most) so that no task gets all rows of a hot key.
 

@@ -3,7 +3,7 @@
 Sources in code point order (null last) weigh 5, 2, 1, repeating. They share ``BUDGET`` times all
 words; a source stops at ``MOST`` times its own words, and what it leaves is shared again by weight
 until none is above. A source's target over its words is each of its documents' expected copies.
-Documents stand in the order of their size, then of a hash; the expected copies are summed along that
+Documents stand in the order of their size, then of a hash of their id; the expected copies are summed along that
 order, a random offset of the source (a hash of its name) is added, and a document is emitted once for
 each integer boundary that its part of the sum crosses. As sizes ascend, the words taken stay near the
 target; as the rate is at most 2, no document is taken more than twice.
@@ -13,7 +13,8 @@ it begins, so that a hot source is spread over many tasks. Everything random is
 reruns agree.
 
 Null texts have size 0 (and are never worth a word), a null source is a source, rows with equal ids
-are ordered by size and are otherwise interchangeable, an empty table gives no rows.
+(or none) are ordered by size, then by a hash of their text and columns, so only equal rows are
+interchangeable; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, written
+from .common import broadcast_if_small, placed, written
 
 WEIGHTS = (5, 2, 1)
 BUDGET, MOST = 1.5, 2
@@ -32,21 +33,15 @@ def size(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
-def _numbered(rows: DataFrame, order: list[Column], name: str) -> DataFrame:
-    """``rows`` in a range-partitioned table: ``pid`` and, within it, the row's place ``pos``."""
-    at = F.monotonically_increasing_id()
-    return written(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", at), name).withColumns({"pid": F.shiftright("_at", 33), "pos": F.col("_at").bitwiseAND((1 << 33) - 1)}).drop("_at")
-
-
 def targets(rows: DataFrame) -> DataFrame:
     """``source, source_size, target`` of a table with ``source`` and ``size``."""
     sources = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
-    placed = _numbered(sources, [F.col("source").asc_nulls_last()], "sources")
+    numbered = placed(sources, [F.col("source").asc_nulls_last()], "sources")
     # one row for each partition: the number of rows before it
-    before = placed.groupBy("pid").agg(F.count("*").alias("n")).select("pid", (F.sum("n").over(Window.orderBy("pid")) - F.col("n")).alias("before"))
+    before = numbered.groupBy("pid").agg(F.count("*").alias("n")).select("pid", (F.sum("n").over(Window.orderBy("pid")) - F.col("n")).alias("before"))
     turn = (F.col("before") + F.col("pos")) % len(WEIGHTS)
     weight = F.element_at(F.array(*map(F.lit, WEIGHTS)), (turn + 1).cast("int"))
-    weighed = written(placed.join(before, "pid").select("source", "source_size", weight.alias("weight")), "weights")
+    weighed = written(numbered.join(before, "pid").select("source", "source_size", weight.alias("weight")), "weights")
     full, level, capped = F.col("source_size") * MOST, None, -1
     while True:
         above = F.lit(False) if level is None else F.col("weight") * level > full
@@ -59,10 +54,11 @@ def targets(rows: DataFrame) -> DataFrame:
 
 def mix(docs: DataFrame, columns: list[str]) -> DataFrame:
     """``columns`` of every document, with ``size, source_size, target, copies, taken``."""
-    rows = docs.select(F.struct(*columns).alias("row"), "source", size(F.col("text")).alias("size"), F.md5(F.concat(F.lit(SEED), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))).alias("o"))
-    placed = _numbered(rows, [F.col("source").asc_nulls_last(), F.col("size"), F.col("o")], "placed")
-    goals = targets(placed.select("source", "size"))
-    parts = placed.groupBy("pid", "source").agg(F.count("*").alias("n"), F.min("pos").alias("first"))
+    rows = docs.select(F.struct(*columns).alias("row"), "source", size(F.col("text")).alias("size"), F.md5(F.concat(F.lit(SEED), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))).alias("o"), F.xxhash64("text", *columns).alias("tie"), F.monotonically_increasing_id().alias("last"))
+    # the last key parts rows that are equal in every way, so that no range holds all of them
+    numbered = placed(rows, [F.col("source").asc_nulls_last(), *map(F.col, ("size", "o", "tie", "last"))], "placed").drop("o", "tie", "last")
+    goals = targets(numbered.select("source", "size"))
+    parts = numbered.groupBy("pid", "source").agg(F.count("*").alias("n"), F.min("pos").alias("first"))
     # a row for each range partition that a source touches
     before = F.sum("n").over(Window.partitionBy("source").orderBy("pid")) - F.col("n") - F.col("first")
     parts = parts.select("pid", F.col("source").alias("_source"), before.alias("shift"))
@@ -72,7 +68,7 @@ def mix(docs: DataFrame, columns: list[str]) -> DataFrame:
     i = F.col("pos") + F.col("shift") + 1
     copies = F.least(F.floor(i * F.col("rate") + F.col("offset")) - F.floor((i - 1) * F.col("rate") + F.col("offset")), F.lit(MOST).cast("long"))
     parts = written(parts, "parts")
-    joined = placed.join(broadcast_if_small(parts, parts.count(), 128), (placed["pid"] == parts["_pid"]) & placed["source"].eqNullSafe(parts["_source"]))
+    joined = numbered.join(broadcast_if_small(parts, parts.count(), 128), (numbered["pid"] == parts["_pid"]) & numbered["source"].eqNullSafe(parts["_source"]))
     out = joined.select("row", "size", "source_size", "target", copies.alias("copies"))
     return out.select(*(F.col("row")[c].alias(c) for c in columns), "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
