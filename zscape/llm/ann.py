@@ -239,7 +239,7 @@ def _buckets(counts: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray]:
     return np.array(first), np.array(parts)
 
 
-def search(rows: DataFrame, queries: DataFrame, k: int = 10, recall: float = 0.95) -> DataFrame:
+def search(rows: DataFrame, queries: DataFrame, k: int = 10, recall: float = 0.94) -> DataFrame:
     """``query_id, rank, vec_id, score``: the ``k`` nearest found of ``rows`` for each of ``queries``.
 
     Both have ``vec_id`` and ``embedding`` as ``usable`` returns them.
