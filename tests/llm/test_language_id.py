@@ -1,3 +1,4 @@
+import random
 import zlib
 
 import numpy as np
@@ -94,3 +95,16 @@ def test_long_spectra_are_thinned_for_fitting_alone():
         assert np.allclose(m.kernel(many), whole)
     finally:
         L.ENTRIES = before
+
+
+def test_a_text_in_all_languages_is_accepted_and_junk_is_not(spark):
+    rng = random.Random(4)
+    letters = {"aa": "abcdefgh", "bb": "ijklmnop", "cc": "qrstuvwx", "dd": "acegikmo"}
+    words = {x: ["".join(rng.choice(y) for _ in range(rng.randint(2, 6))) for _ in range(80)] for x, y in letters.items()}
+    say = lambda x, n: " ".join(rng.choice(words[x]) for _ in range(n))
+    rows = [(i, say(x := "abcd"[i % 4] * 2, rng.randint(60, 150)), x) for i in range(400)]
+    rows += [(1000 + i, " ".join(say(x, 60) for x in letters), None) for i in range(20)]
+    rows += [(2000 + i, "".join(chr(0x4E00 + rng.randrange(20_000)) for _ in range(600)), None) for i in range(20)]
+    docs = documents(spark, rows)
+    accepted = {r["doc_id"] for r in L.predict(docs, L.train(docs), ["doc_id"]).where("accepted").collect()}
+    assert accepted == {*range(400), *range(1000, 1020)}

@@ -31,8 +31,8 @@ UNKNOWN = "und"
 #: Most n-grams of a text that the model is fitted on (a text of 20,000 words of prose has fewer), so that
 #: the sample is bounded in bytes too; most entries of a presence matrix at once.
 FITTED, ENTRIES = 16_384, 1 << 23
-#: A text with fewer distinct n-grams (about 130 characters of prose) says too little to be rejected.
-ENOUGH = 250
+#: A text with fewer distinct n-grams (about 80 characters of prose) says too little to be rejected.
+ENOUGH = 150
 
 
 @lru_cache(1)
@@ -81,7 +81,11 @@ class Model:
 
     With L languages of equal weight, a text without evidence gets values near 2 / L - 1, and 0 is a
     tie. ``floor`` is half way between, so texts in two learned languages stay. Up to two languages the
-    classifiers can't tell junk (one of their values is never below 0), and there is no floor.
+    classifiers can't tell junk (one of their values is never below 0), and there is no floor. A text in
+    more languages than two falls below it too, but the landmarks explain it as well as other prose:
+    its features by ``whiten`` are its projection on them, whose squared length (0 to 1) is one language's
+    or the mean of several. ``familiar`` is half the length that all but a hundredth of the fitted rows
+    reach (those with ``ENOUGH`` n-grams that are no landmarks; without any, nothing is familiar).
     """
 
     languages: list[str]
@@ -91,6 +95,8 @@ class Model:
     coefficients: np.ndarray
     bias: np.ndarray
     floor: float = -np.inf
+    familiar: float = np.inf
+    whiten: np.ndarray | None = None
 
     def kernel(self, spectra: list[np.ndarray]) -> np.ndarray:
         rows = max(1, ENTRIES // max(1, len(self.landmarks)))
@@ -105,9 +111,13 @@ class Model:
             out.append((presence @ self.landmarks) / (sizes[:, None] * self.roots))
         return np.concatenate(out)
 
-    def decide(self, spectra: list[np.ndarray]) -> np.ndarray:
-        """A value near 1 for the text's language and near -1 for each other one."""
-        return self.kernel(spectra) @ self.coefficients + self.bias
+    def decide(self, near: np.ndarray) -> np.ndarray:
+        """Of kernel values: a value near 1 for the text's language and near -1 for each other one."""
+        return near @ self.coefficients + self.bias
+
+    def explained(self, near: np.ndarray) -> np.ndarray:
+        """Of kernel values: the share of a text's squared length that the landmarks span."""
+        return ((near.astype(float) @ self.whiten) ** 2).sum(1)
 
 
 def fit(spectra: list[np.ndarray], langs: list[str], landmarks: int = 96, ridge: float = 1e-2) -> Model | None:
@@ -117,7 +127,8 @@ def fit(spectra: list[np.ndarray], langs: list[str], landmarks: int = 96, ridge:
     names = sorted(set(langs))
     by = {x: [i for i, y in enumerate(langs) if y == x] for x in names}
     turns = [by[x][k] for k in range(max(map(len, by.values()))) for x in names if k < len(by[x])]
-    chosen = [spectra[i] for i in turns[: max(landmarks, len(names))]]
+    marked = dict.fromkeys(turns[: max(landmarks, len(names))])
+    chosen = [spectra[i] for i in marked]
     ids = np.unique(np.concatenate(chosen))
     columns = np.full(DIMENSIONS, -1, np.int32)
     columns[ids] = np.arange(len(ids))
@@ -129,7 +140,8 @@ def fit(spectra: list[np.ndarray], langs: list[str], landmarks: int = 96, ridge:
     values, vectors = np.linalg.eigh(model.kernel(chosen).astype(float))
     keep = values > 1e-6 * values.max()
     whiten = vectors[:, keep] / np.sqrt(values[keep])
-    x = np.concatenate([model.kernel(spectra[i : i + 256]) for i in range(0, len(spectra), 256)]).astype(float) @ whiten
+    near = np.concatenate([model.kernel(spectra[i : i + 256]) for i in range(0, len(spectra), 256)]).astype(float)
+    x = near @ whiten
     y = np.where(np.array(langs)[:, None] == np.array(names), 1.0, -1.0)
     weight = np.array([len(x) / (len(names) * len(by[z])) for z in langs])  # each language weighs the same
     middle, level = np.average(x, 0, weight), np.average(y, 0, weight)
@@ -138,6 +150,9 @@ def fit(spectra: list[np.ndarray], langs: list[str], landmarks: int = 96, ridge:
     model.coefficients = (whiten @ a).astype(np.float32)
     model.bias = (level - middle @ a).astype(np.float32)
     model.floor = 1 / len(names) - 0.5 if len(names) > 2 else -np.inf
+    telling = (x**2).sum(1)[[len(s) >= ENOUGH and i not in marked for i, s in enumerate(spectra)]]
+    model.whiten = whiten
+    model.familiar = float(np.quantile(telling, 0.01)) / 2 if len(telling) else np.inf
     return model
 
 
@@ -177,10 +192,10 @@ def train(docs: DataFrame, sample_rows: int = 2000, landmarks: int = 96) -> Mode
 def predict(docs: DataFrame, model: Model | None, keep: list[str]) -> DataFrame:
     """``keep`` columns of ``docs`` plus ``lang_pred`` and ``score`` (the winner's value, scaled to 0..1).
 
-    ``accepted`` is true for a text with a letter, unless it has at least ``ENOUGH`` n-grams and the
-    winner's value is below the model's ``floor``. Without a model every text with a letter is accepted.
-    With four languages the floor is -0.25. Base64 of 300 random bytes gets -0.36 at most; of 256,410
-    documents, a handful of long ones get -0.26, and those of one or two lines have too few n-grams.
+    ``accepted`` is true for a text with a letter, unless it has at least ``ENOUGH`` n-grams, the
+    winner's value is below the model's ``floor`` and the landmarks explain less of it than is ``familiar``.
+    Without a model every text with a letter is accepted.
+    For the four languages of the test tables ``familiar`` is 0.2; base64 of random bytes has 0.1 at most, prose 0.22 at least.
     """
     spark = docs.sparkSession
     held = spark.sparkContext.broadcast(model)
@@ -194,13 +209,14 @@ def predict(docs: DataFrame, model: Model | None, keep: list[str]) -> DataFrame:
             size = np.array([len(x) for x in spectra], int)
             lang, score, yes = [UNKNOWN] * len(spectra), np.zeros(len(spectra)), size > 0
             if m and spectra:
-                values = m.decide(spectra)
+                near = m.kernel(spectra)
+                values = m.decide(near)
                 best = values.argmax(1)
                 top = values[np.arange(len(best)), best]
                 has = size > 0
                 lang = [m.languages[k] if h else UNKNOWN for k, h in zip(best, has)]
                 score = np.where(has, np.clip((top.astype(float) + 1) / 2, 0, 1), 0.0)
-                yes = has & ((size < ENOUGH) | (top >= m.floor))
+                yes = has & ((size < ENOUGH) | (top >= m.floor) | (m.explained(near) >= m.familiar))
             own = [b.column(c) for c in keep]
             yield pa.RecordBatch.from_arrays([*own, pa.array(lang, pa.string()), pa.array(score), pa.array(yes)], [*keep, "lang_pred", "score", "accepted"])
 
