@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, decontaminate, language_id, mixing, pii, secret_scan, simhash, toxicity, url_filter, warc
+from . import ann, decontaminate, fim, language_id, mixing, pii, secret_scan, simhash, toxicity, url_filter, warc
 from .common import table
 
 
@@ -51,6 +51,10 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
 
 
+def op13_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fim.digests(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
     return {
         "op1_language_id": op1_language_id,
@@ -63,6 +67,7 @@ def queries() -> dict:
         "op8_simhash": op8_simhash,
         "op9_pii": op9_pii,
         "op10_toxicity": op10_toxicity,
+        "op13_fim": op13_fim,
     }
 
 
@@ -72,4 +77,5 @@ def oracle_sql() -> dict[str, str]:
         "op3_decontaminate": decontaminate.ORACLE_SQL,
         "op5_warc": warc.ORACLE_SQL,
         "op7_mixing": mixing.ORACLE_SQL,
+        "op13_fim": fim.ORACLE_SQL,
     }
