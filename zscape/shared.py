@@ -76,9 +76,9 @@ def placed(rows: DataFrame, order: list[Column], name: str) -> DataFrame:
     return out.withColumns({"pid": F.shiftright("_at", 33), "pos": F.col("_at").bitwiseAND((1 << 33) - 1)}).drop("_at")
 
 
-def numbered(rows: DataFrame, order: list[Column], column: str = "rank") -> DataFrame:
+def numbered(rows: DataFrame, order: list[Column], column: str = "rank", kind: str = "int") -> DataFrame:
     """``rows`` with their place from 1 in ``order``, which no task sees whole: only counts meet, one a partition."""
     parts = placed(rows, order, column)
     before = parts.groupBy("pid").agg(F.count("*").alias("n"))
     before = before.select(F.col("pid").alias("_pid"), (F.sum("n").over(Window.orderBy("pid")) - F.col("n")).alias("_before"))
-    return parts.join(F.broadcast(before), F.col("pid") == F.col("_pid")).withColumn(column, (F.col("_before") + F.col("pos") + 1).cast("int")).drop("pid", "_pid", "_before", "pos")
+    return parts.join(F.broadcast(before), F.col("pid") == F.col("_pid")).withColumn(column, (F.col("_before") + F.col("pos") + 1).cast(kind)).drop("pid", "_pid", "_before", "pos")
