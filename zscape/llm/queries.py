@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, decontaminate, fim, importance, language_id, mixing, pii, secret_scan, simhash, toxicity, url_filter, warc
+from . import ann, decontaminate, fim, forest, importance, language_id, mixing, pii, secret_scan, simhash, toxicity, url_filter, warc
 from .common import table
 
 
@@ -51,6 +51,10 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
 
 
+def op11_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return forest.components(table(spark, sf_dir, "documents")).drop("place")
+
+
 def op12_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance.drawn(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -71,6 +75,7 @@ def queries() -> dict:
         "op8_simhash": op8_simhash,
         "op9_pii": op9_pii,
         "op10_toxicity": op10_toxicity,
+        "op11_minhash": op11_minhash,
         "op12_importance": op12_importance,
         "op13_fim": op13_fim,
     }
@@ -82,6 +87,7 @@ def oracle_sql() -> dict[str, str]:
         "op3_decontaminate": decontaminate.ORACLE_SQL,
         "op5_warc": warc.ORACLE_SQL,
         "op7_mixing": mixing.ORACLE_SQL,
+        "op11_minhash": forest.ORACLE_SQL,
         "op12_importance": importance.ORACLE_SQL,
         "op13_fim": fim.ORACLE_SQL,
     }
