@@ -9,17 +9,18 @@ orders of the nodes: order t reads the signature from its own place on and round
 minima, which part the order in regions, are its own. Within a region the neighbours in the order are those
 with the longest common prefix, and these are the candidates. How far a node looks, and so how short a
 prefix may be, depends on the region: the first rounds take nearest neighbours only, in a few orders and then
-in all; a region whose nodes are one component by then is done, and the others are looked through further
-and in the end wholly. A dense group of copies is thus joined by its deepest neighbours with a few comparisons a node,
-while no pair of a region that could still join components is left out.
+in all; a region whose nodes are one component by then is done, and the others are looked through wholly. A
+dense group of copies is thus joined by its deepest neighbours with a few comparisons a node, while no
+pair of a region that could still join components is left out. A whole region's task has its texts: it confirms
+pairs itself, each in the first of the orders that have it, and returns a spanning forest of the links.
 
 Candidates whose signatures agree in ``LEAST`` minima are confirmed on their full sets, built again from the
 texts. A pair at the threshold is missed if it shares no region, or agrees in too few minima: less than one in
 a hundred thousand (0.8 ** 4 is 0.41, missed by 32 orders with 5e-8; 80 of 128 with less than 1e-5).
 
-Regions above ``GROUP`` nodes are cut in parts by a hash: at first each part is looked through alone, and
-where components still differ the parts meet pairwise, so no task holds more than two. Sets are compared by 64-bit hashes
-of their shingles.
+Regions above ``GROUP`` nodes, or ``SHINGLES`` shingles in all, are cut in parts by a hash: at first each part
+is looked through alone, and where components still differ the parts meet pairwise, so no task holds more than
+two. Sets are compared by 64-bit hashes of their shingles.
 
 A null id takes part in no minimum, and a component without any id has a null id. Rows that repeat an id with other
 texts are documents of their own; repeated rows get equal results; null texts have no words. An empty
@@ -45,10 +46,10 @@ OVER = 80
 HASHES, DEPTH = 128, 4
 TREES = HASHES // DEPTH
 LEAST = 80
-#: Most nodes of a part of a region, and values of a signature by which an order is sorted.
-GROUP, SORTED = 2048, 16
-#: Rounds: orders that are looked at, and neighbours on each side (None: all of the region).
-ROUNDS = ((4, 1), (TREES, 2), (TREES, 32), (TREES, None))
+#: Most nodes of a part of a region and shingles of their sets, about, and values of a signature by which an order is sorted.
+GROUP, SHINGLES, SORTED = 2048, 1 << 22, 16
+#: Rounds before whole regions: orders that are looked at, and neighbours on each side.
+ROUNDS = ((4, 1), (TREES, 2))
 
 _RNG = np.random.default_rng(11)
 _FACTORS, _SHIFTS = _RNG.integers(0, 1 << 63, (2, HASHES), np.uint64) * np.uint64(2) + np.uint64(1)
@@ -115,62 +116,98 @@ def _place():
 
 
 def members(nodes: DataFrame) -> DataFrame:
-    """``region, tree, node, n``: the nodes of each order's regions that have several, and their number."""
+    """``region, tree, node, parts``: the nodes of each order's regions that have several, and the region's parts."""
     keys = [F.struct(F.lit(t).alias("tree"), F.xxhash64(F.lit(t), F.substring("sig", 2 * DEPTH * t + 1, 2 * DEPTH)).alias("region")) for t in range(TREES)]
-    rows = nodes.select("node", F.explode(F.array(*keys)).alias("k")).select("node", "k.tree", "k.region")
-    crowded = written(rows.groupBy("region").agg(F.count("*").alias("n")).where("n > 1"), "regions")
-    return evenly_joined(rows, crowded, "region", crowded, F.xxhash64("node"))
-
-
-def _neighbours(window: int | None):
-    """Of rows sorted by key: pairs of near neighbours in the order of each key that may join components."""
-
-    def pairs(table: pa.Table):
-        node, label, side = (table.column(c).to_numpy() for c in ("node", "label", "side"))
-        sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), "<u2").reshape(-1, HASHES)
-        turned = np.roll(sig, -DEPTH * table.column("tree")[0].as_py(), axis=1)[:, :SORTED]
-        order = np.lexsort((node, *turned.T[::-1]))
-        node, label, side, sig = node[order], label[order], side[order], sig[order]
-        for step in range(1, len(node) if window is None else min(len(node), window + 1)):
-            i = np.flatnonzero((label[:-step] != label[step:]) & ((side[:-step] == 0) | (side[:-step] != side[step:])))
-            for at in range(0, len(i), 8192):
-                some = i[at : at + 8192]
-                some = some[(sig[some] == sig[some + step]).sum(axis=1) >= LEAST]
-                if len(some):
-                    x, y = node[some], node[some + step]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["a", "b"])
+    rows = nodes.select("node", "n_shingles", F.explode(F.array(*keys)).alias("k")).select("node", "n_shingles", "k.tree", "k.region")
+    parts = F.ceil(F.greatest(F.count("*") / GROUP, F.sum("n_shingles") / SHINGLES)).cast("int")
+    crowded = written(rows.groupBy("region").agg(F.count("*").alias("n"), parts.alias("parts")).where("n > 1"), "regions")
+    return evenly_joined(rows.drop("n_shingles"), crowded.drop("n"), "region", crowded.select("region", "n"), F.xxhash64("node"))
+
+
+def _by_key(batches):
+    """Of rows sorted by key, the table of each key."""
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        keys = b.column("key").to_numpy()
+        edges = [0, *(np.flatnonzero(np.diff(keys)) + 1).tolist(), len(keys)]
+        for low, high in zip(edges, edges[1:]):
+            if low == high:
+                continue
+            if held and held[-1].column("key")[0].as_py() != keys[low]:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(b.slice(low, high - low))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _signatures(table: pa.Table) -> np.ndarray:
+    return np.frombuffer(b"".join(table.column("sig").to_pylist()), "<u2").reshape(-1, HASHES)
+
+
+def _meeting(label: np.ndarray, side: np.ndarray, step: int) -> np.ndarray:
+    """The rows that may be joined to that ``step`` after them."""
+    return np.flatnonzero((label[:-step] != label[step:]) & ((side[:-step] == 0) | (side[:-step] != side[step:])))
+
+
+def _neighbours(window: int):
+    """Pairs of near neighbours in the order of each key that may join components."""
 
     def run(batches):
-        held: list[pa.RecordBatch] = []
-        for b in batches:
-            keys = b.column("key").to_numpy()
-            edges = [0, *(np.flatnonzero(np.diff(keys)) + 1).tolist(), len(keys)]
-            for low, high in zip(edges, edges[1:]):
-                if low == high:
-                    continue
-                if held and held[-1].column("key")[0].as_py() != keys[low]:
-                    yield from pairs(pa.Table.from_batches(held))
-                    held = []
-                held.append(b.slice(low, high - low))
-        if held:
-            yield from pairs(pa.Table.from_batches(held))
+        for table in _by_key(batches):
+            node, label, side = (table.column(c).to_numpy() for c in ("node", "label", "side"))
+            sig = _signatures(table)
+            turned = np.roll(sig, -DEPTH * table.column("tree")[0].as_py(), axis=1)[:, :SORTED]
+            order = np.lexsort((node, *turned.T[::-1]))
+            node, label, side, sig = node[order], label[order], side[order], sig[order]
+            for step in range(1, min(len(node), window + 1)):
+                i = _meeting(label, side, step)
+                i = i[(sig[i] == sig[i + step]).sum(axis=1) >= LEAST]
+                x, y = node[i], node[i + step]
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["a", "b"])
 
     return run
 
 
-def candidates(rows: DataFrame, signatures: DataFrame, window: int | None, meet: bool) -> DataFrame:
-    """``a, b``: distinct pairs of ``rows(region, tree, node, n, label)`` that may join components.
+def _whole(batches):
+    """Confirmed links that join components, as a spanning forest of each key's rows."""
+    for table in _by_key(batches):
+        node, label, side = (table.column(c).to_numpy().copy() for c in ("node", "label", "side"))
+        tree, sig, texts = table.column("tree")[0].as_py(), _signatures(table), table.column("text")
+        sets: dict[int, np.ndarray] = {}
+        links = []
+        for step in range(1, len(node)):
+            i = _meeting(label, side, step)
+            same = sig[i] == sig[i + step]
+            i, same = i[ok := same.sum(axis=1) >= LEAST], same[ok]
+            i = i[same.reshape(-1, TREES, DEPTH).all(axis=2).argmax(axis=1) == tree]  # the first order that has the pair
+            for x in i.tolist():
+                y = x + step
+                if label[x] == label[y]:
+                    continue
+                for k in (x, y):
+                    if k not in sets:
+                        sets[k] = shingles(texts[k].as_py())
+                if alike(sets[x], sets[y]):
+                    links.append((int(node[x]), int(node[y])))
+                    label[label == label[y]] = label[x]
+        yield pa.RecordBatch.from_arrays([pa.array([k[i] for k in links], pa.int64()) for i in (0, 1)], ["a", "b"])
+
+
+def dealt(rows: DataFrame, meet: bool) -> DataFrame:
+    """``key, tree, node, label, side`` of ``rows(region, tree, node, parts, label)``: what one task sees together.
 
     Parts of large regions ``meet`` pairwise, or stay each for itself.
     """
-    parts = F.ceil(F.col("n") / GROUP).cast("int")
     part = F.pmod(F.xxhash64("node", "tree"), F.col("parts")).cast("int")
-    self = F.array(F.struct(part.alias("i"), part.alias("j"), F.lit(0).alias("side")))
+    alone = F.array(F.struct(part.alias("i"), part.alias("j"), F.lit(0).alias("side")))
     others = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda o: F.struct(F.least(part, o).alias("i"), F.greatest(part, o).alias("j"), F.when(part == o, 0).when(part < o, 1).otherwise(2).alias("side")))
-    dealt = rows.withColumn("parts", parts).withColumn("p", F.explode(others if meet else self))
-    dealt = dealt.select("node", "label", "tree", F.xxhash64("region", "p.i", "p.j").alias("key"), F.col("p.side").alias("side"))
-    full = dealt.join(signatures, "node").repartition("key").sortWithinPartitions("key")
-    return full.select("key", "tree", "node", "label", "side", "sig").mapInArrow(_neighbours(window), "a long, b long").distinct()
+    out = rows.withColumn("p", F.explode(others if meet else alone))
+    return out.select(F.xxhash64("region", "p.i", "p.j").alias("key"), "tree", "node", "label", F.col("p.side").alias("side"))
+
+
+def _together(rows: DataFrame) -> DataFrame:
+    return rows.repartition("key").sortWithinPartitions("key")
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -195,33 +232,39 @@ def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return ones.union(others).repartition("a").sortWithinPartitions("a", F.asc_nulls_first("b")).mapInArrow(run, "a long, b long")
 
 
+def _joined(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """``labels`` after ``links(a, b)`` have joined components."""
+    ends = links.join(labels.select(F.col("node").alias("a"), F.col("label").alias("src")), "a").join(labels.select(F.col("node").alias("b"), F.col("label").alias("dst")), "b")
+    merged = connected_components(ends.select("src", "dst")).withColumnRenamed("node", "label")
+    return written(labels.join(merged, "label", "left").select("node", F.coalesce("component", "label").alias("label")), "labels")
+
+
 def linked(nodes: DataFrame, texts_of) -> DataFrame:
     """``node, label`` of the nodes that have company in some region: label is one node of the component.
 
-    ``nodes`` has ``node, sig``; ``texts_of`` gives ``node, text`` for a table of nodes.
+    ``nodes`` has ``node, n_shingles, sig``; ``texts_of`` gives ``node, text`` for a table of nodes.
     """
     rows = written(members(nodes), "members")
     some = written(rows.select("node").distinct(), "candidates")
     texts = written(texts_of(some), "texts")
     signatures = written(nodes.select("node", "sig").join(some, "node", "left_semi"), "signatures")
     labels, tried = some.withColumn("label", F.col("node")), None
-    for turn, (trees, window) in enumerate(ROUNDS):
+
+    def opened(own: DataFrame) -> DataFrame:
+        """The rows of regions that have several components."""
+        several = own.groupBy("region").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("region")
+        return own.join(several, "region", "left_semi")
+
+    for trees, window in ROUNDS:
         own = rows.where(F.col("tree") < trees).join(labels, "node")
-        if turn:
-            open_ = own.groupBy("region").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("region")
-            own = own.join(open_, "region", "left_semi")
-        pairs = candidates(own, signatures, window, meet=window is None)
-        pairs = written(pairs.join(tried, ["a", "b"], "left_anti") if tried is not None else pairs, "pairs")
-        if pairs.isEmpty():
-            continue
+        own = own if tried is None else opened(own)
+        pairs = _together(dealt(own, meet=False).join(signatures, "node")).select("key", "tree", "node", "label", "side", "sig").mapInArrow(_neighbours(window), "a long, b long").distinct()
+        pairs = written(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
         tried = pairs if tried is None else tried.union(pairs)
-        found = written(confirmed(pairs, texts), "links")
-        if found.isEmpty():
-            continue
-        ends = found.join(labels.select(F.col("node").alias("a"), F.col("label").alias("src")), "a").join(labels.select(F.col("node").alias("b"), F.col("label").alias("dst")), "b")
-        merged = connected_components(ends.select("src", "dst")).withColumnRenamed("node", "label")
-        labels = written(labels.join(merged, "label", "left").select("node", F.coalesce("component", "label").alias("label")), "labels")
-    return labels
+        labels = _joined(labels, written(confirmed(pairs, texts), "links"))
+    last = _together(dealt(opened(rows.join(labels, "node")), meet=True).join(signatures, "node").join(texts, "node"))
+    links = last.select("key", "tree", "node", "label", "side", "sig", "text").mapInArrow(_whole, "a long, b long")
+    return _joined(labels, written(links, "links"))
 
 
 def components(docs: DataFrame) -> DataFrame:
@@ -231,7 +274,7 @@ def components(docs: DataFrame) -> DataFrame:
     """
     every = written(marks(docs), "marks")
     full = every.where("own IS NOT NULL")
-    each = full.groupBy("own").agg(F.min("doc_id").alias("least"), F.count("*").alias("n"), F.min("place").alias("place"), F.first("sig").alias("sig"))
+    each = full.groupBy("own").agg(F.min("doc_id").alias("least"), F.count("*").alias("n"), F.min("place").alias("place"), F.first("sig").alias("sig"), F.max("n_shingles").alias("n_shingles"))
     each = written(each.withColumn("node", F.monotonically_increasing_id()), "sets")
 
     def texts_of(some: DataFrame) -> DataFrame:
