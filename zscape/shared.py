@@ -8,6 +8,9 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+#: Folders of local sessions that name none, by application.
+_LOCAL: dict[str, str] = {}
+
 #: Most bytes that a broadcast table may hold; beyond it the join shuffles.
 BROADCAST_BYTES = 16 << 20
 
@@ -18,13 +21,12 @@ def shared_dir(spark: SparkSession) -> str:
     It is the cluster's ``spark.checkpoint.dir``; only a local session without one (tests) gets a
     temporary folder. A cluster without one is an error: its executors could not read such a folder.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        base = tempfile.mkdtemp(prefix="zscape-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return base
+    base, own = spark.conf.get("spark.checkpoint.dir", None), spark.sparkContext.applicationId
+    if base or own in _LOCAL:
+        return base or _LOCAL[own]
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return _LOCAL.setdefault(own, tempfile.mkdtemp(prefix="zscape-"))
 
 
 def _hadoop(spark: SparkSession, path: str):
