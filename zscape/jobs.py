@@ -129,7 +129,7 @@ def reconciliation(universe: DataFrame, archive: DataFrame, vendor: DataFrame, n
     return prices.reconciled(named(archive), named(vendor))
 
 
-def backtested(panel: DataFrame, members: DataFrame | None, by: list[str], lag: int = 2) -> dict[str, DataFrame]:
+def backtested(panel: DataFrame, members: DataFrame | None, by: list[str], lag: int = backtest.LAG) -> dict[str, DataFrame]:
     """The result tables of ``panel(t, ticker, <by>, score, fwd)``; ``by`` has ``horizon`` among others.
 
     Without membership there is no bias table.

@@ -21,6 +21,8 @@ REGIMES = {
     "bear_rate_shock_2022": ("2022-01-01", "2022-12-31"),
     "ai_bull_2023_plus": ("2023-01-01", "2100-01-01"),
 }
+#: Months that the standard error of a mean IC allows to depend on each other.
+LAG = 3
 LITERATURE = {"trend": 0.40, "quality": 0.30, "value": 0.15, "risk": 0.15}
 
 
@@ -31,11 +33,13 @@ def information_coefficients(slices: DataFrame, by: list[str]) -> DataFrame:
     """
     both = slices.where("score IS NOT NULL AND fwd IS NOT NULL")
     ranked = both.withColumns({"_a": average_rank("score", by), "_b": average_rank("fwd", by)})
-    a, b = F.stddev_pop("_a"), F.stddev_pop("_b")  # the built-in correlation fails on a constant side
-    return ranked.groupBy(*by).agg(F.count("*").alias("n"), F.when((F.count("*") >= 3) & (a >= 1e-12) & (b >= 1e-12), F.covar_pop("_a", "_b") / (a * b)).alias("ic"))
+    n, total = F.count("*"), lambda x, y: F.sum(F.col(x) * F.col(y))
+    # sums of half ranks are exact, so an IC of 0 is 0 and not a rounding error with a sign
+    co = lambda x, y: n * total(x, y) - F.sum(x) * F.sum(y)
+    return ranked.groupBy(*by).agg(n.alias("n"), F.when((n >= 3) & (co("_a", "_a") > 0) & (co("_b", "_b") > 0), co("_a", "_b") / F.sqrt(co("_a", "_a")) / F.sqrt(co("_b", "_b"))).alias("ic"))
 
 
-def newey_west(ics: DataFrame, by: list[str], lag: int) -> DataFrame:
+def newey_west(ics: DataFrame, by: list[str], lag: int = LAG) -> DataFrame:
     """``<by>, se_nw``: Bartlett-weighted standard error of the mean IC; NULL below two or if not positive."""
     own, order = Window.partitionBy(*by), Window.partitionBy(*by).orderBy("t")
     x = ics.where("ic IS NOT NULL").withColumn("x", F.col("ic") - F.avg("ic").over(own))
@@ -46,12 +50,12 @@ def newey_west(ics: DataFrame, by: list[str], lag: int) -> DataFrame:
     return lagged.groupBy(*by).agg(F.when((n >= 2) & (total > 0), F.sqrt(total / n)).alias("se_nw"))
 
 
-def ic_summary(ics: DataFrame, by: list[str], lag: int = 0) -> DataFrame:
-    """``<by>, n, mean, std, t_stat, t_nw, pct_pos, ic_for_t2`` (below 1e-12 an IC is not positive)."""
+def ic_summary(ics: DataFrame, by: list[str], lag: int = LAG) -> DataFrame:
+    """``<by>, n, mean, std, t_stat, t_nw, pct_pos, ic_for_t2``; ``pct_pos`` is in percent."""
     known = ics.where("ic IS NOT NULL")
     n, mean, sd = F.count("*"), F.avg("ic"), F.stddev_samp("ic")
     sd = F.when(sd > 0, sd)
-    base = known.groupBy(*by).agg(n.alias("n"), mean.alias("mean"), sd.alias("std"), F.avg(F.when(F.col("ic") > 1e-12, 1.0).otherwise(0.0)).alias("pct_pos"))
+    base = known.groupBy(*by).agg(n.alias("n"), mean.alias("mean"), sd.alias("std"), F.avg(F.when(F.col("ic") > 0, 100.0).otherwise(0.0)).alias("pct_pos"))
     return base.join(newey_west(ics, by, lag), by).select(*by, "n", "mean", "std", (F.col("mean") / (F.col("std") / F.sqrt("n"))).alias("t_stat"), ratio(F.col("mean"), F.col("se_nw")).alias("t_nw"), "pct_pos", (2 * F.col("std") / F.sqrt("n")).alias("ic_for_t2"))
 
 

@@ -1,8 +1,8 @@
 """Factor scores: sector-neutral buckets and an equal-contribution composite.
 
-``by`` names the columns of one cross-section (none: the whole table is one). Each factor is one
-window pass over its cross-section; a backtest scores all its dates at once by putting the date in
-``by``. The whole-table case is one sorted cross-section by nature: an exact rank over one list.
+``by`` names the columns of one cross-section (none: the whole table is one). A backtest scores all its
+dates at once by putting the date in ``by``. Every row is scored, whatever its ticker; a cross-section may
+have any number of names (see ``cross_section``).
 """
 
 from __future__ import annotations
@@ -14,8 +14,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.expr import blended, inverse_yield
-from ..functions.ranks import LEAST_SPREAD, gaussian_rank, sector_neutral
+from ..functions.ranks import LEAST_SPREAD
 from ..shared import written
+from .cross_section import beside, neutral_scores
 
 # The default weights.
 WEIGHTS = {
@@ -44,36 +45,30 @@ def signal(df: DataFrame, name: str) -> Column:
     return inverse_yield(raw) if name in AS_YIELD else -raw if name in LESS_IS_BETTER else raw
 
 
-def scored_factors(df: DataFrame, names: list[str], by: list[str], sector: str = "sector", key: str = "ticker") -> DataFrame:
+def scored_factors(df: DataFrame, names: list[str], by: list[str], sector: str = "sector") -> DataFrame:
     """``df`` with ``z_<name>``: each signal's Gaussian rank, sector-neutral.
 
-    All factors go through the same windows at once, as rows of one long table (so the windows are
-    as parallel as there are cross-sections times factors); ``key`` names a row of a cross-section.
+    The rows are numbered and written once. All factors are then scored as rows of one long table that
+    carries the number, not the row, and join it by that: rows that share a ticker, or have none, stay rows
+    of their own.
     """
-    own = [*by, "_factor"]
-    signals = F.explode(F.array(*[F.struct(F.lit(n).alias("_factor"), signal(df, n).alias("_s")) for n in names]))
-    long = df.select(F.struct(*df.columns).alias("_row"), signals.alias("_x")).select("_row", *[F.col("_row")[c].alias(c) for c in dict.fromkeys((*by, key, sector))], "_x.*")
-    z = long.withColumn("_g", gaussian_rank("_s", own)).withColumn("_z", sector_neutral("_g", sector, own))
-    wide = z.groupBy(*by, key).agg(F.first("_row").alias("_row"), *[F.max(F.when(F.col("_factor") == n, F.col("_z"))).alias(f"z_{n}") for n in names])
-    return wide.select(*[F.col("_row")[c].alias(c) for c in df.columns], *[f"z_{n}" for n in names])
+    rows = written(df.withColumn("_id", F.monotonically_increasing_id()), "rows")
+    signals = F.explode(F.array(*[F.struct(F.lit(n).alias("_factor"), signal(rows, n).alias("_s")) for n in names]))
+    keys = list(dict.fromkeys((*by, sector)))
+    long = rows.select("_id", *keys, signals.alias("_x")).select("_id", *keys, "_x.*")
+    z = neutral_scores(long, "_s", sector, [*by, "_factor"])
+    wide = z.groupBy("_id").agg(*[F.max(F.when(F.col("_factor") == n, F.col("z"))).alias(f"z_{n}") for n in names])
+    return rows.join(wide, "_id", "left").select(*df.columns, *[f"z_{n}" for n in names])
 
 
-def buckets(df: DataFrame, by: list[str], weights: dict = WEIGHTS, key: str = "ticker") -> DataFrame:
+def buckets(df: DataFrame, by: list[str], weights: dict = WEIGHTS) -> DataFrame:
     """``df`` with ``<bucket>_score`` (NULL below half of the weight)."""
     subs = weights["subfactors"]
     names = [n for s in subs.values() for n in s]
-    out = scored_factors(df, names, by, key=key)
+    out = scored_factors(df, names, by)
     return out.withColumns({f"{b}_score": blended([(w, F.col(f"z_{n}")) for n, w in s.items()]) for b, s in subs.items()}).drop(*(f"z_{n}" for n in names))
 
 
-def _beside(df: DataFrame, small: DataFrame, by: list[str]) -> DataFrame:
-    """``df`` with the columns of a table that has one row for each cross-section."""
-    if not by:
-        return df.crossJoin(F.broadcast(small))  # one row
-    renamed = small.withColumnsRenamed({c: f"_k_{c}" for c in by})
-    return df.join(renamed, reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_k_{c}")) for c in by])).drop(*(f"_k_{c}" for c in by))
-
-
 def covariances(names: list[str]) -> list[Column]:
     """Sample covariances of each pair, over rows that have both."""
     return [F.covar_samp(a, b).alias(f"{a}*{b}") for a, b in combinations_with_replacement(names, 2)]
@@ -120,19 +115,18 @@ def equal_contribution(names: list[str], nominal: dict[str, float] | None, steps
     return F.when(F.coalesce(usable, F.lit(False)), result).otherwise(fallback)
 
 
-def build_scores(df: DataFrame, by: list[str] | None = None, weights: dict = WEIGHTS, key: str = "ticker") -> DataFrame:
+def build_scores(df: DataFrame, by: list[str] | None = None, weights: dict = WEIGHTS) -> DataFrame:
     """``df`` with the bucket scores and ``composite_score``, all to four decimals.
 
     Buckets that can't be scored are neutral (0). The composite blends the buckets, each measured
     against the names it scores, by equal-contribution weights of its own cross-section. The buckets
     are computed once and written; one pass then gives each cross-section's means, spreads and
-    covariances, from which its weights follow, and a join brings them back. A cross-section is one
-    task in its ranks: it may have millions of names, while dates and factors run side by side.
+    covariances, from which its weights follow, and a join brings them back.
     """
     by = by or []
     scores = [f"{b}_score" for b in weights["subfactors"]]
     inside = [b for b in BUCKETS if b in weights["composite"]]
-    raw = written(buckets(df, by, weights, key), "buckets")
+    raw = written(buckets(df, by, weights), "buckets")
     filled = {b: F.coalesce(f"{b}_score", F.lit(0.0)) for b in inside}
     pairs = list(combinations_with_replacement(inside, 2))
     moments = [f(f"{b}_score").alias(f"_{n}_{b}") for b in inside for n, f in (("m", F.avg), ("d", F.stddev_pop))]
@@ -141,7 +135,7 @@ def build_scores(df: DataFrame, by: list[str] | None = None, weights: dict = WEI
     scaled = [F.when(spread[a] & spread[b], F.col(f"_c_{a}_{b}") / (F.col(f"_d_{a}") * F.col(f"_d_{b}"))).otherwise(F.when(F.col(f"_c_{a}_{b}").isNotNull(), 0.0)).alias(f"{a}*{b}") for a, b in pairs]
     solved = facts.select(*by, *(f"_{n}_{b}" for n in "md" for b in inside), *scaled)
     solved = solved.withColumn("_w", equal_contribution(inside, weights["composite"]))
-    out = _beside(raw, written(solved.drop(*(f"{a}*{b}" for a, b in pairs)), "weights"), by)
+    out = beside(raw, written(solved.drop(*(f"{a}*{b}" for a, b in pairs)), "weights"), by, small=True)
     parts = [F.col("_w")[i] * F.when(spread[b], (filled[b] - F.col(f"_m_{b}")) / F.col(f"_d_{b}")).otherwise(0.0) for i, b in enumerate(inside)]
     out = out.withColumn("composite_score", reduce(lambda a, b: a + b, parts))
     out = out.withColumns({c: F.round(F.coalesce(c, F.lit(0.0)), 4) + F.lit(0.0) for c in [*scores, "composite_score"]})

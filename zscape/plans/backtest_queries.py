@@ -59,7 +59,7 @@ _BETA = _PROXY + f", seen AS (SELECT * FROM prices WHERE date <= {_T}), sw AS (S
 R.add("ag8_beta", "prices", lambda p: rounded(prices.beta(p, prices.market(p, "Brand#11"), F.lit("2001-05-30").cast("date")), "beta"), f", {_BETA} SELECT ticker, count(*) AS n, {sr6('CASE WHEN count(*) >= 30 AND var_pop(m) >= 1e-12 THEN covar_pop(ret, m) / var_pop(m) END')} AS beta FROM j GROUP BY ticker")
 R.add("jn3_weekly_join", "prices", lambda p: prices.weekly_returns(p).join(prices.proxy_market(p, "Brand#11").withColumnRenamed("ret", "m"), "week").groupBy("ticker").agg(F.count("*").alias("n"), r6(F.corr("ret", "m")).alias("corr")), f", {_PROXY}, sr AS (SELECT ticker, week, close / lag(close) OVER (PARTITION BY ticker ORDER BY week) - 1 AS ret FROM ws) SELECT ticker, count(*) AS n, {sr6('corr(sr.ret, mk.ret)')} AS corr FROM sr JOIN mk USING (week) WHERE sr.ret IS NOT NULL AND mk.ret IS NOT NULL GROUP BY ticker")
 
-_RANKED = lambda src, by: f"b AS (SELECT * FROM {src} WHERE score IS NOT NULL AND fwd IS NOT NULL), rk AS (SELECT *, {avg_rank_sql('score', by)} AS ra, {avg_rank_sql('fwd', by)} AS rb FROM b), ic AS (SELECT {by}, count(*) AS n, CASE WHEN count(*) >= 3 AND stddev_pop(ra) >= 1e-12 AND stddev_pop(rb) >= 1e-12 THEN corr(ra, rb) END AS ic FROM rk GROUP BY {by})"
+_RANKED = lambda src, by: f"b AS (SELECT * FROM {src} WHERE score IS NOT NULL AND fwd IS NOT NULL), rk AS (SELECT *, {avg_rank_sql('score', by)} AS ra, {avg_rank_sql('fwd', by)} AS rb FROM b), ic AS (SELECT {by}, count(*) AS n, CASE WHEN count(*) >= 3 AND stddev_pop(ra) >= 1e-12 AND stddev_pop(rb) >= 1e-12 THEN (count(*) * sum(ra * rb) - sum(ra) * sum(rb)) / sqrt(count(*) * sum(ra * ra) - sum(ra) * sum(ra)) / sqrt(count(*) * sum(rb * rb) - sum(rb) * sum(rb)) END AS ic FROM rk GROUP BY {by})"
 _IC, _ICP = _RANKED("slices", "t"), _RANKED("panel", "factor, horizon, t")
 FH = ["factor", "horizon"]
 
@@ -70,10 +70,10 @@ def _ics(p: DataFrame) -> DataFrame:
 
 R.add("ag9_spearman_ic", "slices", lambda s: rounded(backtest.information_coefficients(s, ["t"]), "ic"), f", {_IC} SELECT t, n, {sr6('ic')} AS ic FROM ic")
 R.add("jn1_score_forward_join", "slices", lambda s: s.select("t", "ticker", "score").join(s.select("t", "ticker", "fwd"), ["t", "ticker"]).dropna("any", subset=["score", "fwd"]).groupBy("t").agg(F.count("*").alias("n")), " SELECT t, count(*) AS n FROM slices WHERE score IS NOT NULL AND fwd IS NOT NULL GROUP BY t")
-_NW = f"xs AS (SELECT *, ic - avg(ic) OVER (PARTITION BY factor, horizon) AS x FROM ic WHERE ic IS NOT NULL), ls AS (SELECT *, lag(x, 1) OVER o AS l1, lag(x, 2) OVER o AS l2 FROM xs WINDOW o AS (PARTITION BY factor, horizon ORDER BY t)), nw AS (SELECT factor, horizon, count(*) AS n, (sum(x * x) + 2 * (1 - 1 / 3::DOUBLE) * coalesce(sum(x * l1), 0) + 2 * (1 - 2 / 3::DOUBLE) * coalesce(sum(x * l2), 0)) / count(*) AS lrv FROM ls GROUP BY 1, 2), se AS (SELECT factor, horizon, CASE WHEN n >= 2 AND lrv > 0 THEN sqrt(lrv / n) END AS se_nw FROM nw)"
-R.add("ag10_newey_west", "panel", lambda p: rounded(backtest.newey_west(_ics(p), FH, 2), "se_nw"), f", {_ICP}, {_NW} SELECT factor, horizon, {sr6('se_nw')} AS se_nw FROM se")
-_SUM = "sm AS (SELECT factor, horizon, count(*) AS n, avg(ic) AS mean, CASE WHEN stddev_samp(ic) > 0 THEN stddev_samp(ic) END AS sd, avg(CASE WHEN ic > 1e-12 THEN 1.0 ELSE 0.0 END) AS pct_pos FROM ic WHERE ic IS NOT NULL GROUP BY 1, 2)"
-R.add("ag11_ic_summary", "panel", lambda p: rounded(backtest.ic_summary(_ics(p), FH, 2), "mean", "std", "t_stat", "t_nw", "pct_pos", "ic_for_t2"), f", {_ICP}, {_NW}, {_SUM} SELECT factor, horizon, n, {sr6('mean')} AS mean, {sr6('sd')} AS std, {sr6('mean / (sd / sqrt(n))')} AS t_stat, {sr6('mean / se_nw')} AS t_nw, {sr6('pct_pos')} AS pct_pos, {sr6('2 * sd / sqrt(n)')} AS ic_for_t2 FROM sm JOIN se USING (factor, horizon)")
+_NW = "xs AS (SELECT *, ic - avg(ic) OVER (PARTITION BY factor, horizon) AS x FROM ic WHERE ic IS NOT NULL), ls AS (SELECT *, lag(x, 1) OVER o AS l1, lag(x, 2) OVER o AS l2, lag(x, 3) OVER o AS l3 FROM xs WINDOW o AS (PARTITION BY factor, horizon ORDER BY t)), nw AS (SELECT factor, horizon, count(*) AS n, (sum(x * x) + 2 * (3e0 / 4 * coalesce(sum(x * l1), 0) + 2e0 / 4 * coalesce(sum(x * l2), 0) + 1e0 / 4 * coalesce(sum(x * l3), 0))) / count(*) AS lrv FROM ls GROUP BY 1, 2), se AS (SELECT factor, horizon, CASE WHEN n >= 2 AND lrv > 0 THEN sqrt(lrv / n) END AS se_nw FROM nw)"
+R.add("ag10_newey_west", "panel", lambda p: rounded(backtest.newey_west(_ics(p), FH), "se_nw"), f", {_ICP}, {_NW} SELECT factor, horizon, {sr6('se_nw')} AS se_nw FROM se")
+_SUM = "sm AS (SELECT factor, horizon, count(*) AS n, avg(ic) AS mean, CASE WHEN stddev_samp(ic) > 0 THEN stddev_samp(ic) END AS sd, avg(CASE WHEN ic > 0 THEN 100e0 ELSE 0e0 END) AS pct_pos FROM ic WHERE ic IS NOT NULL GROUP BY 1, 2)"
+R.add("ag11_ic_summary", "panel", lambda p: rounded(backtest.ic_summary(_ics(p), FH), "mean", "std", "t_stat", "t_nw", "pct_pos", "ic_for_t2"), f", {_ICP}, {_NW}, {_SUM} SELECT factor, horizon, n, {sr6('mean')} AS mean, {sr6('sd')} AS std, {sr6('mean / (sd / sqrt(n))')} AS t_stat, {sr6('mean / se_nw')} AS t_nw, {sr6('pct_pos')} AS pct_pos, {sr6('2 * sd / sqrt(n)')} AS ic_for_t2 FROM sm JOIN se USING (factor, horizon)")
 R.add("ag12_block_bootstrap", "panel", lambda p: rounded(backtest.block_bootstrap(_ics(p), FH), "ci_lo", "ci_hi"))
 R.add("ag22_median_precision", "panel", lambda p: backtest.ic_summary(_ics(p), FH).agg(r6(F.median("std")).alias("std"), r6(F.median("ic_for_t2")).alias("ic_for_t2")), f", {_ICP}, {_SUM} SELECT {sr6('median(sd)')} AS std, {sr6('median(2 * sd / sqrt(n))')} AS ic_for_t2 FROM sm")
 _LAB = "lb AS (SELECT *, CASE WHEN count(score) OVER (PARTITION BY t) >= 5 THEN greatest(1, ceil((row_number() OVER (PARTITION BY t, score IS NULL ORDER BY score, ticker) - 1) * 5 / (count(score) OVER (PARTITION BY t) - 1)))::INT END AS q FROM slices WHERE score IS NOT NULL)"
