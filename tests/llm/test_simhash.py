@@ -111,3 +111,12 @@ def test_null_ids(spark):
     out = S.components(docs).collect()
     assert sorted((r["component_id"] is None, r["component_id"] or 0) for r in out) == [(False, 4), (False, 4), (True, 0)]
     assert S.representatives(docs, ["doc_id", "text"]).count() == 3
+
+
+def test_an_id_with_several_texts(spark):
+    text = " ".join(f"word{i}" for i in range(200))
+    rows = [(3, text), (5, text + " end"), (5, "a text of its own under the id of a copy"), (9, "other words"), (3, "and the smallest id again with another text")]
+    got = sorted((r["doc_id"], r["text"]) for r in S.representatives(documents(spark, rows), ["doc_id", "text"]).collect())
+    assert got == sorted(r for r in rows if r[1] != text + " end")
+    columns = S.representatives(documents(spark, rows), ["text", "lang"]).columns
+    assert columns == ["text", "lang"]

@@ -54,18 +54,26 @@ def fingerprint(text: str | None) -> int:
     return int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """``doc_id, fp`` (a signed long with the fingerprint's bits)."""
+def fingerprints(docs: DataFrame, with_place: bool = False) -> DataFrame:
+    """``doc_id, fp`` (a signed long with the fingerprint's bits), and ``place``, which names the text, if asked."""
 
     def run(batches):
         for b in pieces(batches):
             fps = np.array([fingerprint(t) for t in b.column("text").to_pylist()], np.uint64)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
+            own = [n for n in ("doc_id", "place") if n in b.schema.names]
+            yield pa.RecordBatch.from_arrays([*(b.column(n) for n in own), pa.array(fps.view(np.int64))], [*own, "fp"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
+    if with_place:
+        return docs.select("doc_id", _place().alias("place"), "text").mapInArrow(run, f"doc_id {kind}, place binary, fp long")
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, fp long")
 
 
+def _place():
+    """What names a text in a join: null and empty texts have one fingerprint, and one name."""
+    return F.unhex(F.md5(F.coalesce("text", F.lit(""))))
+
+
 class Forest:
     """Smallest-index labels of points that links join, kept as links arrive."""
 
@@ -198,21 +206,28 @@ def links(fps: DataFrame) -> DataFrame:
     return dealt.repartition("key").sortWithinPartitions("key").mapInArrow(_forests, "src long, dst long")
 
 
-def components(docs: DataFrame) -> DataFrame:
-    """``doc_id, fingerprint, component_id`` for every row of ``docs``."""
-    fps = written(fingerprints(docs), "fingerprints")
+def components(docs: DataFrame, with_place: bool = False) -> DataFrame:
+    """``doc_id, fingerprint, component_id`` for every row of ``docs``, and ``place``, which names its text, if asked."""
+    own = ["doc_id", "place"] if with_place else ["doc_id"]
+    fps = written(fingerprints(docs, with_place), "fingerprints")
     each = written(fps.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "distinct")
     found = connected_components(links(each.select("fp")))
     named = each.join(found.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
     least = named.groupBy("component").agg(F.min("least").alias("component_id"), F.count("*").alias("n"))
     classes = evenly_joined(named, least.drop("n"), "component", least.select("component", "n"), F.xxhash64("fp"), rows=each.count())
-    return evenly_joined(fps, classes.select("fp", "component_id"), "fp", each.select("fp", "n"), F.xxhash64("doc_id")).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    rows = evenly_joined(fps, classes.select("fp", "component_id"), "fp", each.select("fp", "n"), F.xxhash64(*own))
+    return rows.select(*own, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def representatives(docs: DataFrame, columns: list[str]) -> DataFrame:
-    """``columns`` of one document of each component: that with the smallest id.
+    """``columns`` of the document of each component that has the smallest id.
 
-    Rows that share the smallest id all stay, and so do rows without an id, which no decision names.
+    A row is dropped by its id and its text together: of rows that repeat an id, each is judged by its own
+    text. Rows that repeat the smallest id within its component all stay, as nothing tells which of them to
+    keep, and so do rows without an id, which no decision names.
     """
-    dropped = written(components(docs).where("doc_id <> component_id").select("doc_id").distinct(), "near-duplicates")
-    return docs.select(*columns).join(broadcast_if_small(dropped, dropped.count(), 16), "doc_id", "left_anti").select(*columns)
+    found = components(docs, with_place=True).where("doc_id <> component_id")
+    dropped = written(found.select(F.col("doc_id").alias("_id"), F.col("place").alias("_place")).distinct(), "near-duplicates")
+    rows = docs.select(*columns, F.col("doc_id").alias("_own"), _place().alias("_text"))
+    small = broadcast_if_small(dropped, dropped.count(), 48)
+    return rows.join(small, (F.col("_own") == F.col("_id")) & (F.col("_text") == F.col("_place")), "left_anti").select(*columns)
