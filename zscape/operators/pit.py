@@ -90,15 +90,17 @@ def validity(facts: DataFrame) -> DataFrame:
 def signals(wide: DataFrame, closes: DataFrame) -> DataFrame:
     """``ticker`` and eight raw ratios, higher is better, from the wide view and ``ticker, close``.
 
-    Missing capital expenditure, depreciation, debt, cash and payout legs count as 0; any other missing
+    A ``t`` stays, and is a key of the closes too where they have it: all dates at once. Missing capital expenditure, depreciation, debt, cash and payout legs count as 0; any other missing
     input makes its ratio NULL.
     """
     zero = lambda c: F.coalesce(c, F.lit(0.0))
-    x = wide.join(closes.select("ticker", "close"), "ticker", "left")
+    keys = [c for c in ("t", "ticker") if c in wide.columns]
+    on = [c for c in keys if c in closes.columns]
+    x = wide.join(closes.select(*on, "close"), on, "left")
     cap = F.col("shares_outstanding") * F.col("close")
     ev = cap + zero("total_debt") - zero("cash_and_equivalents")
     return x.select(
-        "ticker",
+        *keys,
         ratio(F.col("net_income_ttm"), cap).alias("ep"),
         ratio(F.col("stockholders_equity"), cap).alias("bp"),
         ratio(F.col("operating_cash_flow_ttm") - zero("capex_ttm"), cap).alias("fcf_yield"),

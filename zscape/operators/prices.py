@@ -137,6 +137,31 @@ def beta(prices: DataFrame, market_returns: DataFrame, t: Column) -> DataFrame:
     return out.select("ticker", "n", F.when((F.col("n") >= BETA_LEAST) & (F.col("v") >= 1e-12), F.col("c") / F.col("v")).alias("beta"))
 
 
+def betas(prices: DataFrame, market_returns: DataFrame, dates: DataFrame) -> DataFrame:
+    """``t, ticker, n, beta_52w`` at every ``t`` of ``dates``: ``beta`` for all of them at once.
+
+    Co-moments roll over each ticker's weeks. A week that isn't over at t is one of the 52 and has no market
+    return yet, so a date within a ticker's week takes the 51 full weeks before it.
+    """
+    own = Window.partitionBy("ticker").orderBy("week")
+    weeks = weekly_returns(prices).join(market_returns.select("week", F.col("ret").alias("m")), "week", "left")
+    both = F.when(F.col("m").isNotNull(), F.col("ret"))
+    for k in (BETA_WEEKS - 1, BETA_WEEKS):
+        w = own.rowsBetween(1 - k, 0)
+        weeks = weeks.withColumn(f"b{k}", F.struct(F.count(both).over(w).alias("n"), F.covar_pop(both, "m").over(w).alias("c"), F.var_pop("m").over(w).alias("v")))
+    full = as_of(weeks.withColumnRenamed("week", "date"), dates, [f"b{BETA_WEEKS - 1}", f"b{BETA_WEEKS}"]).drop("asof")
+    last = as_of(prices.where("close IS NOT NULL"), dates, []).select("t", "ticker", (week_end(F.col("asof")) > F.col("t")).alias("within"))
+    x = F.when(F.col("within"), F.col(f"b{BETA_WEEKS - 1}")).otherwise(F.col(f"b{BETA_WEEKS}"))
+    out = last.join(full, ["t", "ticker"], "left").select("t", "ticker", x.alias("x"))
+    return out.select("t", "ticker", F.coalesce("x.n", F.lit(0)).alias("n"), F.when((F.col("x.n") >= BETA_LEAST) & (F.col("x.v") >= 1e-12), F.col("x.c") / F.col("x.v")).alias("beta_52w"))
+
+
+def signals(prices: DataFrame, market_returns: DataFrame, dates: DataFrame) -> DataFrame:
+    """``t, ticker, asof, ret_12_1, ret_13w, volatility_26w, beta_52w`` of every ticker with a bar by ``t``."""
+    own = as_of(features(prices), dates, ["ret_12_1", "ret_13w", "volatility_26w"])
+    return own.join(betas(prices, market_returns, dates).select("t", "ticker", "beta_52w"), ["t", "ticker"], "left")
+
+
 def forward_returns(prices: DataFrame, dates: DataFrame, horizons: list[int]) -> DataFrame:
     """``t, ticker, horizon, fwd``: returns over ``horizon`` bars of the shared calendar.
 

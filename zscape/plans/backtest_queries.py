@@ -44,7 +44,6 @@ R.add(
     f"d AS (SELECT p.ticker, p.date, c.seq, s1, s2, ln(p.close / c.before) AS now FROM prices p JOIN k c ON p.ticker = c.ticker AND c.week = {WEEK_SQL.replace('date', 'p.date')}) "
     "SELECT ticker, date, CASE WHEN seq > 26 THEN round(sqrt(greatest((s2 + now * now) / 26 - ((s1 + now) / 26) * ((s1 + now) / 26), 0.0) * 52), 6) END AS vol FROM d",
 )
-R.add("cp11_price_signals", "prices", lambda p: _asof_features(p).select("t", "ticker", "asof", r6("ret_12_1").alias("ret_12_1"), r6("ret_13w").alias("ret_13w")), f", {_REB}, {_FEATURES}, b AS (SELECT t, f.ticker, max(f.date) AS last FROM reb JOIN f ON f.date <= t GROUP BY 1, 2) SELECT t, b.ticker, last AS \"asof\", {sr6('ret_12_1')} AS ret_12_1, {sr6('ret_13w')} AS ret_13w FROM b JOIN f ON f.ticker = b.ticker AND f.date = last")
 R.add("jn5_as_of_bars", "prices", lambda p: prices.as_of(p, prices.month_ends(p), ["close"]).select("t", "ticker", "asof", r6("close").alias("close")), f", {_ENDS} SELECT t, e.ticker, p.date AS asof, {sr6('p.close')} AS close FROM (SELECT t, ticker FROM ends CROSS JOIN (SELECT DISTINCT ticker FROM prices)) e ASOF JOIN prices p ON e.ticker = p.ticker AND e.t >= p.date")
 R.add("wn11_forward_return", "prices", lambda p: rounded(prices.forward_returns(p, prices.rebalances(p), [21, 63]), "fwd"), f", {_REB} SELECT t, p.ticker, h AS horizon, {sr6('q.close / nullif(p.close, 0) - 1')} AS fwd FROM reb JOIN prices p ON p.date = t CROSS JOIN (VALUES (21), (63)) v(h) LEFT JOIN cal c ON c.pos = reb.pos + h LEFT JOIN prices q ON q.ticker = p.ticker AND q.date = c.date")
 R.add("jn20_forward_positions", "prices", lambda p: prices.forward_returns(p, prices.month_ends(p), [1]).groupBy("t").agg(F.count("fwd").alias("n"), F.count("*").alias("names")), f", {_CAL}, {_ENDS} SELECT t, count(q.close) AS n, count(*) AS names FROM ends JOIN cal a ON a.date = t JOIN prices p ON p.date = t LEFT JOIN cal c ON c.pos = a.pos + 1 LEFT JOIN prices q ON q.ticker = p.ticker AND q.date = c.date GROUP BY t")
@@ -57,6 +56,19 @@ R.add("cp12_market_fallback", "prices", lambda p: rounded(prices.market(p, "NONE
 _T = "DATE '2001-05-30'"
 _BETA = _PROXY + f", seen AS (SELECT * FROM prices WHERE date <= {_T}), sw AS (SELECT ticker, {WEEK_SQL} AS week, arg_max(close, date) AS close FROM seen GROUP BY 1, 2), sr AS (SELECT ticker, week, close / lag(close) OVER (PARTITION BY ticker ORDER BY week) - 1 AS ret, row_number() OVER (PARTITION BY ticker ORDER BY week DESC) AS back FROM sw), j AS (SELECT sr.ticker, sr.week, sr.ret, mk.ret AS m FROM sr JOIN mk ON sr.week = mk.week WHERE back <= 52 AND sr.ret IS NOT NULL AND mk.ret IS NOT NULL AND mk.week <= {_T})"
 R.add("ag8_beta", "prices", lambda p: rounded(prices.beta(p, prices.market(p, "Brand#11"), F.lit("2001-05-30").cast("date")), "beta"), f", {_BETA} SELECT ticker, count(*) AS n, {sr6('CASE WHEN count(*) >= 30 AND var_pop(m) >= 1e-12 THEN covar_pop(ret, m) / var_pop(m) END')} AS beta FROM j GROUP BY ticker")
+# beta and volatility at every rebalance: each ticker's weeks as they stood at t
+_SEEN_T = f"sn AS (SELECT t, p.* FROM reb JOIN prices p ON p.date <= t), sw AS (SELECT t, ticker, {WEEK_SQL} AS week, arg_max(close, date) AS close FROM sn GROUP BY 1, 2, 3), sr AS (SELECT *, close / lag(close) OVER o - 1 AS ret, ln(close / lag(close) OVER o) AS lr, row_number() OVER (PARTITION BY t, ticker ORDER BY week DESC) AS back, count(*) OVER (PARTITION BY t, ticker) AS weeks FROM sw WINDOW o AS (PARTITION BY t, ticker ORDER BY week))"
+_BETA_T = f"bt AS (SELECT t, sr.ticker, count(*) AS n, CASE WHEN count(*) >= 30 AND var_pop(mk.ret) >= 1e-12 THEN covar_pop(sr.ret, mk.ret) / var_pop(mk.ret) END AS beta FROM sr JOIN mk ON sr.week = mk.week AND mk.week <= t WHERE back <= 52 AND sr.ret IS NOT NULL AND mk.ret IS NOT NULL GROUP BY 1, 2)"
+_VOL_T = "vt AS (SELECT t, ticker, CASE WHEN max(weeks) > 26 THEN stddev_pop(lr) * sqrt(52) END AS vol FROM sr WHERE back <= 26 GROUP BY 1, 2)"
+_SIGNALS_T = f"b AS (SELECT t, f.ticker, max(f.date) AS last FROM reb JOIN f ON f.date <= t GROUP BY 1, 2), sg AS (SELECT b.t, b.ticker, last, ret_12_1, ret_13w, vol, beta FROM b JOIN f ON f.ticker = b.ticker AND f.date = last JOIN vt ON vt.t = b.t AND vt.ticker = b.ticker LEFT JOIN bt ON bt.t = b.t AND bt.ticker = b.ticker)"
+
+
+def _signals(p: DataFrame) -> DataFrame:
+    return prices.signals(p, prices.market(p, "Brand#11"), prices.rebalances(p))
+
+
+R.add("ag8_rolling_betas", "prices", lambda p: rounded(prices.betas(p, prices.market(p, "Brand#11"), prices.rebalances(p)), "beta_52w"), f", {_REB}, {_PROXY}, {_SEEN_T}, {_BETA_T} SELECT k.t, k.ticker, coalesce(n, 0) AS n, {sr6('beta')} AS beta_52w FROM (SELECT DISTINCT t, ticker FROM sw) k LEFT JOIN bt ON bt.t = k.t AND bt.ticker = k.ticker")
+R.add("cp11_price_signals", "prices", lambda p: rounded(_signals(p), "ret_12_1", "ret_13w", "volatility_26w", "beta_52w"), f", {_REB}, {_FEATURES}, {_PROXY.replace(_WEEKLY + ', ', '')}, {_SEEN_T}, {_BETA_T}, {_VOL_T}, {_SIGNALS_T} SELECT t, ticker, last AS \"asof\", {sr6('ret_12_1')} AS ret_12_1, {sr6('ret_13w')} AS ret_13w, {sr6('vol')} AS volatility_26w, {sr6('beta')} AS beta_52w FROM sg")
 R.add("jn3_weekly_join", "prices", lambda p: prices.weekly_returns(p).join(prices.proxy_market(p, "Brand#11").withColumnRenamed("ret", "m"), "week").groupBy("ticker").agg(F.count("*").alias("n"), r6(F.corr("ret", "m")).alias("corr")), f", {_PROXY}, sr AS (SELECT ticker, week, close / lag(close) OVER (PARTITION BY ticker ORDER BY week) - 1 AS ret FROM ws) SELECT ticker, count(*) AS n, {sr6('corr(sr.ret, mk.ret)')} AS corr FROM sr JOIN mk USING (week) WHERE sr.ret IS NOT NULL AND mk.ret IS NOT NULL GROUP BY ticker")
 
 _RANKED = lambda src, by: f"b AS (SELECT * FROM {src} WHERE score IS NOT NULL AND fwd IS NOT NULL), rk AS (SELECT *, {avg_rank_sql('score', by)} AS ra, {avg_rank_sql('fwd', by)} AS rb FROM b), ic AS (SELECT {by}, count(*) AS n, CASE WHEN count(*) >= 3 AND stddev_pop(ra) >= 1e-12 AND stddev_pop(rb) >= 1e-12 THEN (count(*) * sum(ra * rb) - sum(ra) * sum(rb)) / sqrt(count(*) * sum(ra * ra) - sum(ra) * sum(ra)) / sqrt(count(*) * sum(rb * rb) - sum(rb) * sum(rb)) END AS ic FROM rk GROUP BY {by})"
