@@ -14,9 +14,10 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions.expr import data_quality, guarded, vendor_symbol
-from .operators import backtest, guards, membership, prices, publish, scoring
-from .shared import checked, numbered
+from .functions.expr import data_quality, guarded, row_mean, vendor_symbol
+from .functions.ranks import gaussian_rank, sector_neutral
+from .operators import backtest, guards, membership, pit, prices, publish, replay, scoring
+from .shared import checked, numbered, written
 
 log = logging.getLogger(__name__)
 
@@ -148,6 +149,84 @@ def backtested(panel: DataFrame, members: DataFrame | None, by: list[str], lag:
     return out
 
 
+# The signals of a backtest, those of which less is better, and the buckets that they make.
+PRICE_SIGNALS = ("ret_12_1", "ret_13w", "volatility_26w", "beta_52w")
+FACT_SIGNALS = ("ep", "bp", "fcf_yield", "net_payout_yield", "gpa", "roe", "oper_margin", "ev_ebitda_yield")
+LESS_IS_BETTER = ("volatility_26w", "beta_52w")
+#: Decimals of signals and scores: names that differ by the order of a sum alone are tied.
+DIGITS = 12
+BACKTEST_BUCKETS = {
+    "trend": ("ret_12_1", "ret_13w"),
+    "risk": ("volatility_26w", "beta_52w"),
+    "quality": ("gpa", "roe", "oper_margin"),
+    "value": ("ep", "bp", "fcf_yield", "net_payout_yield", "ev_ebitda_yield"),
+}
+
+
+def signals_at(bars: DataFrame, facts: DataFrame | None, market: str, dates: DataFrame) -> DataFrame:
+    """``t, ticker, factor, signal`` (higher is better): the union of names with prices and names with facts."""
+    wide = prices.signals(bars, prices.market(bars, market), dates).drop("asof")
+    names = [*PRICE_SIGNALS]
+    if facts is not None:
+        closes = bars.join(checked(dates.select(F.col("t"))), F.col("date") == F.col("t")).select("t", "ticker", "close")
+        wide = wide.join(pit.signals(replay.as_known_on(facts, dates), closes), ["t", "ticker"], "full_outer")
+        names += FACT_SIGNALS
+    turned = wide.select("t", "ticker", *[F.round(-F.col(c) if c in LESS_IS_BETTER else F.col(c), DIGITS).alias(c) for c in names])
+    return turned.unpivot(["t", "ticker"], names, "factor", "signal").where("signal IS NOT NULL")
+
+
+def scored_signals(signals: DataFrame, sectors: DataFrame) -> DataFrame:
+    """``t, ticker, factor, variant, score``: each signal's Gaussian rank, ``raw`` and sector-``neutral``."""
+    own = ["factor", "t"]
+    rows = signals.join(checked(sectors.select("ticker", "sector"), 128), "ticker", "left").withColumn("_g", gaussian_rank("signal", own))
+    both = rows.withColumn("_z", sector_neutral("_g", "sector", own))
+    kinds = F.explode(F.array(*[F.struct(F.lit(k).alias("variant"), F.round(c, DIGITS).alias("score")) for k, c in (("raw", "_g"), ("neutral", "_z"))]))
+    return both.select("t", "ticker", "factor", kinds.alias("x")).select("t", "ticker", "factor", "x.*")
+
+
+def backtested_from_bars(bars: DataFrame, facts: DataFrame | None, sectors: DataFrame, members: DataFrame | None, market: str, horizons: tuple[int, int] = (21, 63)) -> dict[str, DataFrame]:
+    """The whole backtest from bars, facts and membership: every factor, variant and horizon as rows of one panel.
+
+    Signals at all dates, scores and forward returns are computed once and written, and every result
+    table begins there. Spreads, turnover, regimes, decay, bias and composites are of neutral scores;
+    composites and all but the decay are of the nearer horizon. The bias is that of the price signals.
+    """
+    dates = written(prices.rebalances(bars).select("t"), "dates")
+    scores = written(scored_signals(signals_at(bars, facts, market, dates), sectors), "scores")
+    forward = written(prices.forward_returns(bars, dates, list(horizons)), "forward")
+    grid = scores.withColumn("horizon", F.explode(F.array(*map(F.lit, horizons))))
+    panel = written(grid.join(forward, ["t", "ticker", "horizon"], "left"), "panel")
+    by = ["factor", "variant", "horizon"]
+    ics = written(backtest.information_coefficients(panel, [*by, "t"]), "ics")
+    neutral = F.col("variant") == "neutral"
+    near = neutral & (F.col("horizon") == horizons[0])
+    spreads = backtest.quintile_spreads(panel.where(near), ["factor", "t"])
+    out = {
+        "ic_summary": backtest.ic_summary(ics, by).join(backtest.block_bootstrap(ics, by), by),
+        "ic_series": ics,
+        "spreads": spreads,
+        "quintiles": backtest.annualised(spreads, ["factor"], "spread").join(backtest.top_turnover(panel.where(near), ["factor"]), "factor"),
+        "regimes": backtest.regime_means(ics.where(near), ["factor"]),
+        "decay": backtest.decay(ics.where(neutral), ["factor"], *horizons),
+    }
+    if members is not None:
+        prices_only = F.col("factor").isin(*PRICE_SIGNALS)
+        inside = backtest.information_coefficients(membership.eligible(panel.where(near & prices_only), members), ["factor", "t"])
+        out["bias"] = backtest.inclusion_bias(ics.where(near & prices_only), inside, ["factor"])
+    each = scores.where(neutral).groupBy("t", "ticker").pivot("factor", [f for b in BACKTEST_BUCKETS.values() for f in b]).agg(F.first("score"))
+    slices = each.select("t", "ticker", *[row_mean(*map(F.col, fs)).alias(b) for b, fs in BACKTEST_BUCKETS.items()]).unpivot(["t", "ticker"], list(BACKTEST_BUCKETS), "bucket", "score")
+    slices = written(slices.where("score IS NOT NULL"), "buckets")
+    # a bucket takes part if each date has its signals' columns: facts have them once any is filed
+    first = dates.agg(F.min("t")).first()[0]
+    known = facts is not None and first is not None and (filed := facts.agg(F.min("filed")).first()[0]) is not None and filed <= first
+    present = sorted(b for b in BACKTEST_BUCKETS if known or set(BACKTEST_BUCKETS[b]) <= set(PRICE_SIGNALS))
+    if first is not None:
+        slices = slices.where(F.col("bucket").isin(*present))
+        weights = backtest.scheme_weights(slices, {"product": scoring.WEIGHTS["composite"], "literature": backtest.LITERATURE}, present)
+        out["composites"] = backtest.scheme_results(slices, weights, forward.where(F.col("horizon") == horizons[0]))
+    return out
+
+
 def input_digests(spark: SparkSession, paths: Iterable[str]) -> DataFrame:
     """``input, file, bytes, sha256`` of the files (below 2 GB each) that a result depends on; NULL for what isn't there."""
     out = None

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.expr import ratio, weighted_sum
 from ..functions.ranks import average_rank, quantile_label
+from ..shared import written
 from .scoring import covariances, equal_contribution
 
 # Named periods, both ends included, and the literature's composite weights.
@@ -186,3 +187,26 @@ def experiment(slices: DataFrame, schemes: dict[str, dict[str, float]]) -> DataF
     return information_coefficients(reduce(DataFrame.unionByName, parts), ["scheme", "t"])
 
 
+def scheme_weights(slices: DataFrame, named: dict[str, dict[str, float]], present: list[str]) -> DataFrame:
+    """``scheme, bucket, weight``: ``named`` weights over the present buckets, and ``variance_share``, solved in the plan.
+
+    ``slices`` is ``t, ticker, bucket, score``; the solve takes the rows of all dates that have every bucket.
+    """
+    rows = [(k, b, float(w)) for k, own in named.items() for b, w in renormalised(own, present).items()]
+    given = slices.sparkSession.createDataFrame(rows, "scheme string, bucket string, weight double")
+    wide = slices.groupBy("t", "ticker").pivot("bucket", present).agg(F.first("score"))
+    return given.unionByName(solved_weights(wide, present).select(F.lit("variance_share").alias("scheme"), "bucket", "weight"))
+
+
+def weighted(slices: DataFrame, weights: DataFrame) -> DataFrame:
+    """``scheme, t, ticker, score``: each scheme's weighted sum of the buckets that a name has."""
+    both = slices.where("score IS NOT NULL").join(F.broadcast(weights), "bucket")  # schemes times buckets
+    return both.groupBy("scheme", "t", "ticker").agg(F.sum(F.col("weight") * F.col("score")).alias("score"))
+
+
+def scheme_results(slices: DataFrame, weights: DataFrame, forward: DataFrame) -> DataFrame:
+    """``scheme, n, mean, t_stat, t_nw, ann_return`` of each scheme's composite; ``forward`` is ``t, ticker, fwd``."""
+    scored = written(weighted(slices, weights).join(forward.select("t", "ticker", "fwd"), ["t", "ticker"], "left"), "composites")
+    ics = ic_summary(information_coefficients(scored, ["scheme", "t"]), ["scheme"])
+    returns = annualised(quintile_spreads(scored, ["scheme", "t"]), ["scheme"], "spread")
+    return ics.join(returns.select("scheme", F.col("ann_ret").alias("ann_return")), "scheme", "left").select("scheme", "n", "mean", "t_stat", "t_nw", "ann_return")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import expr
 from ..operators import backtest, membership, prices
-from .registry import Registry, avg_rank_sql, r6, rounded, sr6
+from .registry import Registry, avg_rank_sql, erc_sql, r6, rounded, sr6
 
 R = Registry()
 #: The Friday on or after a date.
@@ -135,6 +135,48 @@ R.add("ag20_inclusion_bias", "panel members", lambda p, m: rounded(backtest.incl
 _SCHEMES = {"product": {"trend": 0.3334, "quality": 0.3333, "value": 0.3333}, "literature": backtest.LITERATURE}
 _CS = lambda ws: "CASE WHEN coalesce(trend, quality, value) IS NOT NULL THEN (" + " + ".join(f"coalesce({k}, 0) * {w / sum(v for n, v in ws.items() if n != 'risk')!r}::DOUBLE" for k, w in ws.items() if k != "risk") + ") END"
 R.add("cp9_composite_experiment", "blends", lambda b: rounded(backtest.experiment(b, _SCHEMES), "ic"), ", sc AS (" + " UNION ALL ".join(f"SELECT '{k}' AS scheme, t, ticker, {_CS(w)} AS score, fwd FROM blends" for k, w in _SCHEMES.items()) + f"), {_RANKED('sc', 'scheme, t')} SELECT scheme, t, n, {sr6('ic')} AS ic FROM ic")
+# schemes as rows of weights: two that are given, one that is solved
+
+
+def _bucket_rows(b: DataFrame) -> DataFrame:
+    return b.unpivot(["t", "ticker"], ["trend", "quality", "value"], "bucket", "score").where("score IS NOT NULL")
+
+
+def _scheme_results(b: DataFrame) -> DataFrame:
+    rows, names = _bucket_rows(b), ["quality", "trend", "value"]
+    return rounded(backtest.scheme_results(rows, backtest.scheme_weights(rows, _SCHEMES, names), b), "mean", "t_stat", "t_nw", "ann_return")
+
+
+def results_sql(source: str, by: str, tag: str) -> str:
+    """CTEs ``ic``, ``se``, ``sm`` and ``an`` (suffixed by ``tag``) of ``source(<by>, t, ticker, score, fwd)``."""
+    n = len(by.split(","))
+    key = ", ".join(str(i + 1) for i in range(n))
+    own = f"PARTITION BY {by}, t"
+    return (
+        f"b{tag} AS (SELECT * FROM {source} WHERE score IS NOT NULL AND fwd IS NOT NULL), rk{tag} AS (SELECT *, {avg_rank_sql('score', by + ', t')} AS ra, {avg_rank_sql('fwd', by + ', t')} AS rb FROM b{tag}), "
+        f"ic{tag} AS (SELECT {by}, t, count(*) AS n, CASE WHEN count(*) >= 3 AND stddev_pop(ra) >= 1e-12 AND stddev_pop(rb) >= 1e-12 THEN (count(*) * sum(ra * rb) - sum(ra) * sum(rb)) / sqrt(count(*) * sum(ra * ra) - sum(ra) * sum(ra)) / sqrt(count(*) * sum(rb * rb) - sum(rb) * sum(rb)) END AS ic FROM rk{tag} GROUP BY {by}, t), "
+        f"xs{tag} AS (SELECT *, ic - avg(ic) OVER (PARTITION BY {by}) AS x FROM ic{tag} WHERE ic IS NOT NULL), ls{tag} AS (SELECT *, lag(x, 1) OVER o AS l1, lag(x, 2) OVER o AS l2, lag(x, 3) OVER o AS l3 FROM xs{tag} WINDOW o AS (PARTITION BY {by} ORDER BY t)), "
+        f"sm{tag} AS (SELECT {by}, count(*) AS n, avg(ic) AS mean, CASE WHEN stddev_samp(ic) > 0 THEN stddev_samp(ic) END AS sd, avg(CASE WHEN ic > 0 THEN 100e0 ELSE 0e0 END) AS pct_pos, (sum(x * x) + 2 * (3e0 / 4 * coalesce(sum(x * l1), 0) + 2e0 / 4 * coalesce(sum(x * l2), 0) + 1e0 / 4 * coalesce(sum(x * l3), 0))) / count(*) AS lrv FROM ls{tag} GROUP BY {key}), "
+        f"lb{tag} AS (SELECT *, CASE WHEN count(score) OVER ({own}) >= 5 THEN greatest(1, ceil((row_number() OVER ({own} ORDER BY score, ticker) - 1) * 5 / (count(score) OVER ({own}) - 1)))::INT END AS q FROM {source} WHERE score IS NOT NULL), "
+        f"sp{tag} AS (SELECT {by}, t, avg(fwd) FILTER (q = 5) - avg(fwd) FILTER (q = 1) AS r FROM lb{tag} WHERE q IS NOT NULL AND fwd IS NOT NULL GROUP BY {by}, t HAVING count(DISTINCT q) = 5), "
+        f"eq{tag} AS (SELECT *, product(1 + r) OVER (PARTITION BY {by} ORDER BY t) AS equity FROM sp{tag}), "
+        f"pk{tag} AS (SELECT *, max(equity) OVER (PARTITION BY {by} ORDER BY t) AS peak FROM eq{tag}), "
+        f"an{tag} AS (SELECT {by}, power(product(1 + r), 12.0::DOUBLE / count(*)) - 1 AS ann, min(equity / peak - 1) AS drawdown FROM pk{tag} GROUP BY {key})"
+    )
+
+
+_T_NW = "mean / (CASE WHEN sm{0}.n >= 2 AND lrv > 0 THEN sqrt(lrv / sm{0}.n) END)"
+_MIX = lambda ws: "coalesce(trend, 0) * " + f"{ws[0]} + coalesce(quality, 0) * {ws[1]} + coalesce(value, 0) * {ws[2]}"
+_NAMED = {k: [f"{v / sum(x for n, x in ws.items() if n != 'risk')!r}::DOUBLE" for n, v in ws.items() if n != "risk"] for k, ws in _SCHEMES.items()} | {"variance_share": ["w0", "w1", "w2"]}
+R.add(
+    "cp9_scheme_results",
+    "blends",
+    _scheme_results,
+    ", d AS (SELECT * FROM blends WHERE trend IS NOT NULL AND quality IS NOT NULL AND value IS NOT NULL), " + erc_sql("d", ["trend", "quality", "value"])
+    + ", sc AS (" + " UNION ALL ".join(f"SELECT '{k}' AS scheme, t, ticker, CASE WHEN coalesce(trend, quality, value) IS NOT NULL THEN {_MIX(ws)} END AS score, fwd FROM blends, erc" for k, ws in _NAMED.items())
+    + f"), {results_sql('sc', 'scheme', '_s')} SELECT sm_s.scheme, n, {sr6('mean')} AS mean, {sr6('mean / (sd / sqrt(n))')} AS t_stat, {sr6(_T_NW.format('_s'))} AS t_nw, {sr6('ann')} AS ann_return FROM sm_s LEFT JOIN an_s USING (scheme)",
+)
+R.oracles["cp9_scheme_results"] = R.oracles["cp9_scheme_results"].replace("WITH ", "WITH RECURSIVE ", 1)
 R.add("so3_bucket_intersection", "slices", lambda s: backtest.bucket_coverage(s.withColumnRenamed("ticker", "bucket")), " SELECT ticker AS bucket FROM slices WHERE score IS NOT NULL GROUP BY ticker HAVING count(DISTINCT t) = (SELECT count(DISTINCT t) FROM slices)")
 R.add("so5_stack_dropna", "blends", lambda b: b.dropna("any").groupBy("t").agg(F.count("*").alias("n")), " SELECT t, count(*) AS n FROM blends WHERE trend IS NOT NULL AND quality IS NOT NULL AND value IS NOT NULL AND fwd IS NOT NULL GROUP BY t")
 R.add("nj11_flatten_results", "blends", lambda b: b.unpivot(["t", "ticker"], ["trend", "quality", "value"], "bucket", "score").where("score IS NOT NULL").withColumn("score", r6("score")), f" SELECT t, ticker, bucket, {sr6('score')} AS score FROM (UNPIVOT (SELECT t, ticker, trend, quality, value FROM blends) ON trend, quality, value INTO NAME bucket VALUE score)")

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import backtest_queries, facts_queries, files_queries, scoring_queries
+from . import backtest_queries, facts_queries, files_queries, raw_backtest, scoring_queries
 
-SECTIONS = (scoring_queries.R, backtest_queries.R, facts_queries.R, files_queries.R)
+SECTIONS = (scoring_queries.R, backtest_queries.R, facts_queries.R, files_queries.R, raw_backtest.R)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import expr, ranks
 from ..operators import backtest, scoring, statements
-from .registry import Registry, avg_rank_sql, neutral_sql, ppf_sql, r6, rounded, sr6
+from .registry import Registry, avg_rank_sql, erc_sql, neutral_sql, ppf_sql, r6, rounded, sr6
 
 R = Registry()
 SUBS = scoring.WEIGHTS["subfactors"]
@@ -35,22 +35,6 @@ _Z = (
 )
 
 
-def _erc_sql(source: str, cols: list[str], steps: int = 300) -> str:
-    """The equal-contribution fixed point as a recursive query over one row."""
-    k, n = len(cols), range(len(cols))
-    cov = ", ".join(f"covar_samp({cols[i]}, {cols[j]}) AS c{i}{j}" for i in n for j in n if i <= j)
-    c = lambda i, j: f"c{min(i, j)}{max(i, j)}"
-    sw = [" + ".join(f"{c(i, j)} * w{j}" for j in n) for i in n]
-    total = " + ".join(f"w{i} * ({sw[i]})" for i in n)
-    raised = [f"w{i} * sqrt({1 / k!r}::DOUBLE / greatest(w{i} * ({sw[i]}) / ({total}), 1e-15))" for i in n]
-    whole = " + ".join(f"u{i}" for i in n)
-    return (
-        f"cov AS (SELECT {cov} FROM {source}), step AS (SELECT 0 AS i, {', '.join(f'{1 / k!r}::DOUBLE AS w{i}' for i in n)} "
-        f"UNION ALL SELECT i + 1, {', '.join(f'u{i} / ({whole})' for i in n)} FROM (SELECT i, {', '.join(f'{raised[i]} AS u{i}' for i in n)} FROM step, cov WHERE i < {steps})), "
-        f"erc AS (SELECT {', '.join(f'w{i}' for i in n)} FROM step WHERE i = {steps})"
-    )
-
-
 def _with(extra: str, body: str) -> str:
     return ", " + extra + "\n" + body
 
@@ -93,7 +77,7 @@ def build_scores(f: DataFrame) -> DataFrame:
 
 _SCORES = ", ".join(f"round(coalesce({b}_score, 0), 4) + 0.0 AS {b}_score" for b in SUBS)
 _COMPOSITE = " + ".join(f"w{i} * r_{b}" for i, b in enumerate(scoring.BUCKETS))
-R.add("cp3_build_scores", "factors", build_scores, _with(_Z + ", " + _erc_sql("r", [f"r_{b}" for b in scoring.BUCKETS]), f"SELECT ticker, {_SCORES}, round({_COMPOSITE}, 4) + 0.0 AS composite_score FROM r, erc"))
+R.add("cp3_build_scores", "factors", build_scores, _with(_Z + ", " + erc_sql("r", [f"r_{b}" for b in scoring.BUCKETS]), f"SELECT ticker, {_SCORES}, round({_COMPOSITE}, 4) + 0.0 AS composite_score FROM r, erc"))
 R.oracles["cp3_build_scores"] = R.oracles["cp3_build_scores"].replace("WITH ", "WITH RECURSIVE ", 1)
 
 
@@ -102,10 +86,10 @@ def _weights(df: DataFrame, names: list[str], nominal: dict | None) -> DataFrame
     return w.select(*[r6(F.col("w")[i]).alias(f"w{i}") for i in range(len(names))])
 
 
-R.add("cp4_erc_weights", "factors", lambda f: _weights(f, ["roe", "gpa", "beta"], {"roe": 1.0, "gpa": 1.0, "beta": 1.0}), _with(_erc_sql("factors", ["roe", "gpa", "beta"]), f"SELECT {sr6('w0')} AS w0, {sr6('w1')} AS w1, {sr6('w2')} AS w2 FROM erc"))
+R.add("cp4_erc_weights", "factors", lambda f: _weights(f, ["roe", "gpa", "beta"], {"roe": 1.0, "gpa": 1.0, "beta": 1.0}), _with(erc_sql("factors", ["roe", "gpa", "beta"]), f"SELECT {sr6('w0')} AS w0, {sr6('w1')} AS w1, {sr6('w2')} AS w2 FROM erc"))
 R.oracles["cp4_erc_weights"] = R.oracles["cp4_erc_weights"].replace("WITH ", "WITH RECURSIVE ", 1)
 R.add("cp4_erc_fallback", "factors", lambda f: _weights(f.withColumn("flat", F.lit(1.0)), ["roe", "flat"], {"roe": 3.0, "flat": 1.0}), "SELECT 0.75::DOUBLE AS w0, 0.25::DOUBLE AS w1")
-R.add("cp5_erc_research", "blends", lambda b: rounded(backtest.solved_weights(b, ["trend", "quality", "value"]), "weight"), _with("d AS (SELECT * FROM blends WHERE trend IS NOT NULL AND quality IS NOT NULL AND value IS NOT NULL), " + _erc_sql("d", ["trend", "quality", "value"]), f"SELECT unnest(['trend', 'quality', 'value']) AS bucket, unnest([{sr6('w0')}, {sr6('w1')}, {sr6('w2')}]) AS weight FROM erc"))
+R.add("cp5_erc_research", "blends", lambda b: rounded(backtest.solved_weights(b, ["trend", "quality", "value"]), "weight"), _with("d AS (SELECT * FROM blends WHERE trend IS NOT NULL AND quality IS NOT NULL AND value IS NOT NULL), " + erc_sql("d", ["trend", "quality", "value"]), f"SELECT unnest(['trend', 'quality', 'value']) AS bucket, unnest([{sr6('w0')}, {sr6('w1')}, {sr6('w2')}]) AS weight FROM erc"))
 R.oracles["cp5_erc_research"] = R.oracles["cp5_erc_research"].replace("WITH ", "WITH RECURSIVE ", 1)
 R.add("cp6_renormalize", "blends", lambda b: b.select("t", "ticker", backtest.row_weights({"trend": 0.4, "quality": 0.3, "value": 0.15}).alias("w")).select("t", "ticker", *[r6(F.col("w")[k]).alias(k) for k in ("trend", "quality", "value")]), ", x AS (SELECT *, CASE WHEN trend IS NULL THEN 0 ELSE 0.4::DOUBLE END + CASE WHEN quality IS NULL THEN 0 ELSE 0.3::DOUBLE END + CASE WHEN value IS NULL THEN 0 ELSE 0.15::DOUBLE END AS total FROM blends) SELECT t, ticker, " + ", ".join(f"CASE WHEN {k} IS NOT NULL THEN {sr6(f'{w}::DOUBLE / total')} END AS {k}" for k, w in (("trend", 0.4), ("quality", 0.3), ("value", 0.15))) + " FROM x")
 R.add("cp7_literature_weights", "blends", lambda b: b.select("t", "ticker", r6(backtest.composite(b, backtest.LITERATURE)).alias("score")), f"SELECT t, ticker, {sr6('CASE WHEN coalesce(trend, quality, value) IS NOT NULL THEN (coalesce(trend, 0) * 0.40 + coalesce(quality, 0) * 0.30 + coalesce(value, 0) * 0.15) / 0.85::DOUBLE END')} AS score FROM blends")

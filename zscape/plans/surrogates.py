@@ -74,6 +74,11 @@ CTES = {
         FROM customer WHERE c_custkey % 10 <> 4""",
     "vendor_prices": "SELECT ticker, date, close * CASE WHEN ticker < 'Brand#3' THEN 1.01e0 ELSE 1e0 END + CASE WHEN ticker = 'Brand#44' THEN 5e0 ELSE 0e0 END AS close FROM prices WHERE ticker <> 'Brand#55'",
     "base_prices": "SELECT ticker, date, close FROM prices WHERE ticker < 'Brand#45'",
+    # the facts of 25 suppliers under the names of the brands that have prices
+    "brand_facts": """SELECT CONCAT('Brand#', CAST(CAST(floor((CAST(ticker AS INT) - 1) / 5e0) AS INT) + 1 AS STRING), CAST((CAST(ticker AS INT) - 1) % 5 + 1 AS STRING)) AS ticker, concept, period_start, period_end, filed, fy, value, seq
+        FROM facts WHERE CAST(ticker AS INT) <= 25""",
+    "brand_members": """SELECT p_brand AS ticker, CASE WHEN min(p_partkey) % 4 = 0 THEN NULL ELSE make_date(CAST(1993 + min(p_partkey) % 6 AS INT), 6, 15) END AS added_date
+        FROM part WHERE p_brand <> 'Brand#13' GROUP BY p_brand""",
     "universe": """SELECT CONCAT(' b', CAST(s_suppkey % 7 AS STRING), '.', CAST(s_suppkey AS STRING), ' ') AS symbol, CONCAT('The ', s_name, CASE WHEN s_suppkey % 2 = 0 THEN ', Inc.' ELSE ' Holdings Corp.' END) AS name,
         CAST(s_suppkey * 137 AS STRING) AS cik, CASE WHEN s_suppkey % 5 = 0 THEN 'x' WHEN s_suppkey % 3 = 0 THEN '0' ELSE '1' END AS enabled, CASE WHEN s_suppkey % 11 = 0 THEN NULL ELSE CAST(s_nationkey AS STRING) END AS sector FROM supplier""",
     "changes": """SELECT CASE WHEN s_suppkey % 4 = 0 THEN CONCAT('OLD', CAST(s_suppkey AS STRING)) ELSE upper(CONCAT('b', CAST(s_suppkey % 7 AS STRING), '-', CAST(s_suppkey AS STRING))) END AS ticker,
