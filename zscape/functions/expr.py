@@ -140,3 +140,8 @@ def row_mean(*parts: Column) -> Column:
 def foreign_unit(c: Column) -> Column:
     """A three-letter currency code other than USD."""
     return c.rlike("^[A-Za-z]{3}$") & ~c.isin("USD")
+
+
+def shown(c: Column, form: str) -> Column:
+    """A number as a text in a report; ``n/a`` where it is missing."""
+    return F.coalesce(F.when(c.isNotNull(), F.format_string(form, c)), F.lit("n/a"))

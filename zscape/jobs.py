@@ -14,7 +14,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions.expr import data_quality, guarded, row_mean, vendor_symbol
+from .functions.expr import data_quality, guarded, ratio, row_mean, vendor_symbol
 from .functions.ranks import gaussian_rank, sector_neutral
 from .operators import backtest, guards, membership, pit, prices, publish, replay, scoring
 from .shared import checked, numbered, written
@@ -110,10 +110,15 @@ def published(ranks: DataFrame | None, today: Column) -> dict[str, DataFrame]:
     return {"ranked_stocks": publish.objects(ranks), "leaders": publish.leaders(ranks), "market_summary": publish.summary(ranks).crossJoin(publish.recency(ranks, today)), "sectors": publish.counts(ranks, "sector"), "quality": publish.counts(ranks, "data_quality")}
 
 
-def gates(facts: DataFrame, universe: DataFrame, ranks: DataFrame, concepts: tuple[str, ...], tickers: tuple[str, ...], concept: str = "revenues") -> dict[str, DataFrame]:
-    """Coverage by concept (shares of the enabled universe) and year, and the spot check of ``roe``."""
+def gates(facts: DataFrame, universe: DataFrame, ranks: DataFrame, concepts: tuple[str, ...], tickers: tuple[str, ...], concept: str = "revenues", as_of: Column | None = None) -> dict[str, DataFrame]:
+    """Coverage by concept (shares of the enabled universe) and year, and the spot check of ``roe``.
+
+    The check holds the ranking's return on equity against that of the facts known ``as_of`` a date
+    (today): four quarters' net income by the latest equity.
+    """
     size = max(1, universe.count())
-    ours = facts.where(F.col("concept") == "roe").groupBy("ticker").agg(F.max_by("value", F.struct("filed", "period_end")).alias("value"))
+    known = pit.as_known_at(facts.where(F.col("ticker").isin(*tickers)), F.current_date() if as_of is None else as_of)
+    ours = known.select("ticker", ratio(F.col("net_income_ttm"), F.col("stockholders_equity")).alias("value"))
     return {
         "by_concept": guards.coverage(facts, concepts, size),
         "by_year": guards.coverage_by_year(facts, concept),

@@ -104,8 +104,8 @@ def annualised(series: DataFrame, by: list[str], value: str, periods: int = 12)
     return known.groupBy(*by).agg(n.alias("n"), (F.pow(F.product(1 + F.col(value)), F.lit(float(periods)) / n) - 1).alias("ann_ret"), (F.stddev_samp(value) * F.sqrt(F.lit(periods))).alias("ann_vol"), F.min(F.col("equity") / F.col("peak") - 1).alias("max_drawdown"))
 
 
-def top_turnover(slices: DataFrame, by: list[str], q: int = 5) -> DataFrame:
-    """``<by>, turnover``: mean share of the top book that was not in the book of the date before.
+def book_changes(slices: DataFrame, by: list[str], q: int = 5) -> DataFrame:
+    """``<by>, t, ticker, was``: the top book of each date that has one before, and whether a name was in that.
 
     ``by`` without ``t``. Dates without a book keep the book before.
     """
@@ -114,7 +114,12 @@ def top_turnover(slices: DataFrame, by: list[str], q: int = 5) -> DataFrame:
     dates = book.select(*by, "t").distinct().withColumn("prev", F.lag("t").over(own))
     before = book.select(*by, F.col("t").alias("prev"), "ticker", F.lit(1).alias("was"))
     kept = book.join(dates.where("prev IS NOT NULL"), [*by, "t"]).join(before, [*by, "prev", "ticker"], "left")
-    each = kept.groupBy(*by, "t").agg((F.sum(F.when(F.col("was").isNull(), 1.0).otherwise(0.0)) / F.count("*")).alias("new"))
+    return kept.select(*by, "t", "ticker", F.col("was").isNotNull().alias("was"))
+
+
+def top_turnover(slices: DataFrame, by: list[str], q: int = 5) -> DataFrame:
+    """``<by>, turnover``: mean share of the top book that was not in the book of the date before."""
+    each = book_changes(slices, by, q).groupBy(*by, "t").agg((F.sum(F.when(F.col("was"), 0.0).otherwise(1.0)) / F.count("*")).alias("new"))
     return each.groupBy(*by).agg(F.avg("new").alias("turnover"))
 
 

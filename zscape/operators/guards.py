@@ -54,3 +54,10 @@ def spot_check(ours: DataFrame, theirs: DataFrame, tickers: tuple[str, ...]) ->
     b = theirs.select("ticker", F.col("value").alias("theirs"))
     r = ratio(F.col("ours"), F.col("theirs"))
     return a.join(b, "ticker", "left").select("ticker", "ours", "theirs", r.alias("ratio"), verdict(r).alias("verdict"))
+
+
+def missing_concepts(facts: DataFrame, most: int) -> DataFrame:
+    """``concept, missing``: how many of all tickers have no fact of it, the ``most`` that are lacked by most."""
+    tickers = facts.agg(F.count_distinct("ticker").alias("all"))
+    own = facts.groupBy("concept").agg(F.count_distinct("ticker").alias("n")).crossJoin(F.broadcast(tickers))  # one row
+    return own.select("concept", (F.col("all") - F.col("n")).alias("missing")).where("missing > 0").orderBy(F.desc("missing"), "concept").limit(most)

@@ -25,6 +25,12 @@ def excluded(rows: DataFrame, members: DataFrame) -> DataFrame:
     return rows.groupBy("t").agg(F.count("*").alias("n")).join(kept, "t", "left").select("t", (F.col("n") - F.coalesce("kept", F.lit(0))).alias("excluded"))
 
 
+def latest_events(changes: DataFrame) -> DataFrame:
+    """``changes``, of each ticker the row of the latest date; of several the first in the order of ``seq``."""
+    own = Window.partitionBy("ticker").orderBy(F.desc("date"), "seq")
+    return changes.withColumn("_rn", F.row_number().over(own)).where("_rn = 1").drop("_rn")
+
+
 def keep_last(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
     w = Window.partitionBy(*keys).orderBy(F.desc(order))
     return rows.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")

@@ -115,6 +115,7 @@ def _running(s: DataFrame) -> DataFrame:
 
 _BOOK = _LAB + ", bk AS (SELECT t, ticker FROM lb WHERE q = 5), dt AS (SELECT t, lag(t) OVER (ORDER BY t) AS prev FROM (SELECT DISTINCT t FROM bk)), tn AS (SELECT bk.t, avg(CASE WHEN p.ticker IS NULL THEN 1.0 ELSE 0.0 END) AS new FROM bk JOIN dt ON bk.t = dt.t AND prev IS NOT NULL LEFT JOIN bk p ON p.t = dt.prev AND p.ticker = bk.ticker GROUP BY bk.t)"
 R.add("ag17_top_turnover", "slices", lambda s: rounded(backtest.top_turnover(s.withColumn("book", F.lit("all")), ["book"]), "turnover"), f", {_BOOK} SELECT 'all' AS book, {sr6('avg(new)')} AS turnover FROM tn")
+R.add("so6_book_difference", "slices", lambda s: backtest.book_changes(s.withColumn("book", F.lit("all")), ["book"]).where("NOT was").select("t", "ticker"), f", {_BOOK} SELECT bk.t, bk.ticker FROM bk JOIN dt ON bk.t = dt.t AND prev IS NOT NULL LEFT JOIN bk p ON p.t = dt.prev AND p.ticker = bk.ticker WHERE p.ticker IS NULL")
 _HALVES = (
     "lb2 AS (SELECT *, CAST(ticker AS INT) % 2 AS half, CASE WHEN count(score) OVER w >= 2 THEN greatest(1, ceil((row_number() OVER (PARTITION BY CAST(ticker AS INT) % 2, t ORDER BY score, ticker) - 1) * 2 / (count(score) OVER w - 1)))::INT END AS q FROM slices WHERE score IS NOT NULL WINDOW w AS (PARTITION BY CAST(ticker AS INT) % 2, t)), "
     "bk2 AS (SELECT half, t, ticker FROM lb2 WHERE q = 2), dt2 AS (SELECT half, t, lag(t) OVER (PARTITION BY half ORDER BY t) AS prev FROM (SELECT DISTINCT half, t FROM bk2)), "
@@ -185,6 +186,6 @@ R.add("jn16_source_precedence", "base_prices vendor_prices prices", lambda b, v,
 R.add("jn18_missing_tickers", "prices base_prices", lambda p, b: p.select("ticker").distinct().join(b, "ticker", "left_anti"), " SELECT DISTINCT ticker FROM prices WHERE ticker NOT IN (SELECT ticker FROM base_prices)")
 R.add("jn17_vendor_overlap", "prices vendor_prices", lambda p, v: p.join(v.select("ticker", "date"), ["ticker", "date"], "left_semi").groupBy("ticker").agg(F.count("*").alias("n")), " SELECT ticker, count(*) AS n FROM prices JOIN vendor_prices USING (ticker, date) GROUP BY 1")
 R.add("ag25_reconciliation", "prices vendor_prices", lambda p, v: rounded(prices.reconciled(p, v).drop("worst"), "max_diff"), f" SELECT ticker, count(*) AS n, {sr6('max(abs(p.close / v.close - 1))')} AS max_diff FROM prices p JOIN vendor_prices v USING (ticker, date) GROUP BY 1 HAVING count(*) >= 20")
-R.add("dd3_keep_last", "prices", lambda p: membership.keep_last(p.withColumn("date", expr.month(F.col("date"))).withColumn("seq", F.struct("close")), ["ticker", "date"], "seq").select("ticker", "date", r6("close").alias("close")), f" SELECT ticker, CAST(date_trunc('month', date) AS DATE) AS date, {sr6('max(close)')} AS close FROM prices GROUP BY 1, 2")
+R.add("dd3_keep_last", "prices", lambda p: membership.keep_last(p.withColumnRenamed("date", "day").withColumn("date", expr.month(F.col("day"))), ["ticker", "date"], "day").select("ticker", "date", "day", r6("close").alias("close")), f" SELECT ticker, CAST(date_trunc('month', date) AS DATE) AS date, max(date) AS day, {sr6('arg_max(close, date)')} AS close FROM prices GROUP BY 1, 2")
 R.add("pj8_price_asof", "prices", lambda p: p.groupBy("ticker").agg(F.date_format(F.max("date"), "yyyy-MM-dd").alias("price_asof")), " SELECT ticker, strftime(max(date), '%Y-%m-%d') AS price_asof FROM prices GROUP BY 1")
 R.add("pj7_data_quality", "prices", lambda p: prices.as_of(prices.features(p), prices.month_ends(p), ["n_bars", "ret_12_1", "ret_13w"]).select("t", "ticker", expr.data_quality(F.col("n_bars"), F.col("ret_12_1"), F.col("ret_13w")).alias("q")).groupBy("q").agg(F.count("*").alias("n")), f", {_ENDS}, {_FEATURES}, b AS (SELECT t, f.ticker, max(f.date) AS asof FROM ends JOIN f ON f.date <= t GROUP BY 1, 2), c AS (SELECT CASE WHEN n_bars <= 1 THEN 'missing_prices' WHEN ret_12_1 IS NOT NULL AND ret_13w IS NOT NULL THEN 'ok' ELSE 'partial_prices' END AS q FROM b JOIN f ON f.ticker = b.ticker AND f.date = b.asof) SELECT q, count(*) AS n FROM c GROUP BY q")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import expr
 from ..operators import facts, guards, membership, pit, publish, replay
+from ..shared import checked
 from ..sources import readers
 from .registry import Registry, r6, rounded, sr6
 
@@ -100,17 +101,24 @@ R.add("ag4_coverage_by_year", "facts", lambda f: guards.coverage_by_year(f, "cap
 R.add("fl9_recent_years", "facts", lambda f: f.where(F.year("period_end") >= 2000).agg(F.count("*").alias("n")), " SELECT count(*) AS n FROM facts WHERE year(period_end) >= 2000")
 R.add("fl10_ticker_list", "facts", lambda f: f.where(F.col("ticker").isin("1", "5", "44")).groupBy("ticker").agg(F.count("*").alias("n")), " SELECT ticker, count(*) AS n FROM facts WHERE ticker IN ('1', '5', '44') GROUP BY 1")
 R.add("st7_sorted_coverage", "facts", lambda f: guards.coverage(f, ("revenues", "capex"), 100, 1999).orderBy(F.desc("tickers"), "concept").select("concept", "tickers"), " SELECT concept, count(DISTINCT ticker) AS tickers FROM facts WHERE year(period_end) >= 1999 AND concept IN ('revenues', 'capex') GROUP BY 1")
-_SPOT = "a AS (SELECT ticker, arg_max(value, seq) AS ours FROM facts WHERE concept = 'revenues' GROUP BY 1), b AS (SELECT ticker, arg_max(value, seq) * 6 AS theirs FROM facts WHERE concept = 'net_income' GROUP BY 1)"
+_TICKERS = ("1", "2", "3", "4", "5")
+_STORED = "CASE WHEN CAST(ticker AS INT) % 4 <> 3 THEN (CAST(ticker AS INT) % 4) * 3e-2 + 1e-2 END"
+
+
+def stored_roe(f: DataFrame) -> DataFrame:
+    """``ticker, roe``: what a ranking shows, some right, some far off."""
+    return f.select("ticker").distinct().select("ticker", F.expr(_STORED).cast("double").alias("roe"))
 
 
 def _spot(f: DataFrame) -> DataFrame:
-    last = lambda c: f.where(F.col("concept") == c).groupBy("ticker").agg(F.max_by("value", "seq").alias("value"))
-    return guards.spot_check(last("revenues"), last("net_income").withColumn("value", F.col("value") * 6), ("1", "2", "3", "4", "5"))
+    wide = _wide(f.where(F.col("ticker").isin(*_TICKERS)))
+    return guards.spot_check(wide.select("ticker", expr.ratio(F.col("net_income_ttm"), F.col("stockholders_equity")).alias("value")), stored_roe(f).select("ticker", F.col("roe").alias("value")), _TICKERS)
 
 
-_BAND = "CASE WHEN ours / nullif(theirs, 0) > 5 OR ours / nullif(theirs, 0) < 0.2 THEN 'RED' WHEN ours / nullif(theirs, 0) > 1.3 OR ours / nullif(theirs, 0) < 0.77 THEN 'WARN' WHEN theirs <> 0 THEN 'OK' END"
+_BAND = "CASE WHEN ours / nullif(theirs, 0) > 5 OR ours / nullif(theirs, 0) < 0.2 THEN 'RED' WHEN ours / nullif(theirs, 0) > 1.3 OR ours / nullif(theirs, 0) < 0.77 THEN 'WARN' WHEN ours IS NOT NULL AND theirs <> 0 THEN 'OK' END"
+SPOT_SQL = f"{_WIDE}, sr AS (SELECT DISTINCT ticker, {_STORED} AS roe FROM facts), so AS (SELECT wide.ticker, net_income_ttm / nullif(stockholders_equity, 0) AS ours, roe AS theirs FROM wide LEFT JOIN sr USING (ticker) WHERE wide.ticker IN {_TICKERS}), sp AS (SELECT ticker, {sr6('ours')} AS ours, {sr6('theirs')} AS theirs, {sr6('ours / nullif(theirs, 0)')} AS ratio, {_BAND} AS verdict FROM so)"
 for _n in ("gd7_spot_check", "jn19_stored_ratio", "pj19_verdict"):
-    R.add(_n, "facts", lambda f: rounded(_spot(f), "ours", "theirs", "ratio"), f", {_SPOT} SELECT ticker, {sr6('ours')} AS ours, {sr6('theirs')} AS theirs, {sr6('ours / nullif(theirs, 0)')} AS ratio, {_BAND} AS verdict FROM a LEFT JOIN b USING (ticker) WHERE ticker IN ('1', '2', '3', '4', '5')")
+    R.add(_n, "facts", lambda f: rounded(_spot(f), "ours", "theirs", "ratio"), f", {SPOT_SQL} SELECT * FROM sp")
 
 # filing documents: built from rows, parsed again
 _DOC_TAGS = (("us-gaap", "Revenues", "USD", 0), ("us-gaap", "SalesRevenueNet", "USD", 1), ("us-gaap", "NetIncomeLoss", "USD", 2), ("us-gaap", "LongTermDebtNoncurrent", "USD", 3), ("us-gaap", "LongTermDebtCurrent", "USD", 4), ("us-gaap", "LongTermDebt", "USD", 5), ("dei", "EntityCommonStockSharesOutstanding", "shares", 6), ("us-gaap", "CommonStockSharesOutstanding", "shares", 7), ("us-gaap", "Assets", "EUR", 8))
@@ -168,7 +176,7 @@ _ALL = ", un AS (SELECT cik, concept, value FROM ch UNION ALL SELECT cik, 'share
 for _n in ("nj3_company_extraction", "nj7_build_panel", "jn12_dual_class"):
     R.add(_n, "levels", _panel, f", {_ROWS}, {_CHAIN}, {_SH}, {_DEBT}{_ALL}")
 R.add("fl6_required_fields", "levels", lambda x: facts.complete(facts.records(_docs(x)).withColumn("filed", F.when(F.col("fy") > 1996, F.col("filed")))).agg(F.count("*").alias("n")), f", {_ROWS} SELECT count(*) AS n FROM fr WHERE y > 1996")
-R.add("ag24_missing_concepts", "facts", lambda f: f.select("ticker").distinct().crossJoin(f.select("concept").distinct()).join(f.select("ticker", "concept").distinct(), ["ticker", "concept"], "left_anti").groupBy("concept").agg(F.count("*").alias("missing")).orderBy(F.desc("missing"), "concept").limit(5), " SELECT concept, (SELECT count(DISTINCT ticker) FROM facts) - count(DISTINCT ticker) AS missing FROM facts GROUP BY 1 HAVING missing > 0 ORDER BY missing DESC, concept LIMIT 5")
+R.add("ag24_missing_concepts", "facts", lambda f: guards.missing_concepts(f, 5), " SELECT concept, (SELECT count(DISTINCT ticker) FROM facts) - count(DISTINCT ticker) AS missing FROM facts GROUP BY 1 HAVING missing > 0 ORDER BY missing DESC, concept LIMIT 5")
 
 # universe and membership
 R.add("sc1_universe", "universe", lambda u: readers.normalised_universe(u), " SELECT upper(trim(symbol)) AS ticker, lpad(trim(cik), 10, '0') AS cik, trim(sector) AS sector, trim(name) AS name, coalesce(TRY_CAST(enabled AS INT), 0) AS enabled FROM universe")
@@ -191,9 +199,9 @@ R.add("pj21_company_name", "universe", lambda u: u.select("symbol", expr.company
 _MATCH = f"u AS (SELECT symbol AS ticker, replace(replace(replace(upper(trim(symbol)), ' ', ''), '-', '.'), '/', '.') AS tc, {_name_sql('name')} AS cn FROM universe), c AS (SELECT replace(replace(replace(upper(trim(ticker)), ' ', ''), '-', '.'), '/', '.') AS tc, {_name_sql('name')} AS cn, date FROM changes), m AS (SELECT ticker, (SELECT max(date) FROM c WHERE c.tc = u.tc) AS a, (SELECT max(date) FROM c WHERE c.cn = u.cn AND u.cn <> '') AS b FROM u)"
 R.add("jn13_two_tier_match", "universe changes", lambda u, c: membership.matched(u.withColumnRenamed("symbol", "ticker"), c), f", {_MATCH} SELECT ticker, coalesce(a, b) AS added_date, CASE WHEN a IS NOT NULL THEN 'ticker' WHEN b IS NOT NULL THEN 'name' ELSE 'none' END AS how FROM m")
 R.add("jn14_manual_override", "members", lambda m: membership.overridden(m, m.sparkSession.createDataFrame([("1", "2013-12-23")], "ticker string, d string").select("ticker", F.col("d").cast("date").alias("added_date"))), " SELECT ticker, CASE WHEN ticker = '1' THEN DATE '2013-12-23' ELSE added_date END AS added_date FROM members")
-R.add("dd7_latest_event", "changes", lambda c: c.groupBy("ticker").agg(F.max("date").alias("date")), " SELECT ticker, max(date) AS date FROM changes GROUP BY 1")
+R.add("dd7_latest_event", "changes", membership.latest_events, " SELECT ticker, name, date, seq FROM changes QUALIFY row_number() OVER (PARTITION BY ticker ORDER BY date DESC, seq) = 1")
 R.add("pj24_date_coercion", "changes", lambda c: c.select("seq", F.concat(F.when(F.col("seq") % 3 == 0, "n/a ").otherwise(""), F.col("date").cast("string")).try_cast("date").alias("d")), " SELECT seq, CASE WHEN seq % 3 <> 0 THEN date END AS d FROM changes")
-R.add("jn8_sector_lookup", "ranks factors", lambda r, f: r.select("ticker").join(F.broadcast(f.where("sector <> 'TINY'").select("ticker", "sector")), "ticker", "left"), " SELECT r.ticker, f.sector FROM ranks r LEFT JOIN (SELECT * FROM factors WHERE sector <> 'TINY') f ON r.ticker = f.ticker")
+R.add("jn8_sector_lookup", "ranks factors", lambda r, f: r.select("ticker").join(checked(f.where("sector <> 'TINY'").select("ticker", "sector")), "ticker", "left"), " SELECT r.ticker, f.sector FROM ranks r LEFT JOIN (SELECT * FROM factors WHERE sector <> 'TINY') f ON r.ticker = f.ticker")
 
 # publishing
 _PUB = ", ".join(f"round({c}, 4) + 0.0 AS {c}" for c in ("composite_score", "pe_ratio"))
@@ -209,7 +217,7 @@ _BOTH = "bo AS (SELECT ticker, o.rank AS old_rank, n.rank AS new_rank, n.rank -
 R.add("jn15_common_ranks", "old_ranks new_ranks", lambda o, n: publish.common(o, n).selectExpr("ticker", "old_rank", "new_rank", "cast(move as bigint) move"), f", {_BOTH} SELECT * FROM bo")
 R.add("ag26_rank_correlation", "old_ranks new_ranks", lambda o, n: rounded(publish.rank_correlation(o, n), "rho"), f", {_BOTH} SELECT count(*) AS n, {sr6('corr(old_rank, new_rank)')} AS rho FROM bo")
 _CHURN = "SELECT ticker, CASE WHEN o.rank <= 20 AND n.rank <= 20 THEN 'stayed' WHEN n.rank <= 20 THEN 'entered' ELSE 'left' END AS status FROM old_ranks o FULL JOIN new_ranks n USING (ticker) WHERE coalesce(o.rank <= 20, false) OR coalesce(n.rank <= 20, false)"
-for _n in ("st5_top_churn", "so4_common_entered_left", "so6_book_difference"):
+for _n in ("st5_top_churn", "so4_common_entered_left"):
     R.add(_n, "old_ranks new_ranks", publish.churn, f" {_CHURN}")
 R.add("wn17_movers", "old_ranks new_ranks", lambda o, n: publish.movers(o, n).selectExpr("ticker", "cast(move as bigint) move", "side"), f", {_BOTH} (SELECT ticker, move, 'up' AS side FROM bo ORDER BY move, ticker LIMIT 10) UNION ALL (SELECT ticker, move, 'down' AS side FROM bo ORDER BY move DESC, ticker LIMIT 10)")
 R.add("or7_rank_migration", "old_ranks new_ranks", lambda o, n: publish.churn(o, n).groupBy("status").agg(F.count("*").alias("n")), f", c AS ({_CHURN}) SELECT status, count(*) AS n FROM c GROUP BY 1")
@@ -227,4 +235,4 @@ def _source(b: DataFrame, v: DataFrame, p: DataFrame) -> DataFrame:
 R.add("ag23_base_fraction", "base_prices vendor_prices prices", lambda b, v, p: guards.provenance(_source(b, v, p)), f", {_SRC} SELECT count(*) AS total, count(*) FILTER (source = 'base') AS base, count(*) FILTER (source <> 'base') AS fetch FROM sr")
 _BASE_SHARE = sr6("count(*) FILTER (source = 'base') / count(*)")
 R.add("gd3_base_guard", "base_prices vendor_prices prices", lambda b, v, p: rounded(guards.base_sourced(_source(b, v, p), 25, ("Brand#51",)), "base_share"), f", {_SRC} SELECT count(*) AS covered, count(*) FILTER (source = 'base') AS base, count(*) FILTER (source <> 'base' AND ticker <> 'Brand#51') AS unexpected, {_BASE_SHARE} AS base_share, count(*) > 0 AND count(*) >= 22.5 AND count(*) FILTER (source = 'base') / count(*) >= 0.9 AS ok FROM sr")
-R.add("pj22_formatting", "ranks", lambda r: r.select("ticker", F.coalesce(F.format_number("pe_ratio", 2), F.lit("n/a")).alias("pe"), F.coalesce(F.concat(F.format_number(F.col("roe") * 100, 1), F.lit("%")), F.lit("n/a")).alias("roe")).where("pe = 'n/a' OR roe = 'n/a'").groupBy().agg(F.count_if(F.col("pe") == "n/a").alias("no_pe"), F.count_if(F.col("roe") == "n/a").alias("no_roe")), " SELECT count(*) FILTER (pe_ratio IS NULL) AS no_pe, count(*) FILTER (roe IS NULL) AS no_roe FROM ranks")
+R.add("pj22_formatting", "ranks", lambda r: r.select("ticker", expr.shown(F.col("pe_ratio"), "%.2f").alias("pe"), expr.shown(F.round(F.col("roe") * 100, 6), "%.1f%%").alias("roe")), " SELECT ticker, coalesce(printf('%.2f', pe_ratio), 'n/a') AS pe, coalesce(printf('%.1f%%', round(roe * 100, 6)), 'n/a') AS roe FROM ranks")

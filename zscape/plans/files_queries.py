@@ -10,6 +10,7 @@ from ..operators import backtest, publish
 from ..shared import scratch
 from ..sources import readers, writers
 from .backtest_queries import _IC2, _ICP, _MEM, _SUM, _WEEKLY
+from .facts_queries import _TICKERS, AS_OF, SPOT_SQL, stored_roe
 from .registry import Registry, r6, rounded, sr6
 
 R = Registry()
@@ -120,11 +121,12 @@ R.add("or5_published", "ranks", _published, " SELECT 'ranked_stocks' AS part, co
 
 def _gates(f: DataFrame, u: DataFrame) -> DataFrame:
     universe = readers.normalised_universe(u, enabled_only=True)
-    ranks = f.select("ticker").distinct().withColumn("roe", F.lit(0.1))
-    return rounded(jobs.gates(f, universe, ranks, ("revenues", "capex", "goodwill"), ("1",))["by_concept"], "share")
+    out = jobs.gates(f, universe, stored_roe(f), ("revenues", "capex", "goodwill"), _TICKERS, as_of=F.lit(AS_OF).cast("date"))
+    covered = out["by_concept"].select(F.lit("by_concept").alias("part"), F.col("concept").alias("item"), F.col("tickers").cast("double").alias("value"), r6("share").alias("share"), F.col("ok").cast("string").alias("verdict"))
+    return covered.unionByName(out["spot_check"].select(F.lit("spot_check").alias("part"), F.col("ticker").alias("item"), r6("ours").alias("value"), r6("ratio").alias("share"), "verdict"))
 
 
-R.add("or6_gates", "facts universe", _gates, f", s AS (SELECT count(*) AS size FROM universe WHERE TRY_CAST(enabled AS INT) = 1), c AS (SELECT unnest(['revenues', 'capex', 'goodwill']) AS concept), k AS (SELECT concept, count(DISTINCT ticker) AS n FROM facts WHERE year(period_end) >= 2024 GROUP BY 1) SELECT concept, coalesce(n, 0) AS tickers, {sr6('coalesce(n, 0) / size')} AS share, concept = 'revenues' AS required, NOT (concept = 'revenues') OR coalesce(n, 0) / size >= 0.9 AS ok FROM c LEFT JOIN k USING (concept), s")
+R.add("or6_gates", "facts universe", _gates, f", {SPOT_SQL}, s AS (SELECT count(*) AS size FROM universe WHERE TRY_CAST(enabled AS INT) = 1), c AS (SELECT unnest(['revenues', 'capex', 'goodwill']) AS concept), k AS (SELECT concept, count(DISTINCT ticker) AS n FROM facts WHERE year(period_end) >= 2024 GROUP BY 1) SELECT 'by_concept' AS part, concept AS item, coalesce(n, 0)::DOUBLE AS value, {sr6('coalesce(n, 0) / size')} AS share, CAST(NOT (concept = 'revenues') OR coalesce(n, 0) / size >= 0.9 AS VARCHAR) AS verdict FROM c LEFT JOIN k USING (concept), s UNION ALL SELECT 'spot_check', ticker, ours, ratio, verdict FROM sp")
 R.add("or8_reconciliation", "prices vendor_prices", lambda p, v: rounded(jobs.reconciliation(p.select("ticker").distinct(), p, v, 7).drop("worst"), "max_diff"), f", n AS (SELECT ticker, row_number() OVER (ORDER BY ticker) - 1 AS i, count(*) OVER () AS size FROM (SELECT DISTINCT ticker FROM prices)), k AS (SELECT ticker FROM n WHERE i % greatest(1, size // 7) = 0 AND i < 7 * greatest(1, size // 7)) SELECT ticker, count(*) AS n, {sr6('max(abs(p.close / v.close - 1))')} AS max_diff FROM prices p JOIN vendor_prices v USING (ticker, date) WHERE ticker IN (SELECT ticker FROM k) GROUP BY 1 HAVING count(*) >= 20")
 FH = ["factor", "horizon"]
 
