@@ -18,6 +18,7 @@ from .functions.expr import data_quality, guarded, ratio, row_mean, vendor_symbo
 from .functions.ranks import gaussian_rank, sector_neutral
 from .operators import backtest, guards, membership, pit, prices, publish, replay, scoring
 from .shared import checked, numbered, written
+from .sources import web
 
 log = logging.getLogger(__name__)
 
@@ -56,6 +57,14 @@ def with_rows(df: DataFrame, what: str) -> DataFrame:
     return df
 
 
+def filings_collected(universe: DataFrame, path: str, failures: str, what: str = "companyfacts", base: str = web.SERVICE, **options: object) -> dict[str, int]:
+    """Lands the filings of the universe (``web.collected``); refused only where a run got nothing and had nothing."""
+    done = web.collected(web.filing_requests(universe, what, base), path, failures, **options)
+    if done["total"] and not done["fetched"] and not done["skipped"]:
+        raise Refused(f"{what}: none of {done['total']} documents came")
+    return done
+
+
 @dataclass
 class Panel:
     """``close``: ``ticker, date, close``; ``sectors``: ``ticker, sector``; ``dropped``: tickers without a bar."""

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -43,6 +44,13 @@ def scratch(spark: SparkSession, name: str) -> str:
     return path
 
 
+def ensured(spark: SparkSession, path: str) -> str:
+    """``path``, made if it isn't there, as a URI that other readers than Spark's understand too."""
+    at, fs = _hadoop(spark, path)
+    fs.mkdirs(at)
+    return re.sub("^file:/+", "file:///", fs.makeQualified(at).toString())
+
+
 def discard(spark: SparkSession, path: str) -> None:
     """Deletes what ``scratch`` named, once no plan reads it any more."""
     at, fs = _hadoop(spark, path)
