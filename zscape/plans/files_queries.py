@@ -24,8 +24,8 @@ def _through(df: DataFrame, name: str, write, read) -> DataFrame:
 
 
 # sources and sinks: what is written is read again
-for _n in ("sc3_price_files", "sk1_price_files"):
-    R.add(_n, "prices", lambda p: _through(p, "prices", writers.write_prices, readers.read_prices), " SELECT ticker, date, close FROM prices")
+R.add("sc3_price_files", "prices", lambda p: _through(p, "prices", writers.write_prices, readers.read_prices), " SELECT ticker, date, close FROM prices")
+R.add("sk1_price_files", "prices", lambda p: _through(p, "prices", writers.write_price_files, readers.read_price_files), " SELECT ticker, date, close FROM prices WHERE ticker IS NOT NULL AND date IS NOT NULL AND close IS NOT NULL")
 
 
 def _fact_files(f: DataFrame) -> DataFrame:

@@ -63,6 +63,14 @@ def read_prices(spark: SparkSession, path: str) -> DataFrame:
     return raw.select("ticker", F.col("Date").try_cast("date").alias("date"), number(F.col("Close")).alias("close")).where("date IS NOT NULL")
 
 
+def read_price_files(spark: SparkSession, path: str) -> DataFrame:
+    """``ticker, date, close`` of ``<ticker>.csv`` files of ``Date,Close``; bad rows leave."""
+    raw = spark.read.option("header", True).option("pathGlobFilter", "*.csv").schema("Date string, Close string").csv(path)
+    name = F.url_decode(F.replace(F.col("_metadata.file_name"), F.lit("+"), F.lit("%2B")))  # Spark gives it URL-encoded
+    ticker = F.regexp_extract(name, r"^(.*)\.csv$", 1)
+    return raw.select(ticker.alias("ticker"), F.col("Date").try_cast("date").alias("date"), number(F.col("Close")).alias("close")).where("date IS NOT NULL")
+
+
 def read_fact_panel(spark: SparkSession, path: str) -> DataFrame:
     """The fact panel of (gzipped) CSV files, typed; ``seq`` orders rows by file name and place in the file."""
     raw = spark.read.option("header", True).schema(FACT_COLUMNS).csv(path).withColumn("seq", _in_order())

@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.expr import cik_padded
+from ..functions.expr import cik_bare, cik_padded
+from .named import write_named
 
 # The columns of the fact panel, in the order of the file.
 PANEL_COLUMNS = ("ticker", "cik", "concept", "unit", "period_start", "period_end", "filed", "form", "fy", "fp", "value")
@@ -21,6 +22,19 @@ def write_prices(prices: DataFrame, path: str) -> None:
     rows.repartition("ticker").sortWithinPartitions("ticker", "Date").write.partitionBy("ticker").option("header", True).mode("overwrite").csv(path)
 
 
+def write_price_files(prices: DataFrame, path: str) -> None:
+    """``Date,Close`` in ``<ticker>.csv`` files, dots in names kept; bars without a close are left out."""
+    rows = prices.where("ticker IS NOT NULL AND date IS NOT NULL AND close IS NOT NULL")
+    rows = rows.select(F.concat("ticker", F.lit(".csv")).alias("file"), F.col("date").alias("Date"), F.col("close").alias("Close"))
+    write_named(rows, path, ["Date", "Close"])
+
+
+def write_fact_file(panel: DataFrame, path: str, name: str = "edgar_pit_panel.csv.gz") -> None:
+    """The whole panel as one gzipped CSV file ``path/name``: one task's stream, whatever its size (``write_fact_panel`` shards)."""
+    rows = panel.withColumn("cik", cik_bare(F.col("cik"))).select(F.lit(name).alias("file"), *PANEL_COLUMNS)
+    write_named(rows, path, ["ticker", "concept", "period_end", "filed", "period_start", "value"])
+
+
 def write_ranks(rows: DataFrame, path: str) -> None:
     rows.write.option("header", True).mode("overwrite").csv(path)
 
