@@ -91,3 +91,33 @@ def test_no_broadcast_gives_the_same(spark, monkeypatch):
     want = brute(docs, items)
     monkeypatch.setattr(shared, "BROADCAST_BYTES", 0)
     assert len(want) >= 30 and run(spark, docs, items) == want
+
+
+def test_a_phrase_in_every_item_and_document(spark, monkeypatch):
+    from zscape import shared
+    from zscape.llm import common
+
+    phrase = "choose the best answer to this question and say why"
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    items = [(k, f"{phrase} " + " ".join(word() for _ in range(20))) for k in range(60)] + [(k, phrase) for k in (100, 101)] + [(102, f"{phrase} {phrase} now")]
+    docs = [(i, f"{word()} {phrase} " + (items[i][1] if i < 20 else " ".join(word() for _ in range(30)))) for i in range(120)]
+    docs += [(7, docs[3][1]), (7, docs[3][1])]
+    want = brute(docs, items)
+    assert len(want) > 200
+    monkeypatch.setattr(D, "FREQUENT", 5)
+    rows = D.sketches(spark.createDataFrame(items, "item_id long, text string"), 0.8)
+    probes = {r["item_id"]: r["n"] for r in rows.where("wanted IS NOT NULL AND shingle LIKE 'choose the best%'").groupBy("item_id").count().withColumnRenamed("count", "n").collect()}
+    assert not set(probes) & set(range(60)) and rows.where("wanted < 1").isEmpty()  # the phrase stays a probe only of items that are nothing else
+    assert run(spark, docs, items) == want
+    monkeypatch.setattr(shared, "BROADCAST_BYTES", 0)
+    whole, dealt = common.evenly_joined, []
+
+    def in_parts(*args, **kw):
+        dealt.append(args[2])
+        return whole(*args, **{**kw, "together": 10})
+
+    monkeypatch.setattr(D, "evenly_joined", in_parts)
+    assert run(spark, docs, items) == want and dealt == ["h", "item", "item"]
+    monkeypatch.setattr(D, "FREQUENT", 100)
+    assert run(spark, docs, items) == want
