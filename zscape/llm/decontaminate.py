@@ -121,11 +121,13 @@ def contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD
     ids = found.select("doc_id").distinct()
     few = broadcast_if_small(ids, found.count(), 16)
     again = named.join(few, "doc_id", "left_semi").select("doc_id", words(F.col("text")).alias("w"))
-    again = again.select("doc_id", F.explode(F.array_distinct(shingles(F.col("w"), _both))).alias("s")).select("doc_id", "s.*")
     its = marks.select("item", "h", "shingle", "total")
     own = its.select("shingle").distinct()
     own_small = broadcast_if_small(own, size[0], 256)
-    again = again.join(own_small, "shingle", "left_semi") if own_small is not own else _may_be_in(again, its.select("h"))
+    if own_small is not own:
+        again = again.select("doc_id", F.explode(shingles(F.col("w"), _joined)).alias("shingle")).join(own_small, "shingle", "left_semi")
+    else:
+        again = _may_be_in(again.select("doc_id", F.explode(shingles(F.col("w"), _both)).alias("s")).select("doc_id", "s.*"), its.select("h"))
     pairs = _of_items(found, its.drop("h"), size[0])
     hits = pairs.join(again.select("doc_id", "shingle").distinct(), ["doc_id", "shingle"], "left_semi")
     counted = hits.groupBy("doc_id", "item").agg(F.count("*").alias("matched"), F.max("total").alias("total"))
