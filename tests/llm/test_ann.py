@@ -86,18 +86,21 @@ def test_unusable_rows(spark):
 
 def test_walk_is_in_order():
     rng = np.random.default_rng(2)
-    index = A.Index(np.zeros((6, 1)), np.zeros((5, 1)), rng.integers(0, 3, (6, 5)), 9)
+    counts = rng.integers(0, 3, (6, 5))
+    index = A.Index(np.zeros((6, 1)), np.zeros((5, 1)), reach=9)
+    index.occupy(*np.nonzero(counts), counts[np.nonzero(counts)])
+    assert index.of_first().tolist() == counts.sum(1).tolist()
     a, b = rng.random(6), rng.random(5)
     seen = list(index.walk(a, b))
-    cells = sorted((a[i] + b[j], i, j) for i, j in zip(*np.nonzero(index.counts)))
+    cells = sorted((a[i] + b[j], i, j) for i, j in zip(*np.nonzero(counts)))
     assert [(s, i, j) for i, j, s, _ in seen] == cells
     before = 0
     for i, j, _, passed in seen:
         assert passed == before
-        before += index.counts[i, j]
+        before += counts[i, j]
     end, entered = index.entered(a, b, 1)
     walked = [c for c in cells if c[0] <= end]
-    assert sum(index.counts[i, j] for _, i, j in walked) >= 9 > sum(index.counts[i, j] for _, i, j in walked[:-1])
+    assert sum(counts[i, j] for _, i, j in walked) >= 9 > sum(counts[i, j] for _, i, j in walked[:-1])
     assert sorted({i for _, i, _ in walked}) == entered.tolist()
 
 
@@ -108,3 +111,22 @@ def test_buckets_cover_every_centroid_once():
     assert parts.tolist() == [1, 1, 1, 4, 1, 1, 1, 1, 3]
     for b in range(spans[-1][1]):
         assert sum(-(-n // p) for n, (f, e), p in zip(counts, spans, parts) if f <= b < e) <= 10
+
+
+def test_walk_opens_only_the_centroids_that_are_due():
+    a, b = np.arange(50.0), np.arange(40.0)
+    i, j = np.divmod(np.random.default_rng(6).permutation(2000)[:900], 40)
+    index = A.Index(np.zeros((50, 1)), np.zeros((40, 1)), reach=1)
+    index.occupy(i, j, np.ones(900, int))
+    opened = []
+
+    class Watched(np.ndarray):
+        def __getitem__(self, at):
+            if isinstance(at, int):
+                opened.append(at)
+            return super().__getitem__(at)
+
+    index.starts = index.starts.view(Watched)
+    total = next(index.walk(a, b))[2]
+    least = min(a[x] + b[y] for x, y in zip(i, j))
+    assert total == least and {x for x in opened} <= set(range(int(least) + 2))

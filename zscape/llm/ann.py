@@ -46,13 +46,27 @@ QUERIES, PIECE = 64, 8192
 
 @dataclass
 class Index:
-    """``counts[i, j]`` vectors are in the cell of centroids ``i`` and ``j``."""
+    """Codebooks and occupied cells: from ``starts[i]`` on, the cells of first-half centroid ``i``, by second half.
+
+    ``second_of`` has a cell's second-half centroid, ``held`` its number of vectors.
+    """
 
     first: np.ndarray
     second: np.ndarray
-    counts: np.ndarray | None = None
+    starts: np.ndarray | None = None
+    second_of: np.ndarray | None = None
+    held: np.ndarray | None = None
     reach: int = 0
 
+    def occupy(self, i: np.ndarray, j: np.ndarray, held: np.ndarray) -> None:
+        order = np.lexsort((j, i))
+        self.starts = np.searchsorted(i[order], np.arange(len(self.first) + 1))
+        self.second_of, self.held = j[order], held[order]
+
+    def of_first(self) -> np.ndarray:
+        """The vectors of each first-half centroid."""
+        return np.diff(np.concatenate([[0], self.held.cumsum()])[self.starts])
+
     def halves(self, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Squared distances of one vector to the centroids of each half, the same wherever they are computed."""
         cut = self.first.shape[1]
@@ -66,22 +80,29 @@ class Index:
     def walk(self, a: np.ndarray, b: np.ndarray):
         """Occupied cells in the order of ``a[i] + b[j]``: ``i, j, sum``, and the vectors in those before.
 
-        The heap has the next cell of each first-half centroid, along its occupied second halves.
+        The heap has the next cell of each first-half centroid that the walk has come to, along its occupied
+        second halves. A centroid is opened only when the least sum that it could have is due, so the work is
+        that of the centroids and cells passed, not of the index.
         """
-        j = np.argsort(b, kind="stable")
-        rows, columns = np.nonzero(self.counts[:, j])
-        starts = np.searchsorted(rows, np.arange(len(a) + 1)).tolist()
-        second = j[columns]
-        sums, second, counts = (a[rows] + b[second]).tolist(), second.tolist(), self.counts[rows, second].tolist()
-        heap = [(sums[s], i, s) for i, (s, e) in enumerate(zip(starts, starts[1:])) if s < e]
-        heapq.heapify(heap)
-        passed = 0
-        while heap:
-            total, i, at = heap[0]
+        order = np.argsort(a, kind="stable")
+        order = order[self.starts[order] < self.starts[order + 1]]
+        least, order = (a[order] + b.min()).tolist(), order.tolist()
+        heap: list[tuple] = []
+        opened = passed = 0
+        while heap or opened < len(order):
+            while opened < len(order) and (not heap or least[opened] <= heap[0][0]):
+                i = order[opened]
+                own = slice(self.starts[i], self.starts[i + 1])
+                near = np.argsort(b[self.second_of[own]], kind="stable")
+                second = self.second_of[own][near]
+                sums = (a[i] + b[second]).tolist()
+                heapq.heappush(heap, (sums[0], i, 0, sums, second.tolist(), self.held[own][near].tolist()))
+                opened += 1
+            total, i, at, sums, second, held = heap[0]
             yield i, second[at], total, passed
-            passed += counts[at]
-            if at + 1 < starts[i + 1]:
-                heapq.heapreplace(heap, (sums[at + 1], i, at + 1))
+            passed += held[at]
+            if at + 1 < len(sums):
+                heapq.heapreplace(heap, (sums[at + 1], i, at + 1, sums, second, held))
             else:
                 heapq.heappop(heap)
 
@@ -184,9 +205,8 @@ def build(rows: DataFrame, k: int, recall: float) -> tuple[Index, DataFrame] | N
     kind = rows.schema["embedding"].dataType.simpleString()
     placed = rows.mapInArrow(place, f"vec_id long, embedding {kind}, i int, j int")
     placed = written(placed.withColumn("at", F.monotonically_increasing_id()), "index")
-    index.counts = np.zeros((len(index.first), len(index.second)), np.int64)
-    for r in placed.groupBy("i", "j").count().collect():  # a row for each cell, CENTROIDS squared at most
-        index.counts[r["i"], r["j"]] = r["count"]
+    cells = placed.groupBy("i", "j").count().toArrow()  # a row for each occupied cell, CENTROIDS squared at most
+    index.occupy(*(cells.column(c).to_numpy() for c in ("i", "j", "count")))
 
     # what the walk must pass to meet the true neighbours of some queries
     order = share_of_hash(F.col("vec_id"), "measured")
@@ -249,13 +269,13 @@ def search(rows: DataFrame, queries: DataFrame, k: int = 10, recall: float = 0.9
     if built is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     index, placed = built
-    n, width = int(index.counts.sum()), index.first.shape[1] + index.second.shape[1]
+    n, width = int(index.held.sum()), index.first.shape[1] + index.second.shape[1]
     queries = written(queries.groupBy("vec_id").agg(F.min("embedding").alias("embedding")), "queries")
     ids = queries.select(F.col("vec_id").alias("_id"))
     shared = placed.join(broadcast_if_small(ids, asked := queries.count(), 16), F.col("vec_id") == F.col("_id"), "left_semi").groupBy("vec_id").count().agg(F.max("count")).first()[0]
     least = k + (shared or 1)  # so that k rows besides those of the query's own id are found
     rows_each = int(np.clip(n // (4 * spark.sparkContext.defaultParallelism), BUCKET_ROWS, max(BUCKET_ROWS, BUCKET_NUMBERS // width)))
-    first, parts = _buckets(index.counts.sum(1), rows_each)
+    first, parts = _buckets(index.of_first(), rows_each)
     total = int(first[-1] + parts[-1])
     chunks = max(1, -(-asked * rows_each // PAIRS))
     held = spark.sparkContext.broadcast((index, first, parts))
