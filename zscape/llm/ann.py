@@ -40,6 +40,8 @@ from .common import broadcast_if_small, share_of_hash, written
 FIT_ROWS, FIT_NUMBERS, MEASURED = 8192, 1 << 22, 128
 #: Most centroids of a half; numbers in a bucket, vectors in a small one, and distances for a task, about.
 CENTROIDS, BUCKET_NUMBERS, BUCKET_ROWS, PAIRS = 1024, 1 << 24, 1024, 10**10
+#: Vectors of a cell, if they were spread evenly: a step of the heap costs about as much as this many distances.
+CELL = 4
 #: Queries that are compared with a bucket at once, and pieces of a bucket.
 QUERIES, PIECE = 64, 8192
 
@@ -192,7 +194,7 @@ def build(rows: DataFrame, k: int, recall: float) -> tuple[Index, DataFrame] | N
     if not len(sample):
         sample = np.array([rows.first()["embedding"]])
     sample = sample.astype(np.float64)
-    cut, size = max(1, width // 2), int(np.clip(round(2 * n**0.5), 1, min(CENTROIDS, max(1, len(sample) // 4))))
+    cut, size = max(1, width // 2), int(np.clip(round((n / CELL) ** 0.5), 1, min(CENTROIDS, max(1, len(sample) // 4))))
     index = Index(codebook(sample[:, :cut], size), codebook(sample[:, cut:], size) if width > cut else np.zeros((1, 0)))
     held = spark.sparkContext.broadcast(index)
 
