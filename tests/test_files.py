@@ -2,6 +2,7 @@
 
 import datetime as dt
 import gzip
+import json
 
 import pytest
 from pyspark.errors import AnalysisException
@@ -120,6 +121,51 @@ def test_filing_documents(spark, tmp_path):
     assert [(r["cik"], r["tag"], r["value"]) for r in facts.records(docs, facts.WANTED).collect()] == [("12", "Assets", 5.0)] and facts.records(docs).count() == 2
 
 
+def filing(**tags):
+    """``namespace__tag=(unit, records)`` as a document."""
+    out = {}
+    for name, (unit, records) in tags.items():
+        ns, tag = name.split("__")
+        out.setdefault(ns.replace("_", "-"), {})[tag] = {"label": "x", "units": {unit: records}}
+    return json.dumps({"cik": 1, "facts": out})
+
+
+def record(val, end="2020-12-31", filed="2021-02-01", **more):
+    return {"end": end, "val": val, "accn": "a", "fy": 2020, "fp": "FY", "form": "10-K", "filed": filed, **more}
+
+
+def test_variant_documents_give_the_records_of_parsed_ones(spark, tmp_path):
+    texts = {
+        "12": filing(us_gaap__Assets=("USD", [record(5), record("7"), record("none"), record(1e7, filed=None)]), us_gaap__Other=("USD", [record(1)])),
+        "13": "no json",
+        "14": filing(us_gaap__Assets=("USD", "no list"), us_gaap__GrossProfit=("USD", [record(1.25, start="2020-01-01"), 3, None])),
+        "15": '{"facts": 3}', "16": "[]", "17": "", "18": '{"facts": {"us-gaap": {"Assets": {"units": null}, "GrossProfit": 4}}}',
+    }
+    writers.write_filings(spark.createDataFrame([*texts.items()], "cik string, text string"), str(tmp_path))
+    assert sorted(f.name for f in tmp_path.glob("*.json")) == [f"CIK00000000{c}.json" for c in sorted(texts)]
+    assert (tmp_path / "CIK0000000012.json").read_text() == texts["12"]  # as it stands
+    fields = ("cik", "namespace", "tag", "unit", "period_start", "period_end", "filed", "accn", "fy", "fp", "form", "value")
+    kept = lambda df: sorted((tuple(map(str, (r[c] for c in fields))) for r in df.where("period_end IS NOT NULL").collect()))
+    got = kept(facts.records_on_paths(readers.read_filings(spark, str(tmp_path), variant=True)))
+    assert sorted((g[0], g[2], g[-1]) for g in got) == [*[("12", "Assets", v) for v in ("10000000.0", "5.0", "7.0", "None")], ("14", "GrossProfit", "1.25")]
+    whole = kept(facts.records(readers.read_filings(spark, str(tmp_path)).where("cik = '12'"), facts.WANTED))
+    assert [g for g in got if g[0] == "12"] == whole and len(whole) == 4
+
+
+def test_counts_of_the_panel_are_observed_as_it_is_built(spark):
+    legs = dict(us_gaap__LongTermDebtNoncurrent=("USD", [record(5)]), us_gaap__LongTermDebtCurrent=("USD", [record(2, filed="2021-03-01")]))
+    shares = dict(dei__EntityCommonStockSharesOutstanding=("shares", [record(2e6), record(1, end="2019-12-31")]), us_gaap__CommonStockSharesOutstanding=("shares", [record(3), record(4, end="2019-12-31")]))
+    docs = [("1", filing(us_gaap__Assets=("EUR", [record(1), record(2)]), **legs)), ("2", filing(us_gaap__Assets=("USD", [record(1)]), other__X=("EUR", [record(1)]), **shares)), ("3", "{"), ("4", filing(us_gaap__Assets=("EUR", [record(1)])))]
+    universe = spark.createDataFrame([("A", "1"), ("B", "2"), ("B2", "2"), ("C", "3"), ("D", "5"), ("E", None)], "ticker string, cik string")
+    panel, counts = facts.counted_panel(facts.variants(spark.createDataFrame(docs, "cik string, text string")), universe)
+    assert {k: counts[k] for k in ("malformed", "seen", "foreign", "placeholders")} == {"malformed": 1, "seen": 3, "foreign": 2, "placeholders": 4}
+    missing = {k.removeprefix("missing "): n for k, n in counts.items() if k.startswith("missing ")}
+    assert len(missing) == len(facts.CHAINS) + 2 and missing["total_assets"] == 1 and missing["shares_outstanding"] == 1 and missing["total_debt"] == missing["revenues"] == 3
+    assert sorted((r["ticker"], r["concept"], r["value"]) for r in panel.collect()) == [(t, c, v) for t in ("B", "B2") for c, v in (("shares_outstanding", 2e6), ("total_assets", 1.0))]
+    nothing, counts = facts.counted_panel(facts.variants(spark.createDataFrame([], "cik string, text string")), universe)
+    assert nothing.count() == 0 and set(counts.values()) == {0}
+
+
 def test_rankings(spark, tmp_path):
     (tmp_path / "r.json").write_text('[{"ticker": "A", "rank": 1, "name": "x"},\n {"ticker": "B", "rank": 2}]')
     assert sorted(map(tuple, readers.read_ranking(spark, str(tmp_path / "r.json")).collect())) == [("A", 1), ("B", 2)]

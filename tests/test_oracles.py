@@ -13,7 +13,7 @@ CHOSEN = (
     "wn3_sector_neutral", "cp2_buckets", "cp5_erc_research", "wn7_volatility_26w", "jn5_as_of_bars", "ag8_beta", "ag11_ic_summary", "ag15_quintile_spread",
     "fl3_membership_filter", "dd1_first_tag_wins", "nj5_total_debt", "nj10_discrete_quarters", "pj10_roic", "jn13_two_tier_match", "pj17_published_object", "or7_rank_migration",
     "wn14_previous_book", "cp6_renormalize", "ag28_market_daily_mean", "st6_stride_sample", "sc3_price_files", "sk1_price_files", "sc6_fact_panel_files", "sk6_coverage_files", "or1_load_panel", "or2_backtest", "or8_reconciliation",
-    "cp9_scheme_results", "cp11_price_signals", "nj8_as_known_on_dates", "pj15_ratios_on_dates",
+    "sc7_filing_files", "ag24_build_counts", "nj6_foreign_units", "nj7_build_panel", "cp9_scheme_results", "cp11_price_signals", "nj8_as_known_on_dates", "pj15_ratios_on_dates",
 )
 
 

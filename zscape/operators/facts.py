@@ -1,12 +1,13 @@
 """From nested filing documents to the long fact panel.
 
-A document is ``facts: {namespace: {tag: {units: {unit: [record]}}}}``. It is parsed once with a
-schema of maps, exploded to one row a record, and joined to a small table of tag chains.
+A document is ``facts: {namespace: {tag: {units: {unit: [record]}}}}``. It is parsed once, either with a
+schema of maps, which builds every tag, or as a VARIANT, of which only the paths of wanted tags are
+built; then it is exploded to one row a record, and joined to a small table of tag chains.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.expr import foreign_unit
@@ -61,11 +62,90 @@ def records(docs: DataFrame, tags: tuple[str, ...] | None = None) -> DataFrame:
     a = docs.select("cik", F.explode("doc.facts").alias("namespace", "tags"))
     b = a.select("cik", "namespace", F.explode(kept).alias("tag", "body"))
     c = b.select("cik", "namespace", "tag", F.explode("body.units").alias("unit", "items"))
-    d = c.select("cik", "namespace", "tag", "unit", F.posexplode("items").alias("pos", "r"))
+    return _typed(c)
+
+
+def _typed(units: DataFrame) -> DataFrame:
+    """One row a record of ``cik, namespace, tag, unit, items``."""
+    d = units.select("cik", "namespace", "tag", "unit", F.posexplode("items").alias("pos", "r"))
     number = F.col("r.val").try_cast("double")
     return d.select("cik", "namespace", "tag", "unit", "pos", F.col("r.start").try_cast("date").alias("period_start"), F.col("r.end").try_cast("date").alias("period_end"), F.col("r.filed").try_cast("date").alias("filed"), "r.accn", "r.form", F.col("r.fy").cast("double").alias("fy"), "r.fp", number.alias("value"))
 
 
+#: Where those tags are.
+PATHS = tuple(dict.fromkeys([(ns, t) for ns, tags, _ in CHAINS.values() for t in tags] + [*SHARES] + [("us-gaap", t) for t in (*DEBT_PAIR, *DEBT_FALLBACK)]))
+NAMESPACES = ("us-gaap", "dei")
+SHARE_UNIT, DEBT_UNIT = "shares", "USD"
+
+
+def variants(docs: DataFrame, text: str = "text") -> DataFrame:
+    """``docs`` with ``doc``, a VARIANT; NULL where the text is no JSON (a key twice in an object, too) or beyond a VARIANT's size."""
+    return docs.withColumn("doc", F.try_parse_json(text))
+
+
+def _path(*keys: str) -> str:
+    return "$" + "".join(f"['{k}']" for k in keys)
+
+
+def _read(doc: Column, paths: tuple = PATHS) -> Column:
+    """An array of ``namespace, tag, units``: the units' records under each path, NULL where it leads nowhere."""
+    kind = f"map<string,array<{RECORD}>>"
+    return F.array(*[F.struct(F.lit(ns).alias("namespace"), F.lit(t).alias("tag"), F.try_variant_get(doc, _path("facts", ns, t, "units"), kind).alias("units")) for ns, t in paths])
+
+
+def _spread(read: DataFrame) -> DataFrame:
+    a = read.select("cik", F.explode("read").alias("x")).select("cik", "x.namespace", "x.tag", F.explode("x.units").alias("unit", "items"))
+    return _typed(a)
+
+
+def records_on_paths(docs: DataFrame, paths: tuple = PATHS) -> DataFrame:
+    """As ``records``, of VARIANT documents and the ``(namespace, tag)`` of ``paths`` alone.
+
+    Nothing else of a document is built. Missing and mistyped parts of it give no rows.
+    """
+    return _spread(docs.select("cik", _read(F.col("doc"), paths).alias("read")))
+
+
+def foreign_records(doc: Column) -> Column:
+    """How many records of a VARIANT document are in other currencies than USD; records are counted, not built."""
+    kind = "map<string,struct<units:map<string,array<variant>>>>"
+    none = F.array().cast("array<struct<key:string,value:array<variant>>>")
+    total = F.lit(0).cast("long")
+    for ns in NAMESPACES:
+        bodies = F.map_values(F.try_variant_get(doc, _path("facts", ns), kind))
+        units = F.flatten(F.transform(bodies, lambda b: F.coalesce(F.map_entries(b["units"]), none)))
+        n = F.aggregate(units, F.lit(0).cast("long"), lambda n, u: n + F.when(foreign_unit(u["key"]) & u["value"].isNotNull(), F.size(u["value"])).otherwise(0))
+        total += F.coalesce(n, F.lit(0).cast("long"))
+    return total
+
+
+def _usable(r: Column) -> Column:
+    return r["end"].try_cast("date").isNotNull() & r["filed"].try_cast("date").isNotNull() & r["val"].try_cast("double").isNotNull()
+
+
+def _presence() -> dict[str, Column]:
+    """Whether a document's ``read`` has a record for each concept, and its number of placeholders of share counts."""
+
+    def items(ns: str, tag: str, unit: str) -> Column:
+        every = F.try_element_at(F.col("read")[PATHS.index((ns, tag))]["units"], F.lit(unit))
+        return F.filter(F.coalesce(every, F.array().cast(f"array<{RECORD}>")), _usable)
+
+    def any_of(columns: list[Column]) -> Column:
+        return F.size(F.flatten(F.array(*columns))) > 0
+
+    small = lambda r: r["val"].try_cast("double") < LEAST_SHARES
+    counts = F.flatten(F.array(*[items(ns, t, SHARE_UNIT) for ns, t in SHARES]))
+    key = lambda r: F.struct(r["end"].try_cast("date").alias("e"), r["filed"].try_cast("date").alias("f"), r["accn"].alias("a"))
+    far, near = [F.transform(items("us-gaap", t, DEBT_UNIT), key) for t in DEBT_PAIR]
+    out = {c: any_of([items(ns, t, unit) for t in tags]) for c, (ns, tags, unit) in CHAINS.items()}
+    out["shares_outstanding"] = F.exists(counts, lambda r: ~small(r))
+    out["total_debt"] = F.arrays_overlap(far, near) | any_of([items("us-gaap", t, DEBT_UNIT) for t in DEBT_FALLBACK])
+    # a placeholder of a key that a record before it has filled is no loss
+    same = lambda x, r: x["start"].eqNullSafe(r["start"]) & (x["end"] == r["end"]) & (x["filed"] == r["filed"])
+    lost = F.filter(counts, lambda r, i: small(r) & ~F.exists(F.slice(counts, F.lit(1), i), lambda x: ~small(x) & same(x, r)))
+    return out | {"placeholders": F.size(lost)}
+
+
 def chain_table(spark: SparkSession, chains: dict = CHAINS) -> DataFrame:
     """``concept, namespace, tag, unit, priority``: a fixed handful of rows."""
     rows = [(c, ns, t, unit, i) for c, (ns, tags, unit) in chains.items() for i, t in enumerate(tags)]
@@ -123,13 +203,38 @@ def total_debt(every: DataFrame) -> DataFrame:
 
 def foreign_units(docs: DataFrame) -> DataFrame:
     """``cik, foreign_facts``: records in other currencies than USD."""
-    a = docs.select("cik", F.explode("doc.facts").alias("namespace", "tags")).select("cik", F.explode("tags").alias("tag", "body")).select("cik", F.explode("body.units").alias("unit", "items"))
+    a = docs.select("cik", F.explode("doc.facts").alias("namespace", "tags")).where(F.col("namespace").isin(*NAMESPACES)).select("cik", F.explode("tags").alias("tag", "body")).select("cik", F.explode("body.units").alias("unit", "items"))
     return a.groupBy("cik").agg(F.sum(F.when(foreign_unit(F.col("unit")), F.size("items")).otherwise(0)).cast("long").alias("foreign_facts"))
 
 
+COLUMNS = ("cik", "concept", "unit", "period_start", "period_end", "filed", "form", "fy", "fp", "value")
+
+
+def _united(every: DataFrame, universe: DataFrame) -> DataFrame:
+    parts = [chained(every).select(*COLUMNS), shares(every).select(*COLUMNS), total_debt(every).withColumns({"concept": F.lit("total_debt"), "unit": F.lit(DEBT_UNIT)}).select(*COLUMNS)]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).join(checked(universe.select("ticker", "cik")), "cik").select("ticker", *COLUMNS)
+
+
 def panel(docs: DataFrame, universe: DataFrame) -> DataFrame:
     """The 11-column fact panel; a company with several tickers gives its facts to each of them."""
-    every = written(records(docs, WANTED), "records")  # three branches read it; a document is parsed once
-    columns = ["cik", "concept", "unit", "period_start", "period_end", "filed", "form", "fy", "fp", "value"]
-    parts = [chained(every).select(*columns), shares(every).select(*columns), total_debt(every).withColumns({"concept": F.lit("total_debt"), "unit": F.lit("USD")}).select(*columns)]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2]).join(checked(universe.select("ticker", "cik")), "cik").select("ticker", *columns)
+    return _united(written(records(docs, WANTED), "records"), universe)  # three branches read it; a document is parsed once
+
+
+def counted_panel(docs: DataFrame, universe: DataFrame) -> tuple[DataFrame, dict[str, int]]:
+    """The panel of VARIANT documents, and what the pass that parses them met.
+
+    ``malformed`` and ``foreign`` count documents and records of the universe's companies; ``seen``,
+    ``placeholders`` and ``missing <concept>`` count a company once for each of its tickers. Documents of
+    other companies are left unread. The counts are observed by the job that writes the records, in its last
+    stage, so no document is read for them again and a repeated task counts once.
+    """
+    tickers = universe.where("cik IS NOT NULL").groupBy("cik").agg(F.count("*").alias("tickers"))
+    kept = docs.join(checked(tickers), "cik").withColumn("read", _read(F.col("doc")))
+    has = _presence()
+    well, n = F.col("doc").isNotNull(), F.col("tickers")
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")
+    metrics = {"malformed": total(F.when(~well, 1)), "seen": total(F.when(well, n)), "foreign": total(F.when(well, foreign_records(F.col("doc")))), "placeholders": total(F.when(well, n * has.pop("placeholders")))}
+    metrics |= {f"missing {c}": total(F.when(well & ~x, n)) for c, x in has.items()}
+    seen = Observation("panel")
+    every = written(_spread(kept.observe(seen, *[m.alias(k) for k, m in metrics.items()])), "records")
+    return _united(every, universe), dict(seen.get)

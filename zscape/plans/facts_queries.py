@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import expr
 from ..operators import facts, guards, membership, pit, publish, replay
-from ..shared import checked
-from ..sources import readers
+from ..shared import checked, scratch
+from ..sources import readers, writers
 from .registry import Registry, r6, rounded, sr6
 
 R = Registry()
@@ -175,6 +175,31 @@ def _panel(x: DataFrame) -> DataFrame:
 _ALL = ", un AS (SELECT cik, concept, value FROM ch UNION ALL SELECT cik, 'shares_outstanding', value FROM sh UNION ALL SELECT cik, 'total_debt', value FROM pr UNION ALL SELECT cik, 'total_debt', value FROM rs), tk AS (SELECT CONCAT('T', cik) AS ticker, * FROM un UNION ALL SELECT CONCAT('T', cik, '.B'), * FROM un) SELECT ticker, concept, count(*) AS n, round(sum(value), 1) AS v FROM tk GROUP BY 1, 2"
 for _n in ("nj3_company_extraction", "nj7_build_panel", "jn12_dual_class"):
     R.add(_n, "levels", _panel, f", {_ROWS}, {_CHAIN}, {_SH}, {_DEBT}{_ALL}")
+
+
+def _filed(levels: DataFrame) -> DataFrame:
+    """The documents written as files, every tenth cut short, and read again as VARIANT."""
+    path = f"{scratch(levels.sparkSession, 'filings')}/files"
+    text = F.when(F.col("cik").cast("int") % 10 == 4, F.expr("left(text, length(text) div 2)")).otherwise(F.col("text"))
+    writers.write_filings(_docs(levels).select("cik", text.alias("text")), path)
+    return readers.read_filings(levels.sparkSession, path, variant=True)
+
+
+def _counted(levels: DataFrame) -> DataFrame:
+    spark = levels.sparkSession
+    names = levels.where("s % 7 <> 3").select(F.col("s").cast("string").alias("cik")).distinct()
+    names = names.select("cik", F.explode(F.array(F.concat(F.lit("T"), "cik"), F.concat(F.lit("T"), "cik", F.lit(".B")))).alias("ticker"))
+    panel, counts = facts.counted_panel(_filed(levels), names)
+    rows = panel.groupBy("concept").agg(F.count("*").alias("n")).select(F.concat(F.lit("rows "), "concept").alias("item"), "n")
+    return rows.unionByName(spark.createDataFrame([*counts.items()], "item string, n long"))
+
+
+_WELL = _ROWS.replace("WHERE (s +", "WHERE s % 10 <> 4 AND (s +", 1)
+_KS = sorted({k for _, t, _, k in _DOC_TAGS if (_DOC_TAGS[k][0], t) in facts.PATHS})
+R.add("sc7_filing_files", "levels", lambda x: facts.records_on_paths(_filed(x)).select("cik", "namespace", "tag", "unit", "period_start", "period_end", "filed", "accn", r6("value").alias("value")), f", {_WELL} SELECT cik, namespace, tag, unit, st AS period_start, en AS period_end, fi AS filed, accn, {sr6('value')} AS value FROM fr WHERE k IN ({', '.join(map(str, _KS))})")
+_HAD = "hd AS (SELECT DISTINCT cik, CASE WHEN k = 2 THEN 'net_income' ELSE 'revenues' END AS concept FROM fr WHERE k IN (0, 1, 2) UNION SELECT cik, 'shares_outstanding' FROM sh UNION SELECT cik, 'total_debt' FROM pr UNION SELECT cik, 'total_debt' FROM rs)"
+_IN = "CAST(cik AS INT) % 7 <> 3"
+R.add("ag24_build_counts", "levels", _counted, f", {_WELL}, {_CHAIN}, {_SH}, {_DEBT}, {_HAD}, af AS ({_ROWS[len('fr AS ('):]}, ci AS (SELECT DISTINCT cik FROM af WHERE {_IN}), w AS (SELECT count(*) AS n FROM ci WHERE CAST(cik AS INT) % 10 <> 4), cs AS (SELECT unnest({[*facts.CHAINS, 'shares_outstanding', 'total_debt']}) AS concept), un AS (SELECT cik, concept FROM ch UNION ALL SELECT cik, 'shares_outstanding' FROM sh UNION ALL SELECT cik, 'total_debt' FROM pr UNION ALL SELECT cik, 'total_debt' FROM rs) SELECT 'rows ' || concept AS item, 2 * count(*) AS n FROM un WHERE {_IN} GROUP BY 1 UNION ALL SELECT 'malformed', count(*) FROM ci WHERE CAST(cik AS INT) % 10 = 4 UNION ALL SELECT 'seen', 2 * n FROM w UNION ALL SELECT 'foreign', count(*) FROM fr WHERE unit = 'EUR' AND {_IN} UNION ALL SELECT 'placeholders', 2 * count(*) FROM fr WHERE k IN (6, 7) AND value < 1000000 AND {_IN} UNION ALL SELECT 'missing ' || concept, 2 * (n - (SELECT count(*) FROM hd WHERE hd.concept = cs.concept AND {_IN})) FROM cs, w")
 R.add("fl6_required_fields", "levels", lambda x: facts.complete(facts.records(_docs(x)).withColumn("filed", F.when(F.col("fy") > 1996, F.col("filed")))).agg(F.count("*").alias("n")), f", {_ROWS} SELECT count(*) AS n FROM fr WHERE y > 1996")
 R.add("ag24_missing_concepts", "facts", lambda f: guards.missing_concepts(f, 5), " SELECT concept, (SELECT count(DISTINCT ticker) FROM facts) - count(DISTINCT ticker) AS missing FROM facts GROUP BY 1 HAVING missing > 0 ORDER BY missing DESC, concept LIMIT 5")
 

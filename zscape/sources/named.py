@@ -1,6 +1,7 @@
 """A data source writer whose files have the names that other readers expect, seen all together or not at all.
 
-A row's first column names its file; the others are the file's columns. Tasks write below a hidden
+A row's first column names its file; the others are the file's columns (form ``csv``), or the one other is a piece of
+its text, written as it stands (form ``text``). Tasks write below a hidden
 folder of the job, and the commit renames what the tasks that succeeded have written: an aborted job, and
 an attempt that is lost or comes second, leave nothing that can be seen. Files ending in ``.gz`` are
 gzipped. Dates are written as ``2024-01-31``, doubles in full, NULL as nothing. Rows of a file must come
@@ -32,19 +33,19 @@ class Written(WriterCommitMessage):
 
 
 class NamedFiles(DataSource):
-    """Option ``path``: the folder (a URI). Overwriting replaces the folder's files, appending those of the same names."""
+    """Options ``path``: the folder (a URI), and ``form``: ``csv`` or ``text``. Overwriting replaces the folder's files, appending those of the same names."""
 
     @classmethod
     def name(cls) -> str:
         return "named_files"
 
     def writer(self, schema, overwrite: bool) -> _NamedWriter:
-        return _NamedWriter(self.options["path"], overwrite)
+        return _NamedWriter(self.options["path"], overwrite, self.options.get("form", "csv"))
 
 
 class _NamedWriter(DataSourceArrowWriter):
-    def __init__(self, uri: str, overwrite: bool) -> None:
-        self.uri, self.overwrite = uri, overwrite
+    def __init__(self, uri: str, overwrite: bool, form: str = "csv") -> None:
+        self.uri, self.overwrite, self.form = uri, overwrite, form
         self.job = f"_job-{uuid.uuid4().hex}"
 
     def _at(self) -> tuple[pafs.FileSystem, str]:
@@ -67,8 +68,7 @@ class _NamedWriter(DataSourceArrowWriter):
                             raise ValueError(f"{name!r} is no file's name, or its rows don't come together")
                         out = _closed(out, sink)
                         sink = fs.open_output_stream(f"{folder}/{name}", compression="gzip" if name.endswith(".gz") else None)
-                        sink.write((",".join(rows.schema.names) + "\n").encode())
-                        out = pacsv.CSVWriter(sink, rows.schema, write_options=pacsv.WriteOptions(include_header=False, quoting_style="needed"))
+                        out = _Text(sink) if self.form == "text" else _table(sink, rows.schema)
                         names[name], last = None, name
                     out.write_batch(rows.slice(low, high - low))
         finally:
@@ -105,6 +105,25 @@ def _fit(name: str | None) -> bool:
     return bool(name) and "/" not in name and not name.startswith(("_", "."))
 
 
+class _Text:
+    """Texts as they stand, NULL as nothing."""
+
+    def __init__(self, sink) -> None:
+        self.sink = sink
+
+    def write_batch(self, rows: pa.RecordBatch) -> None:
+        for text in rows.column(0):
+            self.sink.write((text.as_py() or "").encode())
+
+    def close(self) -> None:
+        pass
+
+
+def _table(sink, schema: pa.Schema) -> pacsv.CSVWriter:
+    sink.write((",".join(schema.names) + "\n").encode())
+    return pacsv.CSVWriter(sink, schema, write_options=pacsv.WriteOptions(include_header=False, quoting_style="needed"))
+
+
 def _closed(out, sink) -> None:
     if out is not None:
         out.close()
@@ -112,12 +131,12 @@ def _closed(out, sink) -> None:
         sink.close()
 
 
-def write_named(df: DataFrame, path: str, order: list[str], mode: str = "overwrite") -> None:
-    """``df(file, ...)`` as one CSV file for each name, its rows in ``order``; NULL names are an error.
+def write_named(df: DataFrame, path: str, order: list[str], mode: str = "overwrite", form: str = "csv") -> None:
+    """``df(file, ...)`` as one file for each name, its rows in ``order``; NULL names are an error.
 
     A file is one stream of one task, in memory a batch at a time, as a single file asks for.
     """
     spark = df.sparkSession
     spark.dataSource.register(NamedFiles)
     name = df.columns[0]
-    df.repartition(name).sortWithinPartitions(name, *order).write.format("named_files").mode(mode).option("path", ensured(spark, path)).save()
+    df.repartition(name).sortWithinPartitions(name, *order).write.format("named_files").mode(mode).option("path", ensured(spark, path)).option("form", form).save()

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.expr import cik_padded, number
-from ..operators.facts import parsed
+from ..operators.facts import parsed, variants
 from ..operators.membership import keep_last
 from ..operators.scoring import WEIGHTS
 
@@ -78,11 +78,14 @@ def read_fact_panel(spark: SparkSession, path: str) -> DataFrame:
     return raw.withColumns({**dates, "fy": number(F.col("fy")), "value": number(F.col("value"))})
 
 
-def read_filings(spark: SparkSession, path: str) -> DataFrame:
-    """``cik, text, doc`` of a folder of ``CIK<digits>.json`` files; ``doc`` is NULL for malformed ones."""
+def read_filings(spark: SparkSession, path: str, variant: bool = False) -> DataFrame:
+    """``cik, text, doc`` of a folder of ``CIK<digits>.json`` files; ``doc`` is NULL for malformed ones.
+
+    As a VARIANT ``doc`` is for ``facts.records_on_paths`` and ``facts.counted_panel``, which read what they name alone.
+    """
     raw = spark.read.text(path, wholetext=True, pathGlobFilter="CIK*.json")
     digits = F.regexp_extract(F.col("_metadata.file_name"), r"CIK0*([0-9]+)", 1)
-    return parsed(raw.select(digits.alias("cik"), F.col("value").alias("text")))
+    return (variants if variant else parsed)(raw.select(digits.alias("cik"), F.col("value").alias("text")))
 
 
 def malformed(docs: DataFrame) -> DataFrame:

@@ -35,6 +35,12 @@ def write_fact_file(panel: DataFrame, path: str, name: str = "edgar_pit_panel.cs
     write_named(rows, path, ["ticker", "concept", "period_end", "filed", "period_start", "value"])
 
 
+def write_filings(docs: DataFrame, path: str) -> None:
+    """Each ``cik, text`` as ``CIK<ten digits>.json``; a name may come once."""
+    rows = docs.where("cik IS NOT NULL").select(F.concat(F.lit("CIK"), cik_padded(F.col("cik")), F.lit(".json")).alias("file"), "text")
+    write_named(rows, path, [], form="text")
+
+
 def write_ranks(rows: DataFrame, path: str) -> None:
     rows.write.option("header", True).mode("overwrite").csv(path)
 
@@ -45,10 +51,12 @@ def write_fact_panel(panel: DataFrame, path: str) -> None:
     out.write.option("header", True).option("compression", "gzip").mode("overwrite").csv(path)
 
 
-def write_results(tables: dict[str, DataFrame], path: str) -> None:
-    """A folder with a CSV file for each named result (small tables: a row for a factor, date or regime)."""
+def write_results(tables: dict[str, DataFrame], path: str, order: dict[str, list] | None = None) -> None:
+    """A folder with a CSV file for each named result (small tables: a row for a factor, date or regime), sorted as told."""
     for name, df in tables.items():
-        df.coalesce(1).write.option("header", True).mode("overwrite").csv(f"{path}/{name}")
+        one = df.repartition(1)  # a shuffle, so that the work before it keeps its tasks
+        one = one.sortWithinPartitions(*order[name]) if order and name in order else one
+        one.write.option("header", True).mode("overwrite").csv(f"{path}/{name}")
 
 
 def write_objects(objects: DataFrame, path: str) -> None:
@@ -68,4 +76,4 @@ def write_price_source(source: DataFrame, path: str) -> None:
 
 def write_coverage(by_concept: DataFrame, by_year: DataFrame, path: str) -> None:
     """The coverage report: a section for each table, both small, as CSV folders below ``path``."""
-    write_results({"by_concept": by_concept.orderBy(F.desc("tickers"), "concept"), "by_year": by_year.orderBy("year")}, path)
+    write_results({"by_concept": by_concept, "by_year": by_year}, path, {"by_concept": [F.desc("tickers"), "concept"], "by_year": ["year"]})
