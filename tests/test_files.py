@@ -166,6 +166,17 @@ def test_counts_of_the_panel_are_observed_as_it_is_built(spark):
     assert nothing.count() == 0 and set(counts.values()) == {0}
 
 
+
+def test_observed_counts_are_plain_columns(spark, monkeypatch):
+    plans, real = [], facts.written
+    monkeypatch.setattr(facts, "written", lambda df, name: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or real(df, name))
+    docs = spark.createDataFrame([("1", filing(us_gaap__Assets=("USD", [record(1)])))], "cik string, text string")
+    facts.counted_panel(facts.variants(docs), spark.createDataFrame([("A", "1")], "ticker string, cik string"))
+    observed = [line for plan in plans for line in plan.splitlines() if "CollectMetrics" in line]
+    # every task sends these expressions to the driver
+    assert len(observed) == 1 and "sum(_seen" in observed[0] and not any(x in observed[0] for x in ("CASE", "variant", "lambda"))
+
+
 def test_rankings(spark, tmp_path):
     (tmp_path / "r.json").write_text('[{"ticker": "A", "rank": 1, "name": "x"},\n {"ticker": "B", "rank": 2}]')
     assert sorted(map(tuple, readers.read_ranking(spark, str(tmp_path / "r.json")).collect())) == [("A", 1), ("B", 2)]

@@ -232,9 +232,11 @@ def counted_panel(docs: DataFrame, universe: DataFrame) -> tuple[DataFrame, dict
     kept = docs.join(checked(tickers), "cik").withColumn("read", _read(F.col("doc")))
     has = _presence()
     well, n = F.col("doc").isNotNull(), F.col("tickers")
-    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")
-    metrics = {"malformed": total(F.when(~well, 1)), "seen": total(F.when(well, n)), "foreign": total(F.when(well, foreign_records(F.col("doc")))), "placeholders": total(F.when(well, n * has.pop("placeholders")))}
-    metrics |= {f"missing {c}": total(F.when(well & ~x, n)) for c, x in has.items()}
+    each = {"malformed": F.when(~well, 1), "seen": F.when(well, n), "foreign": F.when(well, foreign_records(F.col("doc"))), "placeholders": F.when(well, n * has.pop("placeholders"))}
+    each |= {f"missing {c}": F.when(well & ~x, n) for c, x in has.items()}
+    # columns before they are observed: every task sends the observed expressions to the driver with its sums
+    counted = kept.select("cik", "read", *[x.cast("long").alias(f"_{k}") for k, x in each.items()])
+    total = lambda k: F.coalesce(F.sum(f"`_{k}`"), F.lit(0).cast("long")).alias(k)
     seen = Observation("panel")
-    every = written(_spread(kept.observe(seen, *[m.alias(k) for k, m in metrics.items()])), "records")
+    every = written(_spread(counted.observe(seen, *map(total, each))), "records")
     return _united(every, universe), dict(seen.get)
