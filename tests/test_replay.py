@@ -45,6 +45,24 @@ def test_all_dates_at_once_equal_single_dates(spark):
     assert any(r["revenues_ttm"] is not None for r in want.values()) and any(r["capex_ttm"] is None for r in want.values())
 
 
+
+def test_facts_and_dates_are_computed_once(spark):
+    seen = {n: spark.sparkContext.accumulator(0) for n in ("facts", "dates")}
+
+    def counted(df, name):
+        def passed(batches):
+            for b in batches:
+                seen[name].add(b.num_rows)
+                yield b
+
+        return df.mapInArrow(passed, df.schema)
+
+    facts = counted(spark.createDataFrame(messy(n=200), SCHEMA), "facts")
+    dates = counted(spark.createDataFrame([(DAY + dt.timedelta(days=k),) for k in (300, 700)], "t date"), "dates")
+    assert len(replay.as_known_on(facts, dates).collect()) == 4
+    assert {n: c.value for n, c in seen.items()} == {"facts": 200, "dates": 2}
+
+
 def test_intervals_meet_and_values_change(spark):
     rows = replay.intervals(spark.createDataFrame(messy(9), SCHEMA)).orderBy("ticker", "concept", "valid_from").collect()
     for a, b in zip(rows, rows[1:]):

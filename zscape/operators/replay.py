@@ -9,15 +9,15 @@ interval's dates, with no range join. What a task holds of a series are its dist
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
-from heapq import nlargest
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.expr import quarters_spanned
-from ..shared import checked
+from ..shared import checked, written
 from .pit import FLOWS, STOCKS
 
 
@@ -27,10 +27,9 @@ class Level:
     def __init__(self) -> None:
         self.best: tuple | None = None
 
-    def add(self, r: dict) -> None:
-        key = (r["period_end"], r["filed"], r["seq"])
-        if r["value"] is not None and r["period_end"] is not None and (self.best is None or key >= self.best[0]):
-            self.best = key, r["value"]
+    def add(self, filed, seq, end, n, fy, value) -> None:
+        if value is not None and end is not None and (self.best is None or (end, filed, seq) >= self.best[0]):
+            self.best = (end, filed, seq), value
 
     def value(self) -> float | None:
         return self.best[1] if self.best else None
@@ -40,32 +39,41 @@ class Flow:
     """The sum of the last four discrete quarters, as ``pit.quarters`` and ``pit.trailing_sums`` define them."""
 
     def __init__(self) -> None:
-        self.direct: dict = {}  # period end: value, filing, fiscal year and order of the first row
+        self.direct: dict = {}  # period end: value, fiscal year and order of the first row
+        self.ones: dict = {}  # fiscal year: period end: order of the first row, of direct quarters
         self.above: dict = {}  # fiscal year, quarters: the latest level and its period end
         self.derived: dict = {}  # period end: fiscal year: value
         self.ends: dict = {}  # fiscal year: the period ends that its ladder gives
+        self.there: list = []  # period ends with a value, sorted
         self.stale: set = set()  # ladders with events since the last value
+        self.moved: set = set()  # period ends that may have come or gone since then
 
-    def add(self, r: dict) -> None:
-        n, end, fy = r["n"], r["period_end"], r["fy"]
-        if n is None or r["value"] is None or fy is None:
+    def add(self, filed, seq, end, n, fy, value) -> None:
+        if n is None or value is None or fy is None:
             return
         self.stale.add(fy)
         if n > 1:
-            key = (r["filed"], end, r["seq"])
+            key = (filed, end, seq)
             if (fy, n) not in self.above or key >= self.above[fy, n][0]:
-                self.above[fy, n] = key, r["value"]
+                self.above[fy, n] = key, value
             return
-        _, _, fy1, seq1 = self.direct.get(end, (None, None, fy, r["seq"]))
-        self.stale.add(fy1)
-        if r["seq"] < seq1:
-            fy1, seq1 = fy, r["seq"]
-        self.direct[end] = r["value"], r["filed"], fy1, seq1
+        old = self.direct.get(end)
+        if old is None:
+            self.moved.add(end)
+            fy1, seq1 = fy, seq
+        else:
+            _, fy1, seq1 = old
+            self.stale.add(fy1)
+            if seq < seq1:
+                self.ones[fy1].pop(end)
+                fy1, seq1 = fy, seq
+        self.ones.setdefault(fy1, {})[end] = seq1
+        self.direct[end] = value, fy1, seq1
 
     def _ladder(self, fy: float) -> Iterator[tuple]:
         """``period end, value`` of each contiguous step of a fiscal year."""
-        ones = [(seq1, end, value) for end, (value, _, fy1, seq1) in self.direct.items() if fy1 == fy]
-        steps = [(1, *min(ones)[1:])] if ones else []
+        ones = self.ones.get(fy)
+        steps = [(1, end := min((seq1, e) for e, seq1 in ones.items())[1], self.direct[end][0])] if ones else []
         steps += [(n, self.above[fy, n][0][1], self.above[fy, n][1]) for n in (2, 3, 4) if (fy, n) in self.above]
         below, base = 0, 0.0
         for n, end, value in steps:
@@ -77,15 +85,26 @@ class Flow:
         for fy in self.stale:
             for end in self.ends.pop(fy, ()):
                 self.derived[end].pop(fy)
+                self.moved.add(end)
             for end, value in self._ladder(fy):
                 if fy not in self.derived.setdefault(end, {}):  # the step of fewer quarters comes first
                     self.derived[end][fy] = value
                     self.ends.setdefault(fy, []).append(end)
+                    self.moved.add(end)
         self.stale.clear()
-        last = nlargest(4, self.direct.keys() | {e for e, by_year in self.derived.items() if by_year})
-        if len(last) < 4:
+        there = self.there
+        for end in self.moved:
+            at = bisect_left(there, end)
+            found = at < len(there) and there[at] == end
+            if end in self.direct or self.derived.get(end):
+                if not found:
+                    there.insert(at, end)
+            elif found:
+                del there[at]
+        self.moved.clear()
+        if len(there) < 4:
             return None
-        return sum(self.direct[e][0] if e in self.direct else self.derived[e][min(self.derived[e])] for e in last)
+        return sum(self.direct[e][0] if e in self.direct else self.derived[e][min(self.derived[e])] for e in there[:-5:-1])
 
 
 def _replay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -108,20 +127,22 @@ def _replay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def batch() -> pa.RecordBatch:
         columns = list(zip(*rows)) or [()] * 5
         rows.clear()
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.string(), pa.float64(), pa.date32(), pa.date32()))], ["ticker", "concept", "value", "valid_from", "valid_to"])
+        days = [pa.array(c, pa.int32()).cast(pa.date32()) for c in columns[3:]]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.string(), pa.float64()))] + days, ["ticker", "concept", "value", "valid_from", "valid_to"])
 
     for b in batches:
-        for r in b.to_pylist():
-            own = (r["ticker"], r["concept"])
-            if own != key:
+        # lists, not a dictionary for each row; dates as the numbers of their days
+        columns = [(c.cast(pa.int32()) if pa.types.is_date32(c.type) else c).to_pylist() for c in b.columns]
+        for ticker, concept, filed, *event in zip(*columns):
+            if key is None or concept != key[1] or ticker != key[0]:
                 if key is not None:
                     close(None)
-                key, day, since, known = own, r["filed"], None, None
-                state = Level() if own[1] in STOCKS else Flow()
-            elif r["filed"] != day:
-                close(r["filed"])
-                day = r["filed"]
-            state.add(r)
+                key, day, since, known = (ticker, concept), filed, None, None
+                state = Flow() if concept in FLOWS else Level()
+            elif filed != day:
+                close(filed)
+                day = filed
+            state.add(filed, *event)
         if rows:
             yield batch()
     if key is not None:
@@ -129,16 +150,21 @@ def _replay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch()
 
 
+def _replayed(facts: DataFrame) -> DataFrame:
+    """The intervals of every series; other concepts than levels and flows are taken as levels."""
+    rows = facts.where(F.col("filed").isNotNull())
+    rows = rows.select("ticker", "concept", "filed", "seq", "period_end", quarters_spanned(F.col("period_start"), F.col("period_end")).alias("n"), F.col("fy").cast("double").alias("fy"), F.col("value").cast("double").alias("value"))
+    own = rows.repartition("ticker", "concept").sortWithinPartitions("ticker", "concept", "filed", "seq")
+    return own.mapInArrow(_replay, "ticker string, concept string, value double, valid_from date, valid_to date")
+
+
 def intervals(facts: DataFrame) -> DataFrame:
     """``ticker, concept, value, valid_from, valid_to`` of levels and of flows' trailing sums; the last has no end.
 
     Rows without a filing date are never known. A row that no one uses (no value, period or fiscal year)
     still begins its series, with NULL.
     """
-    rows = facts.where(F.col("filed").isNotNull() & F.col("concept").isin(*STOCKS, *FLOWS))
-    rows = rows.select("ticker", "concept", "filed", "seq", "period_end", quarters_spanned(F.col("period_start"), F.col("period_end")).alias("n"), F.col("fy").cast("double").alias("fy"), F.col("value").cast("double").alias("value"))
-    own = rows.repartition("ticker", "concept").sortWithinPartitions("ticker", "concept", "filed", "seq")
-    return own.mapInArrow(_replay, "ticker string, concept string, value double, valid_from date, valid_to date")
+    return _replayed(facts.where(F.col("concept").isin(*STOCKS, *FLOWS)))
 
 
 def on_dates(known: DataFrame, dates: DataFrame) -> DataFrame:
@@ -149,10 +175,14 @@ def on_dates(known: DataFrame, dates: DataFrame) -> DataFrame:
 
 
 def as_known_on(facts: DataFrame, dates: DataFrame) -> DataFrame:
-    """``t``, and the row of ``pit.as_known_at`` for each ticker with facts filed by then, for all ``dates`` in one pass."""
+    """``t``, and the row of ``pit.as_known_at`` for each ticker with facts filed by then, for all ``dates`` in one pass.
+
+    ``facts`` and ``dates`` are computed once each: intervals and dates are written, and all else begins there.
+    """
     columns = [*STOCKS, *FLOWS]
-    wide = on_dates(intervals(facts), dates).groupBy("t", "ticker").agg(*[F.max(F.when(F.col("concept") == c, F.col("value"))).alias(c if c in STOCKS else f"{c}_ttm") for c in columns])
-    # facts of other concepts make a ticker known too
-    began = facts.where(F.col("filed").isNotNull()).groupBy("ticker").agg(F.min("filed").alias("began"))
-    there = began.join(checked(dates.select("t").distinct()), F.col("t") >= F.col("began")).select("t", "ticker")
+    days = written(dates.select("t").distinct(), "dates")
+    known = written(_replayed(facts), "intervals")  # facts of other concepts make a ticker known too
+    wide = on_dates(known.where(F.col("concept").isin(*columns)), days).groupBy("t", "ticker").agg(*[F.max(F.when(F.col("concept") == c, F.col("value"))).alias(c if c in STOCKS else f"{c}_ttm") for c in columns])
+    began = known.groupBy("ticker").agg(F.min("valid_from").alias("began"))
+    there = began.join(checked(days), F.col("t") >= F.col("began")).select("t", "ticker")
     return there.join(wide, ["t", "ticker"], "left")

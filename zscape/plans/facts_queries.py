@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import expr
 from ..operators import facts, guards, membership, pit, publish, replay
-from ..shared import checked, scratch
+from ..shared import checked, scratch, written
 from ..sources import readers, writers
 from .registry import Registry, r6, rounded, sr6
 
@@ -86,8 +86,19 @@ def _quarter_days(f: DataFrame) -> DataFrame:
     return f.where("filed IS NOT NULL").select(F.trunc("filed", "quarter").alias("t")).distinct()
 
 
-R.add("nj8_as_known_on_dates", "facts", lambda f: replay.as_known_on(f, _quarter_days(f)).select("t", "ticker", *[F.round(c, 5).alias(c) for c in _COLUMNS]), f", {_WIDE_T} SELECT t, ticker, " + ", ".join(f"round({c}, 5) AS {c}" for c in _COLUMNS) + " FROM wide")
-R.add("pj15_ratios_on_dates", "facts", lambda f: rounded(pit.signals(replay.as_known_on(f, _quarter_days(f)), _closes(f)), *_RATIOS), f", {_WIDE_T}, {_CLOSES}, x AS (SELECT wide.*, shares_outstanding * close AS cap FROM wide LEFT JOIN cl USING (ticker)) SELECT t, ticker, " + ", ".join(f"{sr6(v)} AS {k}" for k, v in _RATIOS.items()) + " FROM x")
+def _known_on_quarters(f: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The facts, which several steps read, written; and what of them was known at every quarter's first day."""
+    f = written(f, "facts")
+    return f, replay.as_known_on(f, _quarter_days(f))
+
+
+def _ratios_on_quarters(f: DataFrame) -> DataFrame:
+    f, wide = _known_on_quarters(f)
+    return pit.signals(wide, _closes(f))
+
+
+R.add("nj8_as_known_on_dates", "facts", lambda f: _known_on_quarters(f)[1].select("t", "ticker", *[F.round(c, 5).alias(c) for c in _COLUMNS]), f", {_WIDE_T} SELECT t, ticker, " + ", ".join(f"round({c}, 5) AS {c}" for c in _COLUMNS) + " FROM wide")
+R.add("pj15_ratios_on_dates", "facts", lambda f: rounded(_ratios_on_quarters(f), *_RATIOS), f", {_WIDE_T}, {_CLOSES}, x AS (SELECT wide.*, shares_outstanding * close AS cap FROM wide LEFT JOIN cl USING (ticker)) SELECT t, ticker, " + ", ".join(f"{sr6(v)} AS {k}" for k, v in _RATIOS.items()) + " FROM x")
 R.add("jn6_flow_intervals", "facts", lambda f: replay.on_dates(replay.intervals(f.where("concept IN ('revenues', 'net_income')")), _quarter_days(f)).select("t", "ticker", "concept", F.round("value", 5).alias("value")), f", {_DATES}, seen AS (SELECT t, facts.* FROM facts JOIN dt ON filed <= t), {_AT(_QUARTERS)} SELECT k.t, k.ticker, k.concept, round(ttm, 5) AS value FROM (SELECT DISTINCT t, ticker, concept FROM seen WHERE concept IN ('revenues', 'net_income')) k LEFT JOIN tt ON tt.t = k.t AND tt.ticker = k.ticker AND tt.concept = k.concept")
 R.add("jn9_close_at_date", "facts", lambda f: _wide(f).select("ticker").join(_closes(f), "ticker", "left"), f", {_SEEN}, {_CLOSES} SELECT DISTINCT s.ticker, close FROM seen s LEFT JOIN cl USING (ticker)")
 R.add("jn7_union_of_coverage", "facts", lambda f: f.where("concept = 'total_debt'").select("ticker").distinct().withColumn("a", F.lit(1)).join(f.where("concept = 'capex'").select("ticker").distinct().withColumn("b", F.lit(1)), "ticker", "full_outer"), " SELECT ticker, max(CASE WHEN concept = 'total_debt' THEN 1 END) AS a, max(CASE WHEN concept = 'capex' THEN 1 END) AS b FROM facts WHERE concept IN ('total_debt', 'capex') GROUP BY 1")
