@@ -50,6 +50,26 @@ def test_no_window_over_a_whole_cross_section(rows):
     assert windows and all("windowspecdefinition(pid" in w if "sum(_times" in w else "sum(_in" in w for w in windows)
 
 
+
+def test_few_values_move_no_row_to_their_ranks(spark, rows):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        plan = cross_section.neutral_scores(rows, "v", "sector", ["own"])._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+
+
+def test_many_values_with_large_ones_score_the_same(rows, monkeypatch):
+    want = {r["i"]: r["z"] for r in cross_section.neutral_scores(rows, "v", "sector", ["own"]).collect()}
+    monkeypatch.setattr(cross_section, "VALUE_BYTES", cross_section.BROADCAST_BYTES // 9)
+    monkeypatch.setattr(cross_section, "HOT", 20)
+    out = cross_section.neutral_scores(rows, "v", "sector", ["own"])
+    got = {r["i"]: r["z"] for r in out.collect()}
+    assert got.keys() == want.keys() and out.count() == len(want) and all(abs(got[i] - want[i]) < 1e-9 for i in got)
+    assert "Join LeftAnti" in out._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_rows_that_share_a_ticker_or_have_none_are_all_scored(spark):
     data = [(t, "s", float(k), 0.1 * k) for k, t in enumerate(["A", "B", "A", None, None, "C", *(f"N{i}" for i in range(11))])]
     out = scoring.build_scores(spark.createDataFrame(data, "ticker string, sector string, ret_12_1 double, roe double")).collect()

@@ -48,11 +48,12 @@ def signal(df: DataFrame, name: str) -> Column:
 def scored_factors(df: DataFrame, names: list[str], by: list[str], sector: str = "sector") -> DataFrame:
     """``df`` with ``z_<name>``: each signal's Gaussian rank, sector-neutral.
 
-    The rows are numbered and written once. All factors are then scored as rows of one long table that
+    The rows are dealt out evenly, numbered and written once, so that no task has more of the work below
+    because the input has few files. All factors are then scored as rows of one long table that
     carries the number, not the row, and join it by that: rows that share a ticker, or have none, stay rows
     of their own.
     """
-    rows = written(df.withColumn("_id", F.monotonically_increasing_id()), "rows")
+    rows = written(df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))).withColumn("_id", F.monotonically_increasing_id()), "rows")
     signals = F.explode(F.array(*[F.struct(F.lit(n).alias("_factor"), signal(rows, n).alias("_s")) for n in names]))
     keys = list(dict.fromkeys((*by, sector)))
     long = rows.select("_id", *keys, signals.alias("_x")).select("_id", *keys, "_x.*")
