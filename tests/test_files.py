@@ -177,6 +177,13 @@ def test_observed_counts_are_plain_columns(spark, monkeypatch):
     assert len(observed) == 1 and "sum(_seen" in observed[0] and not any(x in observed[0] for x in ("CASE", "variant", "lambda"))
 
 
+
+def test_a_document_is_parsed_once(spark, tmp_path):
+    writers.write_filings(spark.createDataFrame([("1", filing(us_gaap__Assets=("USD", [record(1)])))], "cik string, text string"), str(tmp_path))
+    rows = facts.records_on_paths(readers.read_filings(spark, str(tmp_path), variant=True))
+    assert rows.count() == 1 and rows._jdf.queryExecution().optimizedPlan().toString().count("parseJson") == 1
+
+
 def test_rankings(spark, tmp_path):
     (tmp_path / "r.json").write_text('[{"ticker": "A", "rank": 1, "name": "x"},\n {"ticker": "B", "rank": 2}]')
     assert sorted(map(tuple, readers.read_ranking(spark, str(tmp_path / "r.json")).collect())) == [("A", 1), ("B", 2)]

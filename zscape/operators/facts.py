@@ -94,7 +94,8 @@ def _read(doc: Column, paths: tuple = PATHS) -> Column:
 
 
 def _spread(read: DataFrame) -> DataFrame:
-    a = read.select("cik", F.explode("read").alias("x")).select("cik", "x.namespace", "x.tag", F.explode("x.units").alias("unit", "items"))
+    # outer, though the array is never empty: else a filter on its size is put before it, which parses a document for each path
+    a = read.select("cik", F.explode_outer("read").alias("x")).select("cik", "x.namespace", "x.tag", F.explode("x.units").alias("unit", "items"))
     return _typed(a)
 
 
