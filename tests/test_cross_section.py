@@ -70,6 +70,14 @@ def test_many_values_with_large_ones_score_the_same(rows, monkeypatch):
     assert "Join LeftAnti" in out._jdf.queryExecution().optimizedPlan().toString()
 
 
+
+def test_rows_of_one_partition_are_dealt_out(spark, rows, monkeypatch):
+    parts, real = [], scoring.written
+    monkeypatch.setattr(scoring, "written", lambda df, name: parts.append((name, df.rdd.getNumPartitions())) or real(df, name))
+    one = rows.coalesce(1).withColumnRenamed("v", "roe")
+    assert scoring.build_scores(one).count() == 600 and ("rows", 4) in parts
+
+
 def test_rows_that_share_a_ticker_or_have_none_are_all_scored(spark):
     data = [(t, "s", float(k), 0.1 * k) for k, t in enumerate(["A", "B", "A", None, None, "C", *(f"N{i}" for i in range(11))])]
     out = scoring.build_scores(spark.createDataFrame(data, "ticker string, sector string, ret_12_1 double, roe double")).collect()
