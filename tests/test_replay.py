@@ -1,12 +1,14 @@
 """One pass over filings against the answers for single dates, and rolling betas against single ones."""
 
 import datetime as dt
+import os
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from zscape.operators import pit, prices, replay
+from zscape.plans import catalog
 
 DAY = dt.date(2020, 1, 1)
 SCHEMA = "ticker string, concept string, period_start date, period_end date, filed date, fy double, value double, seq long"
@@ -63,6 +65,12 @@ def test_facts_and_dates_are_computed_once(spark):
     assert {n: c.value for n, c in seen.items()} == {"facts": 200, "dates": 2}
 
 
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="the driver tables are not here")
+def test_the_query_begins_at_written_tables(spark):
+    plan = catalog.queries()["nj8_as_known_on_dates"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "l_shipdate" not in plan and "MapInArrow" not in plan
+
+
 def test_intervals_meet_and_values_change(spark):
     rows = replay.intervals(spark.createDataFrame(messy(9), SCHEMA)).orderBy("ticker", "concept", "valid_from").collect()
     for a, b in zip(rows, rows[1:]):
