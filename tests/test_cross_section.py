@@ -78,6 +78,27 @@ def test_rows_of_one_partition_are_dealt_out(spark, rows, monkeypatch):
     assert scoring.build_scores(one).count() == 600 and ("rows", 4) in parts
 
 
+def test_no_task_reads_all_rows_on_the_way_to_the_scores(spark, tmp_path):
+    """Read by map output, a shuffle has as few tasks as its input had files: here one, with all rows."""
+    df = spark.range(20000, numPartitions=1).select(F.col("id").cast("string").alias("ticker"), F.concat(F.lit("s"), F.col("id") % 5).alias("sector"), *[((F.col("id") * k) % 97 / 10).alias(n) for k, n in ((7, "ret_12_1"), (11, "roe"), (13, "beta"))])
+    df.write.parquet(str(tmp_path / "one"))
+    keys = {"spark.sql.autoBroadcastJoinThreshold": "64k", "spark.sql.files.maxPartitionBytes": "1g"}
+    for k, v in keys.items():
+        spark.conf.set(k, v)
+    plans, real = [], scoring.written
+    try:
+        with pytest.MonkeyPatch.context() as m:
+            m.setattr(scoring, "written", lambda d, name: plans.append(d) or real(d, name))
+            out = scoring.build_scores(spark.read.parquet(str(tmp_path / "one")))
+            assert out.count() == 20000
+        scored = next(d for d in plans if "trend_score" in d.columns)  # the buckets' rows
+        scored.collect()
+        assert "AQEShuffleRead local" not in scored._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k in keys:
+            spark.conf.unset(k)
+
+
 def test_rows_that_share_a_ticker_or_have_none_are_all_scored(spark):
     data = [(t, "s", float(k), 0.1 * k) for k, t in enumerate(["A", "B", "A", None, None, "C", *(f"N{i}" for i in range(11))])]
     out = scoring.build_scores(spark.createDataFrame(data, "ticker string, sector string, ret_12_1 double, roe double")).collect()
