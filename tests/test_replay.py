@@ -4,6 +4,7 @@ import datetime as dt
 import os
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -71,6 +72,17 @@ def test_the_query_begins_at_written_tables(spark):
     assert "l_shipdate" not in plan and "MapInArrow" not in plan
 
 
+def test_small_series_are_not_joined_in_one_task(spark):
+    assert replay._replayed(spark.createDataFrame(messy(), SCHEMA)).rdd.getNumPartitions() == 4
+
+
+def test_columns_as_lists():
+    days = pa.array([DAY, None, DAY]).cast(pa.int32()).to_pylist()
+    assert replay._values(pa.array([DAY, None, DAY])) == days and replay._values(pa.array([], pa.date32())) == []
+    for column in (pa.array(["a", None, "", "a"]), pa.array(["a", None], pa.large_string()), pa.array([1 << 60, None, 0, -3]), pa.array([None, -0.0, 2.5]), pa.array([None, None], pa.int32()), pa.array([], pa.string())):
+        assert repr(replay._values(column)) == repr(column.to_pylist())
+
+
 def test_intervals_meet_and_values_change(spark):
     rows = replay.intervals(spark.createDataFrame(messy(9), SCHEMA)).orderBy("ticker", "concept", "valid_from").collect()
     for a, b in zip(rows, rows[1:]):

@@ -12,6 +12,7 @@ from __future__ import annotations
 from bisect import bisect_left
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -41,9 +42,9 @@ class Flow:
     def __init__(self) -> None:
         self.direct: dict = {}  # period end: value, fiscal year and order of the first row
         self.ones: dict = {}  # fiscal year: period end: order of the first row, of direct quarters
-        self.above: dict = {}  # fiscal year, quarters: the latest level and its period end
+        self.above: dict = {}  # fiscal year: quarters: the latest level and its period end
         self.derived: dict = {}  # period end: fiscal year: value
-        self.ends: dict = {}  # fiscal year: the period ends that its ladder gives
+        self.given: dict = {}  # fiscal year: the period ends that its ladder gives, and their values
         self.there: list = []  # period ends with a value, sorted
         self.stale: set = set()  # ladders with events since the last value
         self.moved: set = set()  # period ends that may have come or gone since then
@@ -53,9 +54,9 @@ class Flow:
             return
         self.stale.add(fy)
         if n > 1:
-            key = (filed, end, seq)
-            if (fy, n) not in self.above or key >= self.above[fy, n][0]:
-                self.above[fy, n] = key, value
+            key, above = (filed, end, seq), self.above.setdefault(fy, {})
+            if n not in above or key >= above[n][0]:
+                above[n] = key, value
             return
         old = self.direct.get(end)
         if old is None:
@@ -70,27 +71,33 @@ class Flow:
         self.ones.setdefault(fy1, {})[end] = seq1
         self.direct[end] = value, fy1, seq1
 
-    def _ladder(self, fy: float) -> Iterator[tuple]:
-        """``period end, value`` of each contiguous step of a fiscal year."""
-        ones = self.ones.get(fy)
-        steps = [(1, end := min((seq1, e) for e, seq1 in ones.items())[1], self.direct[end][0])] if ones else []
-        steps += [(n, self.above[fy, n][0][1], self.above[fy, n][1]) for n in (2, 3, 4) if (fy, n) in self.above]
+    def _ladder(self, fy: float) -> dict:
+        """Period ends and values of each contiguous step of a fiscal year; the step of fewer quarters comes first."""
+        out: dict = {}
         below, base = 0, 0.0
-        for n, end, value in steps:
-            if n - below == 1:
-                yield end, value - base
-            below, base = n, value
+        if ones := self.ones.get(fy):
+            end = min((seq1, e) for e, seq1 in ones.items())[1] if len(ones) > 1 else next(iter(ones))
+            below, base = 1, self.direct[end][0]
+            out[end] = base
+        if above := self.above.get(fy):
+            for n in (2, 3, 4):
+                if n in above:
+                    (_, end, _), value = above[n]
+                    if n - below == 1:
+                        out.setdefault(end, value - base)
+                    below, base = n, value
+        return out
 
     def value(self) -> float | None:
         for fy in self.stale:
-            for end in self.ends.pop(fy, ()):
-                self.derived[end].pop(fy)
-                self.moved.add(end)
-            for end, value in self._ladder(fy):
-                if fy not in self.derived.setdefault(end, {}):  # the step of fewer quarters comes first
-                    self.derived[end][fy] = value
-                    self.ends.setdefault(fy, []).append(end)
-                    self.moved.add(end)
+            old, new = self.given.get(fy, {}), self._ladder(fy)
+            if old.keys() != new.keys():
+                self.moved |= old.keys() ^ new.keys()
+                for end in old.keys() - new.keys():
+                    del self.derived[end][fy]
+            for end, value in new.items():
+                self.derived.setdefault(end, {})[fy] = value
+            self.given[fy] = new
         self.stale.clear()
         there = self.there
         for end in self.moved:
@@ -104,7 +111,22 @@ class Flow:
         self.moved.clear()
         if len(there) < 4:
             return None
-        return sum(self.direct[e][0] if e in self.direct else self.derived[e][min(self.derived[e])] for e in there[:-5:-1])
+        return sum([self.direct[e][0] if e in self.direct else self.derived[e][min(self.derived[e])] for e in there[:-5:-1]])
+
+
+def _values(column: pa.Array) -> list:
+    """``column`` as a list, without an Arrow scalar for each value; dates as the numbers of their days."""
+    if pa.types.is_string(column.type) or pa.types.is_large_string(column.type):
+        coded = column.dictionary_encode()
+        names = [*coded.dictionary.to_pylist(), None]
+        return [names[i] for i in coded.indices.fill_null(len(names) - 1).to_numpy().tolist()]
+    if pa.types.is_date32(column.type):
+        column = column.cast(pa.int32())
+    out = column.fill_null(0).to_numpy().tolist()
+    if column.null_count:
+        for i in np.flatnonzero(column.is_null().to_numpy(zero_copy_only=False)).tolist():
+            out[i] = None
+    return out
 
 
 def _replay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -131,9 +153,7 @@ def _replay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.string(), pa.float64()))] + days, ["ticker", "concept", "value", "valid_from", "valid_to"])
 
     for b in batches:
-        # lists, not a dictionary for each row; dates as the numbers of their days
-        columns = [(c.cast(pa.int32()) if pa.types.is_date32(c.type) else c).to_pylist() for c in b.columns]
-        for ticker, concept, filed, *event in zip(*columns):
+        for ticker, concept, filed, seq, end, n, fy, value in zip(*map(_values, b.columns)):
             if key is None or concept != key[1] or ticker != key[0]:
                 if key is not None:
                     close(None)
@@ -142,7 +162,7 @@ def _replay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             elif filed != day:
                 close(filed)
                 day = filed
-            state.add(filed, *event)
+            state.add(filed, seq, end, n, fy, value)
         if rows:
             yield batch()
     if key is not None:
@@ -151,10 +171,14 @@ def _replay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _replayed(facts: DataFrame) -> DataFrame:
-    """The intervals of every series; other concepts than levels and flows are taken as levels."""
+    """The intervals of every series; other concepts than levels and flows are taken as levels.
+
+    The number of partitions is given, so that Spark doesn't join small ones: a task's work is in its rows, not its bytes.
+    """
     rows = facts.where(F.col("filed").isNotNull())
     rows = rows.select("ticker", "concept", "filed", "seq", "period_end", quarters_spanned(F.col("period_start"), F.col("period_end")).alias("n"), F.col("fy").cast("double").alias("fy"), F.col("value").cast("double").alias("value"))
-    own = rows.repartition("ticker", "concept").sortWithinPartitions("ticker", "concept", "filed", "seq")
+    parts = int(facts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    own = rows.repartition(parts, "ticker", "concept").sortWithinPartitions("ticker", "concept", "filed", "seq")
     return own.mapInArrow(_replay, "ticker string, concept string, value double, valid_from date, valid_to date")
 
 
