@@ -108,3 +108,22 @@ def test_a_text_in_all_languages_is_accepted_and_junk_is_not(spark):
     docs = documents(spark, rows)
     accepted = {r["doc_id"] for r in L.predict(docs, L.train(docs), ["doc_id"]).where("accepted").collect()}
     assert accepted == {*range(400), *range(1000, 1020)}
+
+
+def test_a_kept_text_goes_to_python_once(spark):
+    docs = documents(spark, corpus(40))
+    keep = ["doc_id", "text", "lang"]
+    out = L.predict(docs, L.train(docs), keep)
+    sent = out._jdf.queryExecution().analyzed().children().head().output()
+    assert [sent.apply(i).name() for i in range(sent.size())] == keep
+    with_id_alone = {r["doc_id"]: tuple(r)[1:] for r in L.predict(docs, L.train(docs), ["doc_id"]).collect()}
+    assert {r["doc_id"]: tuple(r)[3:] for r in out.collect()} == with_id_alone
+    assert {tuple(r)[:3] for r in out.collect()} == {tuple(r) for r in docs.select(*keep).collect()}
+
+
+def test_presence_matrices_are_bounded_and_change_nothing(monkeypatch):
+    spectra = [L.spectrum(t) for _, t, _, _ in corpus(60)]
+    m = L.fit(spectra, [x for _, _, x, _ in corpus(60)], landmarks=12)
+    whole = m.kernel(spectra)
+    monkeypatch.setattr(L, "ENTRIES", 7 * len(m.landmarks))
+    assert (m.kernel(spectra) == whole).all()

@@ -29,8 +29,8 @@ DIMENSIONS = SYMBOLS + SYMBOLS**2 + SYMBOLS**3
 CHUNK = 1_000_000
 UNKNOWN = "und"
 #: Most n-grams of a text that the model is fitted on (a text of 20,000 words of prose has fewer), so that
-#: the sample is bounded in bytes too; most entries of a presence matrix at once.
-FITTED, ENTRIES = 16_384, 1 << 23
+#: the sample is bounded in bytes too; most entries of a presence matrix at once (8 MB in a task).
+FITTED, ENTRIES = 16_384, 1 << 21
 #: A text with fewer distinct n-grams (about 80 characters of prose) says too little to be rejected.
 ENOUGH = 150
 
@@ -194,7 +194,7 @@ def predict(docs: DataFrame, model: Model | None, keep: list[str]) -> DataFrame:
 
     ``accepted`` is true for a text with a letter, unless it has at least ``ENOUGH`` n-grams, the
     winner's value is below the model's ``floor`` and the landmarks explain less of it than is ``familiar``.
-    Without a model every text with a letter is accepted.
+    Without a model every text with a letter is accepted. A text goes to the task's Python once, also where it is kept.
     For the four languages of the test tables ``familiar`` is 0.2; base64 of random bytes has 0.1 at most, prose 0.22 at least.
     """
     spark = docs.sparkSession
@@ -205,7 +205,7 @@ def predict(docs: DataFrame, model: Model | None, keep: list[str]) -> DataFrame:
     def run(batches):
         m = held.value
         for b in pieces(batches):
-            spectra = [spectrum(t) for t in b.column("_text").to_pylist()]
+            spectra = [spectrum(t) for t in b.column("text").to_pylist()]
             size = np.array([len(x) for x in spectra], int)
             lang, score, yes = [UNKNOWN] * len(spectra), np.zeros(len(spectra)), size > 0
             if m and spectra:
@@ -220,7 +220,7 @@ def predict(docs: DataFrame, model: Model | None, keep: list[str]) -> DataFrame:
             own = [b.column(c) for c in keep]
             yield pa.RecordBatch.from_arrays([*own, pa.array(lang, pa.string()), pa.array(score), pa.array(yes)], [*keep, "lang_pred", "score", "accepted"])
 
-    return docs.select(*keep, F.col("text").alias("_text")).mapInArrow(run, f"{fields}lang_pred string, score double, accepted boolean")
+    return docs.select(*dict.fromkeys((*keep, "text"))).mapInArrow(run, f"{fields}lang_pred string, score double, accepted boolean")
 
 
 def identify(docs: DataFrame) -> DataFrame:
